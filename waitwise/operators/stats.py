@@ -210,9 +210,8 @@ def part_of_whole_flag(pairs: DataFrame, dim: DataFrame) -> DataFrame:
 
     ``dim`` (part, whole) is a fixed dimension of metric names: broadcast, bounded.
     """
-    d = F.broadcast(dim.select("part", "whole").distinct())
-    m1 = pairs.join(d, (pairs.x == d.part) & (pairs.y == d.whole), "left_semi")
-    m2 = pairs.join(d, (pairs.y == d.part) & (pairs.x == d.whole), "left_semi")
-    flagged = m1.unionByName(m2).distinct().withColumn("is_part", F.lit(True))
-    return pairs.join(flagged, list(pairs.columns), "left").withColumn(
-        "is_part", F.coalesce("is_part", F.lit(False)))
+    d = F.broadcast(dim.select(F.least("part", "whole").alias("_a"), F.greatest("part", "whole").alias("_b"))
+                    .distinct().withColumn("is_part", F.lit(True)))
+    p = pairs.withColumn("_a", F.least("x", "y")).withColumn("_b", F.greatest("x", "y"))
+    return (p.join(d, ["_a", "_b"], "left").withColumn("is_part", F.coalesce("is_part", F.lit(False)))
+             .drop("_a", "_b"))
