@@ -143,3 +143,77 @@ def rounded(sql: str, cols: list[str], digits: int = 9) -> str:
     """Round double columns of a query (both engines round outputs to 9 digits)."""
     rep = ", ".join(f"round({c}, {digits}) AS {c}" for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM ({sql}) rq"
+
+
+# Server-log lines derived from events (see waitwise.sources.serverlog.log_lines).
+_V = "CAST(cents // 100 AS VARCHAR) || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0')"
+_MS3 = "lpad(CAST(user_id % 1000 AS VARCHAR), 3, '0')"
+_NAME = ("CASE WHEN user_id % 4 = 0 THEN 'public.t' || CAST(user_id % 20 AS VARCHAR) "
+         "ELSE 'db' || CAST(user_id % 5 AS VARCHAR) || '.public.t' || CAST(user_id % 20 AS VARCHAR) END")
+BINDINGS["log_lines"] = f"""
+SELECT 'postgresql-' || strftime(ts, '%Y-%m-%d') || '.log' AS file, CAST(floor(line_no / 4096) AS BIGINT) AS chunk,
+       line_no AS pos, line_no, line
+FROM (
+  SELECT ts, event_id * 4 + k AS line_no,
+    CASE
+      WHEN kind = 2 AND k = 0 THEN prefix || 'LOG:  automatic vacuum of table "' || {_NAME} || '": index scans: '
+                                   || CAST(user_id % 3 AS VARCHAR)
+      WHEN kind = 2 AND k = 1 THEN chr(9) || 'pages: ' || CAST(user_id % 7 AS VARCHAR) || ' removed, '
+                                   || CAST(user_id * 5 AS VARCHAR) || ' remain, 0 skipped due to pins, 0 skipped frozen'
+      WHEN kind = 2 AND k = 2 THEN chr(9) || 'system usage: CPU: user: 0.01 s, system: 0.00 s, elapsed: ' || {_V} || ' s'
+      WHEN kind = 3 AND k = 0 THEN prefix || 'СООБЩЕНИЕ:  автоматическая очистка таблицы "' || {_NAME}
+                                   || '": сканирований индекса: ' || CAST(user_id % 3 AS VARCHAR)
+      WHEN kind = 3 AND k = 1 THEN chr(9) || 'страниц удалено: ' || CAST(user_id % 7 AS VARCHAR) || ', осталось: '
+                                   || CAST(user_id * 5 AS VARCHAR) || ', пропущено закреплённых: 0, пропущено замороженных: 0'
+      WHEN kind = 3 AND k = 2 THEN chr(9) || 'использование системы: ЦП: пользов.: 0.01 с, система: 0.00 с, прошло: '
+                                   || {_V} || ' с'
+      WHEN kind = 0 THEN prefix || 'LOG:  checkpoint complete: wrote ' || CAST(user_id * 3 AS VARCHAR)
+           || ' buffers (0.1%); ' || CAST(user_id % 2 AS VARCHAR) || ' WAL file(s) added, '
+           || CAST(user_id % 4 AS VARCHAR) || ' removed, ' || CAST(user_id % 5 AS VARCHAR) || ' recycled; write='
+           || {_V} || ' s, sync=0.' || {_MS3} || ' s, total=' || {_V} || ' s; sync files=' || CAST(user_id % 9 AS VARCHAR)
+           || ', longest=0.001 s, average=0.001 s; distance=' || CAST(user_id AS VARCHAR) || ' kB, estimate='
+           || CAST(user_id AS VARCHAR) || ' kB'
+      WHEN kind = 1 THEN prefix || 'СООБЩЕНИЕ:  контрольная точка завершена: записано буферов: '
+           || CAST(user_id * 3 AS VARCHAR) || ' (0.1%); добавлено файлов WAL ' || CAST(user_id % 2 AS VARCHAR)
+           || ', удалено: ' || CAST(user_id % 4 AS VARCHAR) || ', переработано: ' || CAST(user_id % 5 AS VARCHAR)
+           || '; запись=' || {_V} || ' сек., синхр.=0.' || {_MS3} || ' сек., всего=' || {_V}
+           || ' сек.; синхронизировано_файлов=' || CAST(user_id % 9 AS VARCHAR)
+           || ', самая_долгая_синхр.=0.001 сек., средняя=0.001 сек.; расстояние=' || CAST(user_id AS VARCHAR)
+           || ' kB, ожидалось=' || CAST(user_id AS VARCHAR) || ' kB'
+      WHEN kind = 4 AND user_id % 2 = 0 THEN prefix || 'LOG:  temporary file: path "base/pgsql_tmp/pgsql_tmp'
+           || CAST(user_id + 1000 AS VARCHAR) || '.0", size ' || CAST(user_id * 1048576 AS VARCHAR)
+      WHEN kind = 4 THEN prefix || 'СООБЩЕНИЕ:  временный файл: путь "base/pgsql_tmp/pgsql_tmp'
+           || CAST(user_id + 1000 AS VARCHAR) || '.0", размер ' || CAST(user_id * 1048576 AS VARCHAR)
+      WHEN user_id % 6 = 0 THEN prefix || 'ERROR:  deadlock detected'
+      WHEN user_id % 6 = 1 THEN prefix || 'ERROR:  duplicate key value violates unique constraint "t'
+           || CAST(user_id AS VARCHAR) || '_pkey"'
+      WHEN user_id % 6 = 2 THEN prefix || 'ОШИБКА:  отношение "t' || CAST(user_id AS VARCHAR) || '" не существует'
+      WHEN user_id % 6 = 3 THEN prefix || 'FATAL:  terminating connection due to administrator command'
+      WHEN user_id % 6 = 4 THEN prefix || 'WARNING:  checkpoints are occurring too frequently ('
+           || CAST(user_id % 30 + 1 AS VARCHAR) || ' seconds apart)'
+      WHEN event_id % 12 = 5 THEN prefix || 'WARNING:  could not write to log file: No space left on device'
+      ELSE prefix || 'WARNING:  temporary file size exceeds temp_file_limit (1024kB)'
+    END AS line
+  FROM (SELECT *, event_id % 6 AS kind, CAST(round(value * 100) AS BIGINT) AS cents,
+               strftime(ts, '%Y-%m-%d %H:%M:%S') || '.' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') || ' UTC| db'
+               || CAST(user_id % 5 AS VARCHAR) || '| psql| role' || CAST(user_id % 2 AS VARCHAR) || '| 10.0.'
+               || CAST(user_id % 8 AS VARCHAR) || '.' || CAST(user_id % 250 AS VARCHAR) || '| '
+               || CAST(user_id + 1000 AS VARCHAR) || '| '
+               || CASE WHEN event_id % 6 <> 5 THEN '00000' WHEN user_id % 6 = 0 THEN '40P01'
+                       WHEN user_id % 6 = 1 THEN '23505' WHEN user_id % 6 = 2 THEN '42P01'
+                       WHEN user_id % 6 = 3 THEN '57P01' WHEN user_id % 6 = 4 THEN '01000'
+                       WHEN event_id % 12 = 5 THEN '53100' ELSE '53400' END || '| ' AS prefix
+        FROM events) e
+  CROSS JOIN range(0, 3) r(k)
+  WHERE k = 0 OR kind IN (2, 3)) q"""
+
+# Records assembled from log_lines by an independent window formulation.
+BINDINGS["log_records"] = """
+SELECT file, rec_pos, CAST(substr(string_agg(line, chr(10) ORDER BY pos), 1, 19) AS TIMESTAMP) AS ts,
+       string_agg(line, chr(10) ORDER BY pos) AS record, count(*) AS n_lines
+FROM (SELECT *, max(CASE WHEN regexp_matches(line, '^\\s*\\d{4}-\\d{2}-\\d{2}\\s+\\d{2}:\\d{2}:\\d{2}\\.\\d+') THEN pos END)
+                  OVER (PARTITION BY file ORDER BY pos ROWS UNBOUNDED PRECEDING) AS rec_pos
+      FROM log_lines) l
+WHERE rec_pos IS NOT NULL
+GROUP BY file, rec_pos"""
+DEPENDS["log_records"] = ["log_lines"]
