@@ -41,7 +41,7 @@ FROM (SELECT cluster, date_trunc('{grain}', ts) AS ts, count(*) AS r,
              count(*) FILTER (WHERE event_type = 'error') AS b,
              least(100, sum(cents) // (100 * count(*))) AS us,
              least(100, 5 * count(*) FILTER (WHERE event_type = 'click')) AS sy,
-             4000 * count(DISTINCT queryid) AS cs,
+             100000 * count(DISTINCT queryid) AS cs,
              coalesce(sum(cents) FILTER (WHERE event_type = 'view') // 100, 0) AS bi,
              coalesce(sum(cents) FILTER (WHERE event_type = 'purchase') // 100, 0) AS bo
       FROM wait_samples GROUP BY 1, 2) q"""

@@ -79,7 +79,7 @@ def vmstat_series(spark: SparkSession, sf_dir: str, grain: str = "hour") -> Data
         F.count(F.when(et == "error", 1)).alias("b"),
         F.expr("least(100, sum(cents) div (100 * count(1)))").alias("us"),
         F.expr("least(100, 5 * count(CASE WHEN event_type = 'click' THEN 1 END))").alias("sy"),
-        (F.countDistinct("queryid") * 4000).alias("cs"),
+        (F.countDistinct("queryid") * 100000).alias("cs"),
         F.expr("coalesce(sum(CASE WHEN event_type = 'view' THEN cents END) div 100, 0)").alias("bi"),
         F.expr("coalesce(sum(CASE WHEN event_type = 'purchase' THEN cents END) div 100, 0)").alias("bo"),
     )
