@@ -35,24 +35,46 @@ def pair_stats(df: DataFrame, key: Sequence[str], pairs: Sequence[Pair]) -> Data
     """Per key and (x, y) pair: n, Pearson r, least-squares y = intercept + slope*x, R².
 
     Output columns: *key, x, y, n, r, slope, intercept, r2.
+
+    The aggregation holds one mean and one population variance per column (shared by
+    every pair using it) and one population covariance per pair; r, slope and
+    intercept are derived afterwards. Nullable columns are masked pairwise (only
+    rows where both sides are present count), non-nullable ones need no mask.
     """
-    aggs: list[Column] = []
+    nullable = {f.name: f.nullable for f in df.schema.fields}
+    aggs: dict[str, Column] = {}
+
+    def col_stats(c: str, other: str) -> tuple[str, str, str]:
+        """(count, mean, var) aggregate names for column c in a pair with ``other``."""
+        masked = nullable.get(c, True) or nullable.get(other, True)
+        v = F.col(c).cast("double")
+        if masked:
+            v = F.when(F.col(other).isNotNull(), v)
+            tag = f"{c}|{other}"
+        else:
+            tag = c
+        names = (f"n[{tag}]", f"m[{tag}]", f"v[{tag}]")
+        if names[0] not in aggs:
+            aggs[names[0]] = F.count(v)
+            aggs[names[1]] = F.avg(v)
+            aggs[names[2]] = F.var_pop(v)
+        return names
+
     structs: list[Column] = []
-    for i, (x, y) in enumerate(pairs):
-        cx, cy = F.col(x).cast("double"), F.col(y).cast("double")
-        both = cx.isNotNull() & cy.isNotNull()
-        px, py = F.when(both, cx), F.when(both, cy)
-        aggs += [
-            F.count(F.when(both, 1)).alias(f"n{i}"),
-            pearson(px, py).alias(f"r{i}"),
-            F.when(F.var_pop(px) > 0, F.regr_slope(py, px)).alias(f"s{i}"),
-            F.when(F.var_pop(px) > 0, F.regr_intercept(py, px)).alias(f"i{i}"),
-            F.pow(pearson(px, py), 2).alias(f"q{i}"),
-        ]
-        structs.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"n{i}").alias("n"),
-                                F.col(f"r{i}").alias("r"), F.col(f"s{i}").alias("slope"),
-                                F.col(f"i{i}").alias("intercept"), F.col(f"q{i}").alias("r2")))
-    wide = df.groupBy(*key).agg(*aggs)
+    for x, y in pairs:
+        nx, mx, vx = col_stats(x, y)
+        _, my, vy = col_stats(y, x)
+        cov = f"c[{x}|{y}]"
+        aggs[cov] = F.covar_pop(F.col(x).cast("double"), F.col(y).cast("double"))
+        vxc, vyc, cc = F.col(f"`{vx}`"), F.col(f"`{vy}`"), F.col(f"`{cov}`")
+        ok = (vxc > 0) & (vyc > 0)
+        r = F.when(ok, F.try_divide(cc, F.sqrt(vxc * vyc)))
+        slope = F.when(vxc > 0, F.try_divide(cc, vxc))
+        structs.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"`{nx}`").alias("n"),
+                                r.alias("r"), slope.alias("slope"),
+                                (F.col(f"`{my}`") - slope * F.col(f"`{mx}`")).alias("intercept"),
+                                F.pow(r, 2).alias("r2")))
+    wide = df.groupBy(*key).agg(*[a.alias(n) for n, a in aggs.items()])
     return wide.select(*key, F.inline(F.array(*structs)))
 
 
