@@ -23,9 +23,7 @@ THRESHOLDS = (0.1, 0.25, 0.5)
 
 # ---------------------------------------------------------------- Spark side
 def _aligned(spark, sf):
-    c = B.cluster_series(spark, sf, GRAIN).select("cluster", "ts", "waits")
-    v = B.vmstat_series(spark, sf, GRAIN).select("cluster", "ts", "us")
-    return c.join(v, ["cluster", "ts"])
+    return B.aligned_series(spark, sf, GRAIN).select("cluster", "ts", "waits", "us")
 
 
 def _states(spark, sf):

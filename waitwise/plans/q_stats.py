@@ -83,10 +83,8 @@ FROM cluster_series c JOIN vmstat_series v ON c.cluster = v.cluster AND c.ts = v
 
 
 def _aligned(spark, sf):
-    """Cluster and vmstat series on the same (cluster, hour) rows."""
-    c = B.cluster_series(spark, sf, GRAIN)
-    v = B.vmstat_series(spark, sf, GRAIN)
-    return c.join(v, ["cluster", "ts"])
+    """Cluster and vmstat series on the same (cluster, hour) rows (one aggregation)."""
+    return B.aligned_series(spark, sf, GRAIN)
 
 
 def _r_sql(x: str, y: str) -> str:

@@ -91,6 +91,35 @@ def vmstat_series(spark: SparkSession, sf_dir: str, grain: str = "hour") -> Data
     )
 
 
+def aligned_series(spark: SparkSession, sf_dir: str, grain: str = "hour") -> DataFrame:
+    """cluster_series ⋈ vmstat_series on (cluster, ts), computed in ONE aggregation.
+
+    Both series come from the same samples and the same (cluster, interval) key, so the
+    join is replaced by a single grouped aggregation: one scan, one shuffle.
+    """
+    ws = wait_samples(spark, sf_dir)
+    et = F.col("event_type")
+    by_type = [F.count(F.when(F.col("wait_event_type") == t, 1)).alias(f"waits_{t}") for t in WAIT_TYPES]
+    agg = ws.groupBy("cluster", bucket("ts", grain).alias("ts")).agg(
+        F.countDistinct("queryid").alias("calls"),
+        F.expr("sum(cents) div 100").alias("nrows"),
+        F.count(F.lit(1)).alias("waits"),
+        *by_type,
+        F.count(F.when(et == "error", 1)).alias("b"),
+        F.expr("least(100, sum(cents) div (100 * count(1)))").alias("us"),
+        F.expr("least(100, 5 * count(CASE WHEN event_type = 'click' THEN 1 END))").alias("sy"),
+        F.expr("coalesce(sum(CASE WHEN event_type = 'view' THEN cents END) div 100, 0)").alias("bi"),
+        F.expr("coalesce(sum(CASE WHEN event_type = 'purchase' THEN cents END) div 100, 0)").alias("bo"),
+    )
+    return agg.select(
+        "cluster", "ts", "calls", "nrows", "waits", *[f"waits_{t}" for t in WAIT_TYPES],
+        (F.col("calls") + F.col("nrows")).alias("speed"),
+        F.col("waits").alias("r"), "b", "us", "sy",
+        F.greatest(F.lit(0).cast("bigint"), 100 - F.col("us") - F.col("sy")).alias("id"),
+        F.expr("100 * b div waits").alias("wa"),
+        (F.col("calls") * 100000).alias("cs"), "bi", "bo")
+
+
 def iostat_series(spark: SparkSession, sf_dir: str, grain: str = "hour") -> DataFrame:
     """Per (cluster, device, interval) iostat-like columns; device = 'dev' || user_id % 4."""
     ws = wait_samples(spark, sf_dir).withColumn("device", _tag("dev", F.col("queryid") % 4))
