@@ -149,7 +149,8 @@ def log_files_for_date(lines: DataFrame, dates: list[str] | None = None) -> Data
     """Each file's first line and its timestamp; keep files whose first line carries one
     of ``dates`` (all files when None). Accepts many files and many days."""
     first = lines.groupBy("file").agg(F.min_by("line", "pos").alias("_first"))
-    ts = F.to_timestamp_ntz(F.regexp_replace(F.regexp_extract("_first", TS_RE, 1), r"\s+", " "))
+    raw = F.regexp_extract("_first", TS_RE, 1)
+    ts = F.when(raw != "", F.to_timestamp_ntz(F.regexp_replace(raw, r"\s+", " ")))
     out = first.select("file", ts.alias("first_ts")).filter(F.col("first_ts").isNotNull())
     if dates is not None:
         out = out.filter(F.to_date("first_ts").cast("string").isin(dates))
