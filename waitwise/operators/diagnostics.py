@@ -83,7 +83,8 @@ def incident_intervals(triplet: DataFrame, grain_minutes: int = 60, key: Sequenc
     key = list(key)
     w = Window.partitionBy(*key).orderBy("ts")
     prev = F.lag("indicator").over(w)
-    starts = F.when((F.col("indicator") == 1) & (prev.isNull() | (prev != 1)), 1).otherwise(0)
+    gap = F.col("ts") > F.lag("ts").over(w) + F.expr(f"INTERVAL {grain_minutes} MINUTES")
+    starts = F.when((F.col("indicator") == 1) & (prev.isNull() | (prev != 1) | gap), 1).otherwise(0)
     t = triplet.withColumn("_start", starts)
     t = t.withColumn("_island", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     inc = t.filter(F.col("indicator") == 1).groupBy(*key, "_island").agg(

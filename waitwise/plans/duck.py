@@ -85,7 +85,7 @@ SELECT date_trunc('month', l_shipdate) AS ts, sum(CAST(l_quantity AS BIGINT)) AS
 FROM lineitem GROUP BY 1"""
 
 BINDINGS["load_passes"] = """
-SELECT 1 AS test_id, CAST(dense_rank() OVER (ORDER BY start_ts) AS INTEGER) AS pass_counter, start_ts,
+SELECT 1 AS test_id, CAST(date_diff('day', (SELECT min(date_trunc('day', ts)) FROM events), start_ts) + 1 AS INTEGER) AS pass_counter, start_ts,
        start_ts + INTERVAL 23 HOUR AS finish_ts, load
 FROM (SELECT date_trunc('day', ts) AS start_ts, count(DISTINCT user_id) AS load FROM events GROUP BY 1) d"""
 

@@ -28,8 +28,10 @@ def _incidents(spark, sf):
 
 _INC_CTES = {
     "tri": _TRIPLET_SQL,
-    "tri2": "SELECT *, lag(indicator) OVER (PARTITION BY cluster ORDER BY ts) AS prev FROM tri",
-    "isl": ("SELECT *, sum(CASE WHEN indicator = 1 AND coalesce(prev, 0) <> 1 THEN 1 ELSE 0 END) "
+    "tri2": ("SELECT *, lag(indicator) OVER (PARTITION BY cluster ORDER BY ts) AS prev, "
+             "lag(ts) OVER (PARTITION BY cluster ORDER BY ts) AS prev_ts FROM tri"),
+    "isl": ("SELECT *, sum(CASE WHEN indicator = 1 AND (coalesce(prev, 0) <> 1 "
+            "OR ts > prev_ts + INTERVAL 60 MINUTE) THEN 1 ELSE 0 END) "
             "OVER (PARTITION BY cluster ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM tri2"),
     "incidents": """SELECT cluster, cluster || '@' || strftime(min(ts), '%Y-%m-%d %H:%M') AS incident_id,
        CASE WHEN max(abs(r)) >= 0.75 THEN 4 WHEN max(abs(r)) >= 0.5 THEN 3 WHEN max(abs(r)) >= 0.25 THEN 2 ELSE 1 END

@@ -59,7 +59,7 @@ def read_iostat(spark: SparkSession, path: str, latest_only: bool = False) -> Da
     names = F.slice("_names", 2, F.size("_names") - 1)
     vals = F.transform(F.slice("_vals", 2, F.size("_vals") - 1), lambda x: x.cast("double"))
     out = j.select("file", "_seg",
-                   F.to_timestamp_ntz(F.substring(F.trim("_tsline"), 1, 19), "yyyy-MM-dd'T'HH:mm:ss").alias("ts"),
+                   F.to_timestamp_ntz(F.substring(F.trim("_tsline"), 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")).alias("ts"),
                    F.get("_vals", 0).alias("device"), F.map_from_arrays(names, vals).alias("metrics"))
     if latest_only:
         last = out.groupBy("file").agg(F.max("_seg").alias("_seg"))
@@ -83,6 +83,6 @@ def read_dirty_samples(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path)
     parts = F.split("value", r"\|")
     t = raw.select(parts.alias("p")).filter(F.size("p") == 5)
-    ts = F.to_timestamp_ntz(F.trim(F.get("p", 0)), "dd-MM-yyyy HH:mm:ss")
+    ts = F.to_timestamp_ntz(F.trim(F.get("p", 0)), F.lit("dd-MM-yyyy HH:mm:ss"))
     return t.select(ts.alias("ts"), *[F.trim(F.get("p", i + 1)).cast("bigint").alias(c)
                                       for i, c in enumerate(DIRTY_COLS)]).filter(F.col("ts").isNotNull())

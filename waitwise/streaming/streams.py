@@ -58,9 +58,13 @@ def stream_incidents(indicator_rows: DataFrame, gap: str = "61 minutes", waterma
 
     Consecutive hourly rows (gap <= ``gap``) belong to one session = one incident.
     """
-    s = (indicator_rows.filter(F.col("indicator") == 1).select("cluster", F.col("ts").cast("timestamp").alias("ts"))
+    # Rows with the indicator off must still advance event time (so an incident closes
+    # once the indicator is seen cleared). A plain filter would be pushed below the
+    # watermark; a zero dynamic gap drops those rows inside the session operator instead.
+    s = (indicator_rows.select("cluster", F.col("ts").cast("timestamp").alias("ts"), "indicator")
          .withWatermark("ts", watermark))
-    return s.groupBy("cluster", F.session_window("ts", gap).alias("w")).agg(
+    dyn_gap = F.when(F.col("indicator") == 1, F.lit(gap)).otherwise(F.lit("0 seconds"))
+    return s.groupBy("cluster", F.session_window("ts", dyn_gap).alias("w")).agg(
         F.min("ts").alias("s"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"))
 
 
@@ -98,7 +102,10 @@ def log_import_batch(out_path: str) -> Callable[[DataFrame, int], None]:
     """F5 body for ``foreachBatch``: assemble the batch's closed log files into records,
     parse autovacuum events (L1) and append them to ``out_path``."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        lines = batch.select(F.col("file"), F.col("chunk"), F.col("pos"), F.col("line"))
+        # the micro-batch is a static frame still in file-split order: number lines here
+        lines = batch.select("file", "chunk", F.monotonically_increasing_id().alias("_mid"), "line").select(
+            "file", "chunk", F.struct(F.col("chunk").alias("c"), F.expr("_mid & 8589934591").alias("r")).alias("pos"),
+            "line")
         ev = L.autovacuum_events(S.assemble_records(lines))
         ev.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
     return run
@@ -107,11 +114,9 @@ def log_import_batch(out_path: str) -> Callable[[DataFrame, int], None]:
 def stream_log_lines(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
     """F5 source: rotated (closed) log files; whole files per micro-batch, so multi-line
     records never straddle batches (daily rotation)."""
-    raw = (spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(path)
-           .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("chunk"),
-                   F.monotonically_increasing_id().alias("_mid"), F.col("value").alias("line")))
-    return raw.select("file", "chunk", F.struct(F.col("chunk").alias("c"), F.expr("_mid & 8589934591").alias("r"))
-                      .alias("pos"), "line")
+    return (spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(path)
+            .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("chunk"),
+                    F.col("value").alias("line")))
 
 
 def start(sdf: DataFrame, checkpoint: str, sink: str = "memory", name: str | None = None,
