@@ -75,17 +75,18 @@ def autovacuum_summary(events: DataFrame) -> DataFrame:
                       s("pages_remain").alias("pages_remain"))
 
 
-def checkpoint_summary(records: DataFrame) -> DataFrame:
-    """L3: checkpoint-complete lines (either language): count and sums; seconds to 3 decimals.
-    Always one row (zeros when there are none)."""
-    r = F.col("record")
+def checkpoint_summary(records: DataFrame, col: str = "record") -> DataFrame:
+    """L3: checkpoint-complete messages (either language): count and sums; seconds to 3
+    decimals. Always one row (zeros when there are none). ``col`` is the text column:
+    physical lines (what the message patterns match, no shuffle needed) or records."""
+    r = F.col(col)
     ru, en = r.contains(CK_MARK_RU), r.contains(CK_MARK_EN)
     ck = records.filter(ru | en)
 
     def field(k: str, dec: bool) -> Column:
         t = "decimal(18,3)" if dec else "bigint"
-        v = F.when(F.col("record").contains(CK_MARK_RU), F.regexp_extract("record", CK_RU[k], 1)).otherwise(
-            F.regexp_extract("record", CK_EN[k], 1))
+        v = F.when(F.col(col).contains(CK_MARK_RU), F.regexp_extract(col, CK_RU[k], 1)).otherwise(
+            F.regexp_extract(col, CK_EN[k], 1))
         return F.coalesce(F.sum(F.nullif(v, F.lit("")).cast(t)), F.lit(0).cast(t))
 
     return ck.agg(F.count(F.lit(1)).alias("n"),
@@ -94,10 +95,10 @@ def checkpoint_summary(records: DataFrame) -> DataFrame:
                   field("sync_files", False).alias("sync_files"))
 
 
-def temp_file_summary(records: DataFrame) -> DataFrame:
+def temp_file_summary(records: DataFrame, col: str = "record") -> DataFrame:
     """L4: temporary files: count and total MB (2 decimals); one row of zeros when none."""
-    t = records.filter(F.col("record").rlike(TEMP_MARK))
-    size = F.nullif(F.regexp_extract("record", TEMP_SIZE, 2), F.lit("")).cast("bigint")
+    t = records.filter(F.col(col).rlike(TEMP_MARK))
+    size = F.nullif(F.regexp_extract(col, TEMP_SIZE, 2), F.lit("")).cast("bigint")
     return t.agg(F.count(F.lit(1)).alias("n"),
                  F.round(F.coalesce(F.sum(size), F.lit(0)) / F.lit(1048576.0), 2).alias("mb"))
 
@@ -128,13 +129,13 @@ def error_counts(lines: DataFrame, dim: DataFrame, strict: bool = False) -> Data
     return cnt.join(d, "code").select("code", "condition", "n", "ord")
 
 
-def warning_counts(records: DataFrame, min_count: int = 2) -> DataFrame:
-    """Repeated warning classes (count >= min_count)."""
+def warning_counts(records: DataFrame, min_count: int = 2, col: str = "record") -> DataFrame:
+    """Repeated warning classes (count >= min_count) over lines or records."""
     cls = None
     for name, pat in WARNING_CLASSES:
-        cls = (F.when(F.col("record").rlike(pat), F.lit(name)) if cls is None
-               else cls.when(F.col("record").rlike(pat), F.lit(name)))
-    w = records.filter(F.col("record").rlike("WARNING|ПРЕДУПРЕЖДЕНИЕ")).select(cls.alias("class"))
+        cls = (F.when(F.col(col).rlike(pat), F.lit(name)) if cls is None
+               else cls.when(F.col(col).rlike(pat), F.lit(name)))
+    w = records.filter(F.col(col).rlike("WARNING|ПРЕДУПРЕЖДЕНИЕ")).select(cls.alias("class"))
     return w.filter(F.col("class").isNotNull()).groupBy("class").agg(F.count(F.lit(1)).alias("n")).filter(
         F.col("n") >= min_count)
 

@@ -151,8 +151,8 @@ def q_leak_suspects(spark, sf):
     return _g3(spark, sf)
 
 
-_TEMP_MEAN_SQL = f"""(SELECT coalesce(sum(CAST(nullif(regexp_extract(record, '{L.TEMP_SIZE}', 2), '') AS BIGINT)), 0)
-         / 1048576.0 / count(*) FROM log_records WHERE regexp_matches(record, '{L.TEMP_MARK}'))"""
+_TEMP_MEAN_SQL = f"""(SELECT coalesce(sum(CAST(nullif(regexp_extract(line, '{L.TEMP_SIZE}', 2), '') AS BIGINT)), 0)
+         / 1048576.0 / count(*) FROM log_lines WHERE regexp_matches(line, '{L.TEMP_MARK}'))"""
 _G4_SQL = f"""
 SELECT host, rule, value, label FROM (
   SELECT host, 'random_page_cost_on_ssd' AS rule, random_page_cost AS value,
@@ -171,14 +171,13 @@ _W_CTE = {"sw": "SELECT host, " + ", ".join(f"max(setting) FILTER (WHERE name =
 
 
 def _g4(spark, sf):
-    recs = S.assemble_records(S.log_lines(spark, sf))
-    tmp = recs.filter(F.col("record").rlike(L.TEMP_MARK))
-    size = F.nullif(F.regexp_extract("record", L.TEMP_SIZE, 2), F.lit("")).cast("bigint")
+    tmp = S.log_lines(spark, sf).filter(F.col("line").rlike(L.TEMP_MARK))
+    size = F.nullif(F.regexp_extract("line", L.TEMP_SIZE, 2), F.lit("")).cast("bigint")
     mean_mb = tmp.select(F.coalesce(F.sum(size), F.lit(0)) / F.lit(1048576.0) / F.count(F.lit(1))).scalar()
     return G.settings_audit(B.settings(spark, sf), mean_mb)
 
 
-@register("settings_audit", "G4", with_bindings(_G4_SQL, "settings", "log_records", extra=_W_CTE))
+@register("settings_audit", "G4", with_bindings(_G4_SQL, "settings", "log_lines", extra=_W_CTE))
 def q_settings_audit(spark, sf):
     """Fleet settings audit: SSD page cost, cache size, autovacuum defaults, work_mem vs temp files."""
     return _g4(spark, sf)
@@ -217,7 +216,7 @@ _F_G3 = (f"SELECT 'leak' AS category, cluster || ':' || metric AS subject, 'risi
 _F_G4 = f"SELECT 'settings' AS category, 'host ' || CAST(host AS VARCHAR) AS subject, rule AS finding, 'high' AS label FROM ({_G4_SQL}) g4"
 
 
-@register("risk_union", "B13", with_bindings(f"{_F_G1} UNION ALL {_F_G4}", "vmstat_series", "settings", "log_records",
+@register("risk_union", "B13", with_bindings(f"{_F_G1} UNION ALL {_F_G4}", "vmstat_series", "settings", "log_lines",
                                              extra=_W_CTE))
 def q_risk_union(spark, sf):
     """Union of CPU-contention and settings findings with category and confidence label."""
@@ -227,7 +226,7 @@ def q_risk_union(spark, sf):
 def _risk_block_sql() -> str:
     waits = (f"SELECT 'waits' AS category, cluster || ':' || wait_event_type AS subject, 'weight ' || weight_band "
              f"AS finding, r2_band AS label FROM ({_D1_SELECT}) d WHERE kept")
-    inner = with_bindings("SELECT 1", "cluster_series", "vmstat_series", "settings", "log_records",
+    inner = with_bindings("SELECT 1", "cluster_series", "vmstat_series", "settings", "log_lines",
                           extra={**_W_CTE, **_TREND_CTE})
     ctes = inner[len("WITH "):inner.rindex("\nSELECT 1")]
     return (f"WITH {ctes},{_WAIT_LONG_SQL}\n"

@@ -13,8 +13,8 @@ SLICE_S, SLICE_F = "2024-01-10 00:00", "2024-01-12 23:59"
 STORED_UNTIL = "2024-01-15 00:00:00"
 
 
-def _records(spark, sf):
-    return S.assemble_records(S.log_lines(spark, sf))
+def _records(spark, sf, start_filter: str | None = None):
+    return S.assemble_records(S.log_lines(spark, sf), start_filter)
 
 
 def _dim_values() -> str:
@@ -83,7 +83,7 @@ WHERE name IS NOT NULL"""
 @register("autovacuum_events", "L1", with_bindings(_AV_SQL, "log_records"))
 def q_autovacuum_events(spark, sf):
     """Autovacuum records (English and Russian) parsed into event rows."""
-    return L.autovacuum_events(_records(spark, sf))
+    return L.autovacuum_events(_records(spark, sf, L.AV_MARK))
 
 
 @register("autovacuum_summary", "L2", with_bindings(f"""
@@ -94,13 +94,13 @@ SELECT count(*) AS n, CAST(coalesce(sum(coalesce(duration_ms, 0)), 0) AS BIGINT)
 FROM ({_AV_SQL}) e""", "log_records"))
 def q_autovacuum_summary(spark, sf):
     """Autovacuum totals: operations, duration, index scans, pages removed / remaining."""
-    return L.autovacuum_summary(L.autovacuum_events(_records(spark, sf)))
+    return L.autovacuum_summary(L.autovacuum_events(_records(spark, sf, L.AV_MARK)))
 
 
 def _ck_field(k: str, dec: bool) -> str:
     t = "DECIMAL(18, 3)" if dec else "BIGINT"
-    v = (f"nullif(CASE WHEN contains(record, '{L.CK_MARK_RU}') THEN regexp_extract(record, '{L.CK_RU[k]}', 1) "
-         f"ELSE regexp_extract(record, '{L.CK_EN[k]}', 1) END, '')")
+    v = (f"nullif(CASE WHEN contains(line, '{L.CK_MARK_RU}') THEN regexp_extract(line, '{L.CK_RU[k]}', 1) "
+         f"ELSE regexp_extract(line, '{L.CK_EN[k]}', 1) END, '')")
     out = f"coalesce(sum(CAST({v} AS {t})), CAST(0 AS {t}))"
     return f"CAST({out} AS DOUBLE) AS {k}" if dec else f"{out} AS {k}"
 
@@ -108,20 +108,20 @@ def _ck_field(k: str, dec: bool) -> str:
 @register("checkpoint_summary", "L3", with_bindings(f"""
 SELECT count(*) AS n, {', '.join(_ck_field(k, False) for k in ('buffers', 'wal_added', 'wal_removed', 'wal_recycled'))},
        {_ck_field('write_s', True)}, {_ck_field('sync_s', True)}, {_ck_field('sync_files', False)}
-FROM log_records WHERE contains(record, '{L.CK_MARK_RU}') OR contains(record, '{L.CK_MARK_EN}')""", "log_records"))
+FROM log_lines WHERE contains(line, '{L.CK_MARK_RU}') OR contains(line, '{L.CK_MARK_EN}')""", "log_lines"))
 def q_checkpoint_summary(spark, sf):
-    """Checkpoint totals in both log languages."""
-    return L.checkpoint_summary(_records(spark, sf))
+    """Checkpoint totals in both log languages (per physical line: no record shuffle)."""
+    return L.checkpoint_summary(S.log_lines(spark, sf), col="line")
 
 
 @register("temp_file_summary", "L4", with_bindings(f"""
 SELECT count(*) AS n,
-       round(coalesce(sum(CAST(nullif(regexp_extract(record, '{L.TEMP_SIZE}', 2), '') AS BIGINT)), 0) / 1048576.0, 2)
+       round(coalesce(sum(CAST(nullif(regexp_extract(line, '{L.TEMP_SIZE}', 2), '') AS BIGINT)), 0) / 1048576.0, 2)
          AS mb
-FROM log_records WHERE regexp_matches(record, '{L.TEMP_MARK}')""", "log_records"))
+FROM log_lines WHERE regexp_matches(line, '{L.TEMP_MARK}')""", "log_lines"))
 def q_temp_file_summary(spark, sf):
-    """Temporary files: count and total MB."""
-    return L.temp_file_summary(_records(spark, sf))
+    """Temporary files: count and total MB (per physical line)."""
+    return L.temp_file_summary(S.log_lines(spark, sf), col="line")
 
 
 @register("known_errors", "J6", with_bindings(f"""
@@ -143,16 +143,16 @@ def q_error_counts(spark, sf):
 
 
 def _warn_case() -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(record, '{p}') THEN '{n}'" for n, p in L.WARNING_CLASSES) + " END"
+    return "CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN '{n}'" for n, p in L.WARNING_CLASSES) + " END"
 
 
 @register("warning_counts", "L6", with_bindings(f"""
-SELECT class, count(*) AS n FROM (SELECT {_warn_case()} AS class FROM log_records
-                                  WHERE regexp_matches(record, 'WARNING|ПРЕДУПРЕЖДЕНИЕ')) w
-WHERE class IS NOT NULL GROUP BY class HAVING count(*) >= 2""", "log_records"))
+SELECT class, count(*) AS n FROM (SELECT {_warn_case()} AS class FROM log_lines
+                                  WHERE regexp_matches(line, 'WARNING|ПРЕДУПРЕЖДЕНИЕ')) w
+WHERE class IS NOT NULL GROUP BY class HAVING count(*) >= 2""", "log_lines"))
 def q_warning_counts(spark, sf):
-    """Repeated warning classes."""
-    return L.warning_counts(_records(spark, sf))
+    """Repeated warning classes (per physical line)."""
+    return L.warning_counts(S.log_lines(spark, sf), col="line")
 
 
 @register("incremental_import", "A12", with_bindings(f"""
@@ -162,7 +162,7 @@ WHERE curr_timestamp > coalesce((SELECT max(curr_timestamp) FROM ({_AV_SQL}) s
     "log_records"))
 def q_incremental_import(spark, sf):
     """Autovacuum events newer than the stored high-water mark (stored = events before a cut-over)."""
-    ev = L.autovacuum_events(_records(spark, sf))
+    ev = L.autovacuum_events(_records(spark, sf, L.AV_MARK))
     from pyspark.sql import functions as F
     stored = ev.filter(F.col("curr_timestamp") < F.lit(STORED_UNTIL).cast("timestamp_ntz"))
     return L.incremental_import(ev, stored)

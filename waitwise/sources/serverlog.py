@@ -97,20 +97,26 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
                       "line")
 
 
-def assemble_records(lines: DataFrame) -> DataFrame:
+def assemble_records(lines: DataFrame, start_filter: str | None = None) -> DataFrame:
     """(file, chunk, pos, line) → (file, rec_pos, ts, record, n_lines).
 
     Lines before the first record start of a file belong to no record and are dropped.
+    ``start_filter`` (a regex on the record's first line) keeps only matching records and
+    drops the other records' lines *before* the record shuffle, e.g. only autovacuum
+    records when those are all a report needs.
     """
     is_start = F.col("line").rlike(START_RE)
+    keep = F.lit(True) if start_filter is None else F.col("line").rlike(start_filter)
+    start = F.when(is_start, F.struct(F.col("pos").alias("p"), keep.alias("k")))
     w_in = Window.partitionBy("file", "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    l2 = lines.withColumn("_start", F.last(F.when(is_start, F.col("pos")), ignorenulls=True).over(w_in))
-    per_chunk = lines.groupBy("file", "chunk").agg(F.max(F.when(is_start, F.col("pos"))).alias("_last"))
+    l2 = lines.withColumn("_start", F.last(start, ignorenulls=True).over(w_in))
+    per_chunk = lines.groupBy("file", "chunk").agg(F.max(start).alias("_last"))
     w_chunks = Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = per_chunk.select("file", "chunk", F.last("_last", ignorenulls=True).over(w_chunks).alias("_carry"))
     # one row per chunk: small next to the lines, joined on (file, chunk)
-    l3 = l2.join(carry, ["file", "chunk"], "left").withColumn("rec_pos", F.coalesce("_start", "_carry"))
-    recs = l3.filter(F.col("rec_pos").isNotNull()).groupBy("file", "rec_pos").agg(
+    l3 = l2.join(carry, ["file", "chunk"], "left").withColumn("_rec", F.coalesce("_start", "_carry"))
+    l3 = l3.filter(F.col("_rec.k")).withColumn("rec_pos", F.col("_rec.p"))
+    recs = l3.groupBy("file", "rec_pos").agg(
         F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("_ls"))
     first = F.col("_ls")[0]["line"]
     return recs.select(
@@ -175,6 +181,11 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     ev = table(spark, sf_dir, "events").select(
         "event_id", "ts", "user_id", F.round(F.col("value") * 100).cast("bigint").alias("cents"))
+    # a small input file is one scan task; spread the string-heavy generation over the
+    # cores (never triggers on large inputs, whose scans already have enough splits)
+    cores = spark.sparkContext.defaultParallelism
+    if ev.rdd.getNumPartitions() < cores:
+        ev = ev.repartition(cores)
     u, e = F.col("user_id"), F.col("event_id")
     kind = e % 6
     v = _value_text(F.col("cents"))
