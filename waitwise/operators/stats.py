@@ -212,6 +212,30 @@ def priority_index(normalised: DataFrame, weights: DataFrame, group: Sequence[st
     return cpi.withColumn("ord", F.row_number().over(w))
 
 
+def priority_index_wide(df: DataFrame, group: Sequence[str], item: Sequence[str],
+                        criteria: dict[str, Column], weights: dict[str, float] | None = None) -> DataFrame:
+    """C12+C13 in one pass over a wide table: min-max scale each criterion within ``group``
+    (windows on the same partitioning), CPI = Σ w·z with normalised weights, ranked.
+
+    Same result as criteria_normalise → priority_index, without the unpivot, the weight
+    join and the join back to the items; adds ``cpi`` and ``ord`` to ``df``.
+    """
+    weights = weights or {c: 1.0 for c in criteria}
+    total = float(sum(weights.values()))
+    w = Window.partitionBy(*group)
+    out = df
+    cpi = None
+    for name, expr in criteria.items():
+        v = expr.cast("double")
+        lo, hi = F.min(v).over(w), F.max(v).over(w)
+        z = F.when(hi > lo, (v - lo) / (hi - lo)).otherwise(F.lit(0.0))
+        term = F.lit(weights[name] / total) * z
+        cpi = term if cpi is None else cpi + term
+    out = out.withColumn("cpi", cpi)
+    rank = Window.partitionBy(*group).orderBy(F.round("cpi", 9).desc(), *item)
+    return out.withColumn("ord", F.row_number().over(rank))
+
+
 def sum_artifact_check(samples: DataFrame, key: Sequence[str], value_seconds: Column,
                        period_seconds: int, ts: str = "ts") -> DataFrame:
     """C14: summed parallel time / period per interval; >1.5 artefact, (1, 1.5] check logs, ≤1 fine.

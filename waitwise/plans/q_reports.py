@@ -34,7 +34,7 @@ WITH branch_summary AS (
 transaction_summary AS (
   SELECT h.bid, count(*) AS transaction_count, sum(h.delta) AS net_flow, count(DISTINCT h.aid) AS active_accounts,
          min(h.mtime) AS first_transaction, max(h.mtime) AS last_transaction
-  FROM history h WHERE h.mtime > (SELECT max(mtime) FROM history) - INTERVAL 7 DAY GROUP BY h.bid)
+  FROM history h WHERE h.mtime > (SELECT max(o_orderdate) FROM orders) - INTERVAL 7 DAY GROUP BY h.bid)
 SELECT bs.bid, bs.account_count, bs.total_balance, bs.avg_balance,
        coalesce(t.transaction_count, 0) AS transaction_count, coalesce(t.net_flow, 0.0) AS net_flow,
        coalesce(t.active_accounts, 0) AS active_accounts,
@@ -55,27 +55,32 @@ def _b9_inputs(spark, sf):
     return B.branches(spark, sf), B.accounts(spark, sf), B.history(spark, sf)
 
 
+def _as_of(spark, sf):
+    """``now()`` of the scenario: the latest order date (one column of one scan, partial max)."""
+    return B.table(spark, sf, "orders").select(F.max("o_orderdate").cast("timestamp_ntz")).scalar()
+
+
 @register("branch_activity", "B9", _b9_sql("WHERE total_balance > 0 ORDER BY total_balance DESC, bid LIMIT 100"))
 def q_branch_activity(spark, sf):
     """The OLAP scenario: per-branch balances with 7-day activity, top 100 by balance."""
-    return R.branch_activity(*_b9_inputs(spark, sf))
+    return R.branch_activity(*_b9_inputs(spark, sf), as_of=_as_of(spark, sf))
 
 
 @register("branch_activity_join", "J2", _b9_sql(""))
 def q_branch_activity_join(spark, sf):
     """The left-join part of the OLAP scenario for every branch (unmatched → 0)."""
-    return R.branch_activity(*_b9_inputs(spark, sf), limit=None)
+    return R.branch_activity(*_b9_inputs(spark, sf), as_of=_as_of(spark, sf), limit=None)
 
 
 @register("point_lookup_join", "J1", with_bindings("""
 SELECT a.aid, a.bid, a.abalance, n.n_name
 FROM accounts a JOIN nation n ON a.bid = n.n_nationkey
-WHERE a.aid IN (SELECT aid FROM history WHERE mtime > (SELECT max(mtime) FROM history) - INTERVAL 30 DAY)""",
+WHERE a.aid IN (SELECT aid FROM history WHERE mtime > (SELECT max(o_orderdate) FROM orders) - INTERVAL 30 DAY)""",
     "accounts", "history"))
 def q_point_lookup_join(spark, sf):
     """Accounts active in the last 30 days (semi-join on the id set) with their branch."""
     h = B.history(spark, sf)
-    recent = h.filter(F.col("mtime") > h.select(F.max("mtime")).scalar() - F.expr("INTERVAL 30 DAYS"))
+    recent = h.filter(F.col("mtime") > _as_of(spark, sf) - F.expr("INTERVAL 30 DAYS"))
     br = B.table(spark, sf, "nation").select(F.col("n_nationkey").alias("bid"), "n_name")
     return R.point_lookup_join(B.accounts(spark, sf), br, recent)
 

@@ -295,9 +295,8 @@ FROM ({_io_pairs_sql()}) q JOIN ({_CPI_SQL}) c USING (cluster, device, x, y)""",
 def q_report_vmstat_vs_iostat(spark, sf):
     """vmstat × device metric analysis for all devices in one job, with the CPI ranking."""
     a = _io_analysis(spark, sf)
-    norm = stats.criteria_normalise(_crit_df(a), ["cluster", "device"], ["x", "y"], ["abs_r", "r2", "one_minus_p"])
-    cpi = stats.priority_index(norm, stats.criteria_weights(_equal_weights(spark)), ["cluster", "device"], ["x", "y"])
-    return a.join(cpi, ["cluster", "device", "x", "y"])
+    crit = {"abs_r": F.abs("r"), "r2": F.col("r2"), "one_minus_p": 1 - F.col("p")}
+    return stats.priority_index_wide(a, ["cluster", "device"], ["x", "y"], crit)
 
 
 @register("criteria_weights", "C11", with_bindings("""
