@@ -1,7 +1,7 @@
 """Correlation, regression and ranking operators.
 
 Every many-pair statistic is computed in ONE grouped aggregation: each pair becomes
-a handful of aggregate expressions (count, corr, regr_*) over the aligned wide table,
+a covariance (plus one mean and variance per column, shared) over the aligned wide table,
 and the per-pair results are turned into rows afterwards with ``inline``. There is
 no self-join of a long metric table, so the work is one shuffle of partial
 aggregates regardless of the number of pairs.
@@ -31,10 +31,10 @@ def pearson(x: Column, y: Column) -> Column:
     return _guard(x, y, F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y))))
 
 
-def pair_stats(df: DataFrame, key: Sequence[str], pairs: Sequence[Pair]) -> DataFrame:
+def pair_stats(df: DataFrame, key: Sequence[str], pairs: Sequence[Pair], with_sums: bool = False) -> DataFrame:
     """Per key and (x, y) pair: n, Pearson r, least-squares y = intercept + slope*x, R².
 
-    Output columns: *key, x, y, n, r, slope, intercept, r2.
+    Output columns: *key, x, y, n, r, slope, intercept, r2 (+ sum_x, sum_y with ``with_sums``).
 
     The aggregation holds one mean and one population variance per column (shared by
     every pair using it) and one population covariance per pair; r, slope and
@@ -58,6 +58,8 @@ def pair_stats(df: DataFrame, key: Sequence[str], pairs: Sequence[Pair]) -> Data
             aggs[names[0]] = F.count(v)
             aggs[names[1]] = F.avg(v)
             aggs[names[2]] = F.var_pop(v)
+            if with_sums:
+                aggs[f"s[{tag}]"] = F.sum(F.col(c) if not masked else F.when(F.col(other).isNotNull(), F.col(c)))
         return names
 
     structs: list[Column] = []
@@ -70,10 +72,12 @@ def pair_stats(df: DataFrame, key: Sequence[str], pairs: Sequence[Pair]) -> Data
         ok = (vxc > 0) & (vyc > 0)
         r = F.when(ok, F.try_divide(cc, F.sqrt(vxc * vyc)))
         slope = F.when(vxc > 0, F.try_divide(cc, vxc))
-        structs.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"`{nx}`").alias("n"),
-                                r.alias("r"), slope.alias("slope"),
-                                (F.col(f"`{my}`") - slope * F.col(f"`{mx}`")).alias("intercept"),
-                                F.pow(r, 2).alias("r2")))
+        fields = [F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"`{nx}`").alias("n"), r.alias("r"),
+                  slope.alias("slope"), (F.col(f"`{my}`") - slope * F.col(f"`{mx}`")).alias("intercept"),
+                  F.pow(r, 2).alias("r2")]
+        if with_sums:
+            fields += [F.col(f"`s{mx[1:]}`").alias("sum_x"), F.col(f"`s{my[1:]}`").alias("sum_y")]
+        structs.append(F.struct(*fields))
     wide = df.groupBy(*key).agg(*[a.alias(n) for n, a in aggs.items()])
     return wide.select(*key, F.inline(F.array(*structs)))
 
@@ -151,14 +155,10 @@ def weighted_wait_correlation(series: DataFrame, key: Sequence[str], wait_types:
     Output: *key, wait_event_type, n, r, r2, share, weight, weight_band (types seen only).
     """
     cols = [f"waits_{t}" for t in wait_types]
-    stats = pair_stats(series, key, [(c, total) for c in cols])
-    sums = series.groupBy(*key).agg(
-        F.sum(total).alias("_tot"),
-        F.inline(F.array(*[F.struct(F.lit(c).alias("x"), F.sum(c).alias("_part")) for c in cols])))
-    # sums has one row per key and type: tiny, joined on the same key as stats
-    joined = stats.join(sums, [*key, "x"])
-    share = F.when(F.col("_tot") > 0, F.col("_part") / F.col("_tot"))
-    return (joined.filter(F.col("_part") > 0)
+    # one aggregation: pair moments and the column sums for the shares
+    stats = pair_stats(series, key, [(c, total) for c in cols], with_sums=True)
+    share = F.when(F.col("sum_y") > 0, F.col("sum_x") / F.col("sum_y"))
+    return (stats.filter(F.col("sum_x") > 0)
             .select(*key, F.regexp_replace("x", "^waits_", "").alias("wait_event_type"), "n", "r", "r2",
                     share.alias("share"))
             .withColumn("weight", F.col("r") * F.col("share"))
