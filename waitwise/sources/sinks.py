@@ -17,15 +17,19 @@ def retain_recent(df: DataFrame, days: int, ts: str = "ts") -> DataFrame:
 
 def write_report(df: DataFrame, path: str, report: str, interval: str, fmt: str = "csv",
                  partition_cols: Sequence[str] = ()) -> None:
-    """Append one report (spreadsheet-friendly CSV with header, or parquet) under
-    ``path/report=<report>/interval=<interval>/...``; extra partition columns (e.g.
-    ``device``) give one file set per device from a single job, not a loop."""
-    out = df.withColumn("report", F.lit(report)).withColumn("interval", F.lit(interval))
-    w = out.write.mode("append").partitionBy("report", "interval", *partition_cols)
+    """Write one report (spreadsheet-friendly CSV with header, or parquet) to
+    ``path/report=<report>/interval=<interval>/`` (Hive-style folders, so reading ``path``
+    discovers both as columns). Re-running a report replaces its folder, which keeps
+    retries idempotent; an empty report still gets its folder. Extra partition columns
+    (e.g. ``device``) give one file set per device from a single job, not a loop."""
+    target = f"{path.rstrip('/')}/report={report}/interval={interval}"
+    w = df.write.mode("overwrite")
+    if partition_cols:
+        w = w.partitionBy(*partition_cols)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.option("header", True).csv(target)
     else:
-        w.format(fmt).save(path)
+        w.format(fmt).save(target)
 
 
 def settings_snapshot_filter(settings: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
