@@ -36,6 +36,22 @@ def test_minute_metrics_stream_equals_batch(spark, tmpdir_path):
         batch.select("cluster", "ts", "calls", "nrows", "waits")).count() == 0
 
 
+def test_rolling_median_stream_equals_batch(spark, tmpdir_path):
+    src = ST.read_events_stream(spark, _events_dir(tmpdir_path))
+    q = ST.start(ST.stream_rolling_median(src, "60 minutes", "10 minutes"), os.path.join(tmpdir_path, "ck2"),
+                 name="f2_out")
+    q.awaitTermination()
+    got = spark.table("f2_out")
+    ws = B.wait_samples(spark, SF001).withColumn("ts", F.col("ts").cast("timestamp"))
+    batch = ws.groupBy("cluster", F.window("ts", "60 minutes", "10 minutes").alias("w")).agg(
+        F.percentile("cents", 0.5).alias("med"), F.count(F.lit(1)).alias("n")).select(
+        "cluster", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "med", "n")
+    last = got.agg(F.max("end")).collect()[0][0]
+    batch = batch.filter(F.col("end") <= last)
+    assert got.count() == batch.count() > 0
+    assert got.exceptAll(batch).count() == 0
+
+
 def test_incident_sessions_equal_islands(spark, tmpdir_path):
     tri = T.performance_triplet(B.cluster_series(spark, SF001), minutes=360)
     d = os.path.join(tmpdir_path, "tri")
