@@ -185,7 +185,8 @@ def metric_analysis_2stage(series: DataFrame, key: Sequence[str], pairs: Sequenc
 
 def criteria_weights(dim: DataFrame) -> DataFrame:
     """C11: normalised weights w / sum(w) of a small (criterion, raw_weight) dimension."""
-    return dim.select("criterion", (F.col("raw_weight") / F.sum("raw_weight").over(Window.partitionBy())).alias("w"))
+    total = dim.select(F.sum("raw_weight")).scalar()
+    return dim.select("criterion", (F.col("raw_weight") / total).alias("w"))
 
 
 def criteria_normalise(df: DataFrame, group: Sequence[str], item: Sequence[str],

@@ -74,8 +74,8 @@ def sqlstate_dim(spark: SparkSession, path: str | None = None) -> DataFrame:
         lines = spark.createDataFrame([(i, t) for i, t in enumerate(SQLSTATE_TEXT.splitlines())],
                                       "ord int, value string")
     else:
-        raw = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_id"))
-        lines = raw.select(F.row_number().over(Window.orderBy("_id")).alias("ord"), "value")
+        # ids increase in file order (split, then row), which is all ``ord`` needs
+        lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), "value")
     pat = r"^([0-9A-Z]{5})\s+([A-Za-z_][A-Za-z_0-9]*)"
     return (lines.filter(F.col("value").rlike(pat))
                  .select(F.regexp_extract("value", pat, 1).alias("code"),
