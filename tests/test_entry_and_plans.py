@@ -73,3 +73,17 @@ def test_branch_activity_aggregates_before_join(spark):
     opt = df._jdf.queryExecution().optimizedPlan().toString()
     # accounts are aggregated per branch below the branch join (partial aggregation of the big side)
     assert opt.index("Aggregate [bid") > opt.index("Join LeftOuter")
+
+
+@pytest.mark.parametrize("name", ["rolling_median_cluster", "incident_intervals", "autovacuum_events",
+                                  "trend_line", "state_id", "log_time_slice", "forgetting"])
+def test_results_do_not_depend_on_session_time_zone(spark, name):
+    from __spark_entry__ import queries
+    fn = queries()[name]
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        la = sorted(map(repr, fn(spark, SF001).collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    utc = sorted(map(repr, fn(spark, SF001).collect()))
+    assert la == utc

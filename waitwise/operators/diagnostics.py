@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waitwise.functions.bands import R2_BANDS, band_label
+from waitwise.sources.bindings import bucket, epoch_seconds
 
 # The reference's thresholds for context-switch contention.
 CS_PER_CORE_LIMIT = 50000
@@ -106,14 +107,14 @@ def last_incident_time(series: DataFrame, incidents: DataFrame, key: Sequence[st
     b = incidents.select(*key, F.col("f").alias("ts"), F.col("f").alias("_f"), F.lit(0).alias("_side"))
     w = Window.partitionBy(*key).orderBy("ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
     u = a.unionByName(b).withColumn("last_finish", F.last("_f", ignorenulls=True).over(w))
-    age = (F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("last_finish").cast("timestamp"))) / 60
+    age = (epoch_seconds("ts") - epoch_seconds("last_finish")) / 60
     return u.filter(F.col("_side") == 1).select(*key, "ts", "last_finish", age.cast("bigint").alias("age_min"))
 
 
 def incident_count_24h(incidents: DataFrame, key: Sequence[str] = ("cluster",), hours: int = 24) -> DataFrame:
     """B10 (rolling form): for each incident, incidents of the same key started in the
     preceding ``hours`` hours including itself."""
-    w = (Window.partitionBy(*key).orderBy(F.unix_timestamp(F.col("s").cast("timestamp")))
+    w = (Window.partitionBy(*key).orderBy(epoch_seconds("s"))
          .rangeBetween(-hours * 3600 + 1, 0))
     return incidents.select(*key, "incident_id", "s", F.count(F.lit(1)).over(w).alias("n_24h"))
 
@@ -134,9 +135,8 @@ def interval_compare(long: DataFrame, windows: DataFrame, key: Sequence[str] = (
     """
     key = list(key)
     day = F.expr("INTERVAL 1 DAY")
-    wv = windows.withColumn("_d", F.explode(F.sequence(F.date_trunc("day", "s").cast("timestamp_ntz"),
-                                                      F.date_trunc("day", "f").cast("timestamp_ntz"), day)))
-    lv = long.withColumn("_d", F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    wv = windows.withColumn("_d", F.explode(F.sequence(bucket("s", "day"), bucket("f", "day"), day)))
+    lv = long.withColumn("_d", bucket("ts", "day"))
     j = lv.join(wv, [*key, "_d"]).filter((F.col("ts") >= F.col("s")) & (F.col("ts") <= F.col("f")))
     agg = j.groupBy(*key, "incident_id", "metric").agg(
         F.percentile(F.when(F.col("interval") == "baseline", F.col("value")), 0.5).alias("med_base"),

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waitwise.sources.bindings import bucket
+
 # Message patterns of the server log (Russian first, then English, as the
 # reference tries them), each with one capture group.
 AV_TABLE = [r'автоматическая очистка таблицы "([^"]+)"', r'automatic vacuum of table "([^"]+)"']
@@ -56,7 +58,7 @@ def autovacuum_events(records: DataFrame) -> DataFrame:
     three = F.size(parts) >= 3
     secs = _first(r, AV_ELAPSED)
     return av.filter(name.isNotNull()).select(
-        F.date_trunc("second", F.col("ts")).cast("timestamp_ntz").alias("curr_timestamp"),
+        bucket("ts", "second").alias("curr_timestamp"),
         F.get(parts, 0).alias("database_name"),
         F.when(three, F.get(parts, 1)).otherwise(F.lit("public")).alias("schema_name"),
         F.when(three, F.get(parts, 2)).otherwise(F.get(parts, 1)).alias("table_name"),

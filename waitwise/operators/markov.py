@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waitwise.operators.timeseries import rolling
+from waitwise.sources.bindings import epoch_seconds
 from waitwise.session import cut_lineage
 
 N_STATES = 189
@@ -36,7 +37,7 @@ def state_inputs(aligned: DataFrame, os_metric: str = "us", wait_metric: str = "
     key = list(key)
     w = rolling(key, minutes)
     x, y = F.col(os_metric).cast("double"), F.col(wait_metric).cast("double")
-    t = F.unix_timestamp(F.col("ts").cast("timestamp")) / 60.0
+    t = epoch_seconds("ts") / 60.0
     base = aligned.withColumn("_t", t)
     out = base.select(
         *key, "ts",
@@ -79,7 +80,7 @@ def forgetting(tr: DataFrame, alpha: float = 0.05, as_of: Column | None = None,
     (default: the latest transition). Derived, never mutated."""
     if as_of is None:
         as_of = tr.select(F.max("ts")).scalar()
-    age = (F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp(F.col("ts").cast("timestamp"))) / 86400.0
+    age = (epoch_seconds(as_of) - epoch_seconds("ts")) / 86400.0
     return tr.groupBy(*key, "from_state", "to_state").agg(F.sum(F.pow(F.lit(1.0 - alpha), age)).alias("w"))
 
 
@@ -193,9 +194,8 @@ def training_sufficiency(tr: DataFrame, key: Sequence[str] = ("cluster",), min_n
     distributions estimated on the first and second half of each cluster's period."""
     key = list(key)
     wk = Window.partitionBy(*key)
-    lo, hi = F.min("ts").over(wk), F.max("ts").over(wk)
-    mid = F.timestamp_seconds((F.unix_timestamp(lo.cast("timestamp")) + F.unix_timestamp(hi.cast("timestamp"))) / 2)
-    t = tr.withColumn("half", F.when(F.col("ts").cast("timestamp") < mid, 1).otherwise(2))
+    lo, hi = F.min(epoch_seconds("ts")).over(wk), F.max(epoch_seconds("ts")).over(wk)
+    t = tr.withColumn("half", F.when(epoch_seconds("ts") < (lo + hi) / 2, 1).otherwise(2))
     cnt = t.groupBy(*key, "half", "from_state", "to_state").agg(F.count(F.lit(1)).alias("n"))
     p = cnt.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*key, "half", "from_state")))
     p1 = p.filter("half = 1").select(*key, "from_state", "to_state", F.col("p").alias("p1"))

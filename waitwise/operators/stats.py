@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from waitwise.functions.bands import (R2_BANDS, SIGNIFICANCE_ALPHA, TREND_BANDS, WEIGHT_BANDS,
                                       band_label)
 from waitwise.functions.tdist import p_value, t_stat
+from waitwise.sources.bindings import bucket, epoch_seconds
 
 Pair = tuple[str, str]
 
@@ -123,7 +124,7 @@ def trend_line(df: DataFrame, key: Sequence[str], metrics: Sequence[str], ts: st
     Output: *key, metric, n, slope, intercept, r2, k, k_band.
     """
     w = Window.partitionBy(*key)
-    t = (F.unix_timestamp(F.col(ts).cast("timestamp")) - F.min(F.unix_timestamp(F.col(ts).cast("timestamp"))).over(w)) / 60.0
+    t = (epoch_seconds(ts) - F.min(epoch_seconds(ts)).over(w)) / 60.0
     base = df.withColumn("_t", t)
     aggs, structs = [], []
     for i, m in enumerate(metrics):
@@ -244,7 +245,7 @@ def sum_artifact_check(samples: DataFrame, key: Sequence[str], value_seconds: Co
     Returns per interval: *key, ts, total_s, ratio, verdict.
     """
     grain = {60: "minute", 3600: "hour", 86400: "day"}[period_seconds]
-    per = samples.groupBy(*key, F.date_trunc(grain, F.col(ts)).cast("timestamp_ntz").alias("ts")).agg(
+    per = samples.groupBy(*key, bucket(ts, grain).alias("ts")).agg(
         F.sum(value_seconds).alias("total_s"))
     ratio = F.col("total_s") / F.lit(float(period_seconds))
     verdict = (F.when(F.round(ratio, 9) > 1.5, "artefact").when(F.round(ratio, 9) > 1.0, "check raw logs")

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waitwise.sources.bindings import bucket
+from waitwise.sources.bindings import bucket, epoch_seconds
 
 
 # ---------------------------------------------------------------- A4-A7
@@ -130,7 +130,7 @@ def time_window_filter(df: DataFrame, s: str | None, f: str | None, ts: str = "t
 
 def rolling(key: Sequence[str], minutes: int, ts: str = "ts") -> Window:
     """Trailing RANGE frame of ``minutes`` on epoch seconds of ``ts``."""
-    return (Window.partitionBy(*key).orderBy(F.unix_timestamp(F.col(ts).cast("timestamp")))
+    return (Window.partitionBy(*key).orderBy(epoch_seconds(ts))
             .rangeBetween(-minutes * 60, 0))
 
 
@@ -142,7 +142,7 @@ def performance_triplet(series: DataFrame, key: Sequence[str] = ("cluster",), mi
     slope(waits) > 0 and r(speed, waits) < 0. ``r`` is kept for priority bands.
     """
     w = rolling(key, minutes, ts)
-    t = F.unix_timestamp(F.col(ts).cast("timestamp")) / 60.0
+    t = epoch_seconds(ts) / 60.0
     sp, wt = F.col("speed").cast("double"), F.col("waits").cast("double")
     base = series.withColumn("_t", t)
     out = base.select(

@@ -28,8 +28,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bucket(ts: Column | str, grain: str) -> Column:
-    """Truncate to the grain and keep TIMESTAMP_NTZ (date_trunc returns TIMESTAMP)."""
-    return F.date_trunc(grain, F.col(ts) if isinstance(ts, str) else ts).cast("timestamp_ntz")
+    """Truncate a TIMESTAMP_NTZ to the grain, independent of the session time zone.
+
+    (``date_trunc`` would go through TIMESTAMP in the session zone, which moves local
+    times that fall into a daylight-saving gap.)
+    """
+    c = F.col(ts) if isinstance(ts, str) else ts
+    zero = F.lit(0)
+    parts = {
+        "second": (F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c), F.floor(F.second(c))),
+        "minute": (F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c), zero),
+        "hour": (F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), zero, zero),
+        "day": (F.year(c), F.month(c), F.dayofmonth(c), zero, zero, zero),
+        "month": (F.year(c), F.month(c), F.lit(1), zero, zero, zero),
+    }[grain]
+    return F.make_timestamp_ntz(*parts)
+
+
+def epoch_seconds(ts: Column | str) -> Column:
+    """Seconds since 1970 of a TIMESTAMP_NTZ read as UTC (no session-zone dependence)."""
+    return F.unix_timestamp(F.col(ts) if isinstance(ts, str) else ts)
 
 
 def _tag(prefix: str, c: Column) -> Column:

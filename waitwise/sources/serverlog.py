@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waitwise.sources.bindings import table
+from waitwise.sources.bindings import bucket, table
 
 START_RE = r"^\s*\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d+"
 TS_RE = r"^\s*(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2})"
@@ -147,7 +147,7 @@ def log_prefix_fields(records: DataFrame, col: str = "record") -> DataFrame:
 
 def log_time_slice(records: DataFrame, s: str, f: str) -> DataFrame:
     """A10: records whose minute lies in [s, f] (minute-inclusive on both ends)."""
-    m = F.date_trunc("minute", F.col("ts")).cast("timestamp_ntz")
+    m = bucket("ts", "minute")
     return records.filter((m >= F.lit(s).cast("timestamp_ntz")) & (m <= F.lit(f).cast("timestamp_ntz")))
 
 
