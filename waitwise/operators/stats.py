@@ -43,44 +43,46 @@ def pair_stats(df: DataFrame, key: Sequence[str], pairs: Sequence[Pair], with_su
     rows where both sides are present count), non-nullable ones need no mask.
     """
     nullable = {f.name: f.nullable for f in df.schema.fields}
-    aggs: dict[str, Column] = {}
-
-    def col_stats(c: str, other: str) -> tuple[str, str, str]:
-        """(count, mean, var) aggregate names for column c in a pair with ``other``."""
-        masked = nullable.get(c, True) or nullable.get(other, True)
-        v = F.col(c).cast("double")
-        if masked:
-            v = F.when(F.col(other).isNotNull(), v)
-            tag = f"{c}|{other}"
-        else:
-            tag = c
-        names = (f"n[{tag}]", f"m[{tag}]", f"v[{tag}]")
-        if names[0] not in aggs:
-            aggs[names[0]] = F.count(v)
-            aggs[names[1]] = F.avg(v)
-            aggs[names[2]] = F.var_pop(v)
-            if with_sums:
-                aggs[f"s[{tag}]"] = F.sum(F.col(c) if not masked else F.when(F.col(other).isNotNull(), F.col(c)))
-        return names
-
-    structs: list[Column] = []
+    # Built as SQL expression text: a wide aggregation written with Column objects costs
+    # thousands of driver<->JVM calls to construct; the text form is one call per aggregate.
+    aggs: dict[str, str] = {}      # alias -> aggregate expression text
+    names: dict[tuple, str] = {}   # (kind, column, mask) -> alias
+
+    def q(c: str) -> str:
+        return "`" + c.replace("`", "``") + "`"
+
+    def alias(kind: str, c: str, mask: str | None, expr: str) -> str:
+        k = (kind, c, mask)
+        if k not in names:
+            names[k] = f"_{kind}{len(names)}"
+            aggs[names[k]] = expr
+        return names[k]
+
+    def col_stats(c: str, other: str) -> tuple[str, str, str, str | None]:
+        """(count, mean, var, sum) aggregate aliases for column c in a pair with ``other``."""
+        mask = other if (nullable.get(c, True) or nullable.get(other, True)) else None
+        raw = q(c) if mask is None else f"CASE WHEN {q(other)} IS NOT NULL THEN {q(c)} END"
+        v = f"CAST({raw} AS DOUBLE)"
+        out = (alias("n", c, mask, f"count({v})"), alias("m", c, mask, f"avg({v})"),
+               alias("v", c, mask, f"var_pop({v})"),
+               alias("s", c, mask, f"sum({raw})") if with_sums else None)
+        return out
+
+    structs: list[str] = []
     for x, y in pairs:
-        nx, mx, vx = col_stats(x, y)
-        _, my, vy = col_stats(y, x)
-        cov = f"c[{x}|{y}]"
-        aggs[cov] = F.covar_pop(F.col(x).cast("double"), F.col(y).cast("double"))
-        vxc, vyc, cc = F.col(f"`{vx}`"), F.col(f"`{vy}`"), F.col(f"`{cov}`")
-        ok = (vxc > 0) & (vyc > 0)
-        r = F.when(ok, F.try_divide(cc, F.sqrt(vxc * vyc)))
-        slope = F.when(vxc > 0, F.try_divide(cc, vxc))
-        fields = [F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"`{nx}`").alias("n"), r.alias("r"),
-                  slope.alias("slope"), (F.col(f"`{my}`") - slope * F.col(f"`{mx}`")).alias("intercept"),
-                  F.pow(r, 2).alias("r2")]
+        nx, mx, vx, sx = col_stats(x, y)
+        _, my, vy, sy = col_stats(y, x)
+        cov = alias("c", f"{x}|{y}", None, f"covar_pop(CAST({q(x)} AS DOUBLE), CAST({q(y)} AS DOUBLE))")
+        r = f"CASE WHEN {vx} > 0 AND {vy} > 0 THEN try_divide({cov}, sqrt({vx} * {vy})) END"
+        slope = f"CASE WHEN {vx} > 0 THEN try_divide({cov}, {vx}) END"
+        lit_x, lit_y = x.replace("'", "\\'"), y.replace("'", "\\'")
+        fields = [f"'x', '{lit_x}'", f"'y', '{lit_y}'", f"'n', {nx}", f"'r', {r}", f"'slope', {slope}",
+                  f"'intercept', {my} - ({slope}) * {mx}", f"'r2', pow({r}, 2)"]
         if with_sums:
-            fields += [F.col(f"`s{mx[1:]}`").alias("sum_x"), F.col(f"`s{my[1:]}`").alias("sum_y")]
-        structs.append(F.struct(*fields))
-    wide = df.groupBy(*key).agg(*[a.alias(n) for n, a in aggs.items()])
-    return wide.select(*key, F.inline(F.array(*structs)))
+            fields += [f"'sum_x', {sx}", f"'sum_y', {sy}"]
+        structs.append("named_struct(" + ", ".join(fields) + ")")
+    wide = df.groupBy(*key).agg(*[F.expr(f"{e} AS {a}") for a, e in aggs.items()])
+    return wide.selectExpr(*[q(k) for k in key], "inline(array(" + ", ".join(structs) + "))")
 
 
 def all_pairs(xs: Sequence[str], ys: Sequence[str] | None = None) -> list[Pair]:

@@ -23,8 +23,18 @@ IOSTAT_METRICS = ["r_s", "w_s", "await_ms", "util"]
 CLUSTER_METRICS = ["calls", "nrows", "speed", "waits"]
 
 
+_TABLES: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table (lazy). Reused per session and path, so the file listing and the
+    schema read happen once, not in every query that mentions the table."""
+    path = f"{sf_dir}/{name}.parquet"
+    key = (id(spark), path)
+    df = _TABLES.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _TABLES[key] = spark.read.parquet(path)
+    return df
 
 
 def bucket(ts: Column | str, grain: str) -> Column:
