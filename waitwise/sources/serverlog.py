@@ -110,7 +110,9 @@ def assemble_records(lines: DataFrame, start_filter: str | None = None) -> DataF
     start = F.when(is_start, F.struct(F.col("pos").alias("p"), keep.alias("k")))
     w_in = Window.partitionBy("file", "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     l2 = lines.withColumn("_start", F.last(start, ignorenulls=True).over(w_in))
-    per_chunk = lines.groupBy("file", "chunk").agg(F.max(start).alias("_last"))
+    # derived from the windowed lines (already clustered by file, chunk): the input is
+    # read and shuffled once, the per-chunk summary needs no second exchange
+    per_chunk = l2.groupBy("file", "chunk").agg(F.max("_start").alias("_last"))
     w_chunks = Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = per_chunk.select("file", "chunk", F.last("_last", ignorenulls=True).over(w_chunks).alias("_carry"))
     # one row per chunk: small next to the lines, joined on (file, chunk)
