@@ -113,3 +113,11 @@ def test_sqlstate_dim_from_file(spark, tmpdir_path):
                             "40P01    deadlock_detected  some comment\nbad line", "codes.txt")
     got = [(r["code"], r["condition"]) for r in S.sqlstate_dim(spark, p).orderBy("ord").collect()]
     assert got == [("00000", "successful_completion"), ("40P01", "deadlock_detected")]
+
+
+def test_error_counts_strict(spark, tmpdir_path):
+    text = LOG + "\n" + P.format(m="14", s="00", code="40P01") + "STATEMENT:  select 'ERROR' from t"
+    lines = S.read_log_lines(spark, _write(tmpdir_path, text))
+    loose = {r["code"]: r["n"] for r in L.error_counts(lines, S.sqlstate_dim(spark)).collect()}
+    strict = {r["code"]: r["n"] for r in L.error_counts(lines, S.sqlstate_dim(spark), strict=True).collect()}
+    assert loose["40P01"] == 2 and strict["40P01"] == 1    # keyword inside a statement counts only loosely

@@ -71,3 +71,12 @@ def test_forgetting_weights(spark):
     tr = spark.createDataFrame(rows, "cluster string, ts timestamp_ntz, from_state int, to_state int")
     w = M.forgetting(tr, alpha=0.5).collect()[0]["w"]
     assert abs(w - (1 + 0.5 + 0.25)) < 1e-12
+
+
+def test_adaptive_forgetting(spark):
+    base = dt.datetime(2024, 1, 10)
+    rows = [(c, base - dt.timedelta(days=d), 1, 2) for c in ("a", "b") for d in (0, 1)]
+    tr = spark.createDataFrame(rows, "cluster string, ts timestamp_ntz, from_state int, to_state int")
+    drift = spark.createDataFrame([("a", 0.0), ("b", 1.0)], "cluster string, drift double")
+    w = {r["cluster"]: r["w"] for r in M.forgetting(tr, alpha=0.1, drift=drift).collect()}
+    assert abs(w["a"] - (1 + 0.9)) < 1e-12 and abs(w["b"] - (1 + 0.8)) < 1e-12   # α doubled by drift 1

@@ -75,13 +75,24 @@ def transition_frequencies(tr: DataFrame, key: Sequence[str] = ("cluster",)) ->
 
 
 def forgetting(tr: DataFrame, alpha: float = 0.05, as_of: Column | None = None,
-               key: Sequence[str] = ("cluster",)) -> DataFrame:
+               key: Sequence[str] = ("cluster",), drift: DataFrame | None = None,
+               max_alpha: float = 0.5) -> DataFrame:
     """M5: exponentially forgotten counts w = Σ (1-α)^(age in days), age from ``as_of``
-    (default: the latest transition). Derived, never mutated."""
+    (default: the latest transition). Derived, never mutated.
+
+    Adaptive variant: with ``drift`` (per key, e.g. ``training_sufficiency`` output) each
+    key forgets faster when its matrix drifts: α_key = min(max_alpha, α·(1 + drift)).
+    """
+    key = list(key)
     if as_of is None:
         as_of = tr.select(F.max("ts")).scalar()
     age = (epoch_seconds(as_of) - epoch_seconds("ts")) / 86400.0
-    return tr.groupBy(*key, "from_state", "to_state").agg(F.sum(F.pow(F.lit(1.0 - alpha), age)).alias("w"))
+    a = F.lit(alpha)
+    if drift is not None:
+        # one row per key: small next to the transitions, joined on the grouping key
+        tr = tr.join(drift.select(*key, "drift"), key, "left")
+        a = F.least(F.lit(max_alpha), a * (1 + F.coalesce(F.col("drift"), F.lit(0.0))))
+    return tr.groupBy(*key, "from_state", "to_state").agg(F.sum(F.pow(1 - a, age)).alias("w"))
 
 
 def transition_probabilities(freq: DataFrame, weight: str = "n", key: Sequence[str] = ("cluster",)) -> DataFrame:
