@@ -11,6 +11,7 @@ from waitwise.plans.duck import with_bindings
 from waitwise.plans.q_diag import _INC_CTES
 from waitwise.plans.q_series import TRIPLET_MINUTES, _TRIPLET_SQL
 from waitwise.plans.registry import register
+from waitwise.session import cut_lineage
 from waitwise.sources import bindings as B
 
 GRAIN = "hour"
@@ -26,19 +27,30 @@ def _aligned(spark, sf):
     return B.aligned_series(spark, sf, GRAIN).select("cluster", "ts", "waits", "us")
 
 
-def _states(spark, sf):
-    return M.state_id(M.state_inputs(_aligned(spark, sf), minutes=STATE_MINUTES))
+def _series(spark, sf):
+    """The per-(cluster, hour) series every chain step reads, aggregated from the raw
+    samples ONCE and checkpointed (it is small: one row per cluster and interval), so
+    states, indicator and incidents do not each re-scan and re-aggregate the samples."""
+    s = B.aligned_series(spark, sf, GRAIN).select("cluster", "ts", "speed", "waits", "us")
+    return cut_lineage(s)
 
 
-def _triplet(spark, sf):
-    return T.performance_triplet(B.cluster_series(spark, sf, GRAIN), minutes=TRIPLET_MINUTES)
+def _states(spark, sf, series=None):
+    series = series if series is not None else _series(spark, sf)
+    return M.state_id(M.state_inputs(series.select("cluster", "ts", "waits", "us"), minutes=STATE_MINUTES))
+
+
+def _triplet(spark, sf, series=None):
+    series = series if series is not None else _series(spark, sf)
+    return T.performance_triplet(series.select("cluster", "ts", "speed", "waits"), minutes=TRIPLET_MINUTES)
 
 
 def _chain(spark, sf):
-    st = _states(spark, sf)
+    series = _series(spark, sf)
+    st = _states(spark, sf, series)
     tr = M.transitions(st)
     p = M.transition_probabilities(M.transition_frequencies(tr))
-    ab = M.absorbing_states(st, _triplet(spark, sf))
+    ab = M.absorbing_states(st, _triplet(spark, sf, series))
     return st, tr, p, ab, M.absorbing_matrix(p, ab)
 
 
@@ -239,7 +251,13 @@ CROSS JOIN (VALUES {', '.join(f'(CAST({t!r} AS DOUBLE))' for t in THRESHOLDS)})
 GROUP BY 1, 2"""))
 def q_forecast_quality(spark, sf):
     """One-step risk against incidents starting within the next 6 hours: Brier, precision, recall."""
-    st, tr, p, ab, pa = _chain(spark, sf)
-    inc = G.incident_intervals(_triplet(spark, sf))
+    series = _series(spark, sf)
+    st = _states(spark, sf, series)
+    tr = M.transitions(st)
+    p = M.transition_probabilities(M.transition_frequencies(tr))
+    tri = _triplet(spark, sf, series)
+    ab = M.absorbing_states(st, tri)
+    pa = M.absorbing_matrix(p, ab)
+    inc = G.incident_intervals(tri)
     return M.forecast_quality(st, M.risk_1min(pa, ab), inc, HORIZON_MINUTES, THRESHOLDS).withColumn(
         "tp", F.col("tp").cast("bigint")).withColumn("predicted", F.col("predicted").cast("bigint"))
