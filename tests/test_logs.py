@@ -121,3 +121,16 @@ def test_error_counts_strict(spark, tmpdir_path):
     loose = {r["code"]: r["n"] for r in L.error_counts(lines, S.sqlstate_dim(spark)).collect()}
     strict = {r["code"]: r["n"] for r in L.error_counts(lines, S.sqlstate_dim(spark), strict=True).collect()}
     assert loose["40P01"] == 2 and strict["40P01"] == 1    # keyword inside a statement counts only loosely
+
+
+def test_records_independent_of_chunking(spark):
+    """Any chunking of the same lines assembles the same records (boundary fragments joined)."""
+    from pyspark.sql import functions as F
+    from tests.conftest import SF001
+    lines = S.log_lines(spark, SF001).select("file", "pos", "line")
+    ref = sorted(map(tuple, S.assemble_records(lines.withColumn("chunk", F.lit(0)))
+                 .select("file", "rec_pos", "record").collect()))
+    for k in (1, 2, 5, 97):
+        got = sorted(map(tuple, S.assemble_records(lines.withColumn("chunk", F.floor(F.col("pos") / k)))
+                     .select("file", "rec_pos", "record").collect()))
+        assert got == ref

@@ -8,8 +8,11 @@ bounded it is computed per *chunk* (a file split, or a block of line numbers):
 1. inside each (file, chunk) a window gives the last start seen so far;
 2. each chunk's last start goes into a small table (one row per chunk), where a
    window over chunks gives the start carried in from earlier chunks;
-3. lines before any start in their chunk take the carried-in start.
-No window ever spans a whole file, so a single huge log file does not become one task.
+3. lines before any start in their chunk take the carried-in start;
+4. records are assembled inside the (file, chunk) partitioning; only the few records
+   that cross a chunk boundary are shuffled again to join their fragments.
+No window ever spans a whole file, so a single huge log file does not become one task,
+and the log text is shuffled once.
 """
 
 from __future__ import annotations
@@ -107,19 +110,35 @@ def assemble_records(lines: DataFrame, start_filter: str | None = None) -> DataF
     """
     is_start = F.col("line").rlike(START_RE)
     keep = F.lit(True) if start_filter is None else F.col("line").rlike(start_filter)
-    start = F.when(is_start, F.struct(F.col("pos").alias("p"), keep.alias("k")))
+    start = F.when(is_start, F.struct(F.col("pos").alias("p"), keep.alias("k"), F.col("chunk").alias("c")))
     w_in = Window.partitionBy("file", "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     l2 = lines.withColumn("_start", F.last(start, ignorenulls=True).over(w_in))
-    # derived from the windowed lines (already clustered by file, chunk): the input is
-    # read and shuffled once, the per-chunk summary needs no second exchange
-    per_chunk = l2.groupBy("file", "chunk").agg(F.max("_start").alias("_last"))
-    w_chunks = Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_chunk.select("file", "chunk", F.last("_last", ignorenulls=True).over(w_chunks).alias("_carry"))
+    # per chunk (derived from the windowed lines, already clustered by file and chunk, so
+    # no second exchange): its last record start and whether it opens with continuation
+    # lines of a record begun in an earlier chunk
+    per_chunk = l2.groupBy("file", "chunk").agg(
+        F.max("_start").alias("_last"), (~F.min_by(is_start, F.col("pos"))).alias("_lead"))
+    w_chunks = Window.partitionBy("file").orderBy("chunk")
+    carry = per_chunk.select(
+        "file", "chunk", "_last",
+        F.last("_last", ignorenulls=True).over(w_chunks.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"),
+        F.coalesce(F.lead("_lead").over(w_chunks), F.lit(False)).alias("_next_lead"))
     # one row per chunk: small next to the lines, joined on (file, chunk)
     l3 = l2.join(carry, ["file", "chunk"], "left").withColumn("_rec", F.coalesce("_start", "_carry"))
     l3 = l3.filter(F.col("_rec.k")).withColumn("rec_pos", F.col("_rec.p"))
-    recs = l3.groupBy("file", "rec_pos").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("_ls"))
+    # a record crosses a chunk boundary iff this line continues a record started in an
+    # earlier chunk, or its record is the chunk's last and the next chunk opens with
+    # continuation lines — known per row, no lookup
+    crosses = (F.col("_rec.c") != F.col("chunk")) | (
+        (F.col("rec_pos") == F.col("_last.p")) & F.col("_next_lead"))
+    # fragments per (file, chunk, record): grouped inside the (file, chunk) partitioning
+    frag = l3.groupBy("file", "chunk", "rec_pos").agg(
+        F.collect_list(F.struct("pos", "line")).alias("_ls"), F.max(crosses).alias("_x"))
+    whole = frag.filter(~F.col("_x")).select("file", "rec_pos", F.array_sort("_ls").alias("_ls"))
+    # only records that cross a chunk boundary (at most one per boundary) are shuffled
+    joined = frag.filter(F.col("_x")).groupBy("file", "rec_pos").agg(
+        F.array_sort(F.flatten(F.collect_list("_ls"))).alias("_ls"))
+    recs = whole.unionByName(joined)
     first = F.col("_ls")[0]["line"]
     return recs.select(
         "file", "rec_pos",
