@@ -13,6 +13,7 @@ from waitwise.plans.duck import with_bindings
 from waitwise.plans.q_series import TRIPLET_MINUTES, _TRIPLET_SQL
 from waitwise.plans.q_stats import _D1_SELECT, _WAIT_LONG_SQL, _pairs_sql
 from waitwise.plans.registry import register
+from waitwise.session import cut_lineage
 from waitwise.sources import bindings as B
 from waitwise.sources import serverlog as S
 
@@ -21,8 +22,15 @@ CORES = 8
 WINDOW_MINUTES = 180
 
 
-def _incidents(spark, sf):
-    tri = T.performance_triplet(B.cluster_series(spark, sf, GRAIN), minutes=TRIPLET_MINUTES)
+def _cs(spark, sf):
+    """Cluster series aggregated once and checkpointed (small: one row per cluster and
+    hour) when a query reads it in several branches (incidents + the series itself)."""
+    return cut_lineage(B.cluster_series(spark, sf, GRAIN))
+
+
+def _incidents(spark, sf, cs=None):
+    cs = cs if cs is not None else B.cluster_series(spark, sf, GRAIN)
+    tri = T.performance_triplet(cs, minutes=TRIPLET_MINUTES)
     return G.incident_intervals(tri)
 
 
@@ -75,8 +83,9 @@ JOIN (SELECT cluster, ts, metric, CAST(value AS DOUBLE) AS value
 GROUP BY 1, 2, 3"""))
 def q_interval_compare(spark, sf):
     """Per incident and metric: baseline vs incident medians, absolute and relative change."""
-    win = T.incident_windows(_incidents(spark, sf), WINDOW_MINUTES)
-    long = T.to_long(B.cluster_series(spark, sf, GRAIN), ["cluster"], B.CLUSTER_METRICS)
+    cs = _cs(spark, sf)
+    win = T.incident_windows(_incidents(spark, sf, cs), WINDOW_MINUTES)
+    long = T.to_long(cs, ["cluster"], B.CLUSTER_METRICS)
     return G.interval_compare(long, win)
 
 
@@ -86,7 +95,8 @@ FROM (SELECT c.cluster, c.ts, (SELECT max(i.f) FROM incidents i WHERE i.cluster
              AS last_finish FROM cluster_series c) q"""))
 def q_last_incident_time(spark, sf):
     """Time since the last finished incident for every cluster-hour."""
-    return G.last_incident_time(B.cluster_series(spark, sf, GRAIN), _incidents(spark, sf))
+    cs = _cs(spark, sf)
+    return G.last_incident_time(cs, _incidents(spark, sf, cs))
 
 
 @register("incident_count_24h", "B10", _inc_sql("""
@@ -140,7 +150,7 @@ FROM ({_leak_sql()}) l"""
 
 
 def _g3(spark, sf):
-    cs = B.cluster_series(spark, sf, GRAIN)
+    cs = _cs(spark, sf)
     return G.leak_suspects(T.to_long(cs, ["cluster"], B.CLUSTER_METRICS), stats.trend_line(cs, ["cluster"],
                                                                                             B.CLUSTER_METRICS))
 
