@@ -134,3 +134,15 @@ def test_records_independent_of_chunking(spark):
         got = sorted(map(tuple, S.assemble_records(lines.withColumn("chunk", F.floor(F.col("pos") / k)))
                      .select("file", "rec_pos", "record").collect()))
         assert got == ref
+
+
+def test_files_for_date_newest_fallback(spark, tmpdir_path):
+    _write(tmpdir_path, LOG.split("\n", 1)[1])     # first line is a record start
+    _write(tmpdir_path, P.format(m="00", s="00", code="00000").replace("03-01", "03-02") + "LOG: x",
+           "postgresql-2024-03-02.log")
+    lines = S.read_log_lines(spark, tmpdir_path)
+    assert S.log_files_for_date(lines, ["2024-05-01"]).count() == 0
+    got = S.log_files_for_date(lines, ["2024-05-01"], fallback_newest=True).collect()
+    assert [os.path.basename(r["file"]) for r in got] == ["postgresql-2024-03-02.log"]
+    got = S.log_files_for_date(lines, ["2024-03-01"], fallback_newest=True).collect()
+    assert [os.path.basename(r["file"]) for r in got] == ["postgresql-2024-03-01.log"]

@@ -172,15 +172,23 @@ def log_time_slice(records: DataFrame, s: str, f: str) -> DataFrame:
     return records.filter((m >= F.lit(s).cast("timestamp_ntz")) & (m <= F.lit(f).cast("timestamp_ntz")))
 
 
-def log_files_for_date(lines: DataFrame, dates: list[str] | None = None) -> DataFrame:
+def log_files_for_date(lines: DataFrame, dates: list[str] | None = None,
+                       fallback_newest: bool = False) -> DataFrame:
     """Each file's first line and its timestamp; keep files whose first line carries one
-    of ``dates`` (all files when None). Accepts many files and many days."""
+    of ``dates`` (all files when None). Accepts many files and many days. With
+    ``fallback_newest`` the newest file is returned when no file matches."""
     first = lines.groupBy("file").agg(F.min_by("line", "pos").alias("_first"))
     raw = F.regexp_extract("_first", TS_RE, 1)
     ts = F.when(raw != "", F.to_timestamp_ntz(F.regexp_replace(raw, r"\s+", " ")))
     out = first.select("file", ts.alias("first_ts")).filter(F.col("first_ts").isNotNull())
     if dates is not None:
-        out = out.filter(F.to_date("first_ts").cast("string").isin(dates))
+        matched = out.filter(F.to_date("first_ts").cast("string").isin(dates))
+        if not fallback_newest:
+            return matched
+        # no file for the dates: fall back to the newest file (scalar subqueries, no collect)
+        n_matched = matched.select(F.count(F.lit(1))).scalar()
+        newest = out.select(F.max("first_ts")).scalar()
+        return matched.unionByName(out.filter((n_matched == 0) & (F.col("first_ts") == newest)))
     return out
 
 
