@@ -217,3 +217,34 @@ FROM (SELECT *, max(CASE WHEN regexp_matches(line, '^\\s*\\d{4}-\\d{2}-\\d{2}\\s
 WHERE rec_pos IS NOT NULL
 GROUP BY file, rec_pos"""
 DEPENDS["log_records"] = ["log_lines"]
+
+
+def round_double_outputs(sqls: dict[str, str], sample_dir: str, digits: int = 9) -> dict[str, str]:
+    """Wrap each oracle so its DOUBLE output columns are rounded like the Spark side
+    (round to ``digits``, then + 0.0 to fold -0.0). Column types come from DuckDB's
+    DESCRIBE of the query over the views of ``sample_dir``; an oracle that cannot be
+    described is returned unchanged."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+              "embeddings", "pages", "benchmark", "labels", "conversations"]:
+        try:
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sample_dir}/{t}.parquet')")
+        except Exception:  # noqa: BLE001 - a missing table only matters to oracles that read it
+            pass
+    out = {}
+    for name, sql in sqls.items():
+        try:
+            cols = [(r[0], r[1]) for r in con.execute(f"DESCRIBE {sql}").fetchall()]
+        except Exception:  # noqa: BLE001
+            out[name] = sql
+            continue
+        dbl = [c for c, t in cols if t in ("DOUBLE", "FLOAT")]
+        if not dbl:
+            out[name] = sql
+            continue
+        rep = ", ".join(f'round("{c}", {digits}) + 0.0 AS "{c}"' for c in dbl)
+        out[name] = f"SELECT * REPLACE ({rep}) FROM ({sql}) oracle_q"
+    con.close()
+    return out

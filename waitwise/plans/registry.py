@@ -18,9 +18,10 @@ DIGITS = 9
 
 
 def finish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round every double output column (both engines round the same columns)."""
-    cols = [F.round(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType))
-            else F.col(f.name) for f in df.schema.fields]
+    """Round every double output column to ``digits`` (the oracle side does the same);
+    adding 0.0 turns a rounded -0.0 into 0.0 so both engines print the same value."""
+    cols = [(F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name)
+            if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name) for f in df.schema.fields]
     return df.select(*cols)
 
 
