@@ -100,14 +100,16 @@ def stream_transitions(states: DataFrame) -> DataFrame:
 
 def log_import_batch(out_path: str) -> Callable[[DataFrame, int], None]:
     """F5 body for ``foreachBatch``: assemble the batch's closed log files into records,
-    parse autovacuum events (L1) and append them to ``out_path``."""
+    parse autovacuum events (L1) and write them to ``out_path/batch_id=<n>`` (idempotent)."""
     def run(batch: DataFrame, batch_id: int) -> None:
         # the micro-batch is a static frame still in file-split order: number lines here
         lines = batch.select("file", "chunk", F.monotonically_increasing_id().alias("_mid"), "line").select(
             "file", "chunk", F.struct(F.col("chunk").alias("c"), F.expr("_mid & 8589934591").alias("r")).alias("pos"),
             "line")
         ev = L.autovacuum_events(S.assemble_records(lines))
-        ev.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
+        # one folder per micro-batch, overwritten on retry: a re-run batch (after an
+        # executor or driver failure) replaces its own output instead of appending twice
+        ev.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
     return run
 
 
