@@ -102,3 +102,27 @@ def test_log_import_stream(spark, tmpdir_path):
     exp = L.autovacuum_events(S.assemble_records(lines))
     assert got.count() == exp.count() > 0
     assert got.drop("batch_id").exceptAll(exp).count() == 0
+
+
+def test_transitions_state_across_batches(spark, tmpdir_path):
+    import glob
+    import time
+    states = QM._states(spark, SF001).select("cluster", "ts", "state")
+    d = os.path.join(tmpdir_path, "states_in_order")
+    os.makedirs(d)
+    cuts = ["2024-01-01", "2024-01-10", "2024-01-20", "2024-02-01"]
+    for i in range(3):   # three time slices arriving one after another
+        part = os.path.join(tmpdir_path, f"slice{i}")
+        states.filter((F.col("ts") >= cuts[i]) & (F.col("ts") < cuts[i + 1])).coalesce(1).write.parquet(part)
+        for f in glob.glob(os.path.join(part, "*.parquet")):
+            shutil.copy(f, os.path.join(d, f"slice{i}.parquet"))
+        time.sleep(1.1)
+    src = spark.readStream.schema("cluster string, ts timestamp_ntz, state int").option(
+        "maxFilesPerTrigger", 1).parquet(d)
+    q = ST.start(ST.stream_transitions(src), os.path.join(tmpdir_path, "ck4b"), name="f4b_out")
+    q.awaitTermination()
+    assert len(q.recentProgress) >= 3
+    got = spark.table("f4b_out").select("cluster", F.col("ts").cast("timestamp_ntz").alias("ts"), "from_state",
+                                        "to_state")
+    exp = M.transitions(QM._states(spark, SF001)).select("cluster", "ts", "from_state", "to_state")
+    assert got.count() == exp.count() and got.exceptAll(exp).count() == 0

@@ -74,17 +74,19 @@ TRANSITION_SCHEMA = "cluster string, ts timestamp, from_state int, to_state int"
 def _transition_fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     prev_ts, prev_state = (state.get if state.exists else (None, None))
     for pdf in pdfs:
-        pdf = pdf.sort_values("ts")
-        out_from, out_to, out_ts = [], [], []
-        for ts, st in zip(pdf["ts"], pdf["state"]):
-            if prev_ts is not None and ts > prev_ts:
-                out_from.append(prev_state)
-                out_to.append(int(st))
-                out_ts.append(ts)
-            if prev_ts is None or ts > prev_ts:
-                prev_ts, prev_state = ts, int(st)
-        if out_ts:
-            yield pd.DataFrame({"cluster": key[0], "ts": out_ts, "from_state": out_from, "to_state": out_to})
+        pdf = pdf.sort_values("ts").drop_duplicates("ts", keep="first")
+        if prev_ts is not None:
+            pdf = pdf[pdf["ts"] > prev_ts]          # late or repeated rows are ignored
+        if pdf.empty:
+            continue
+        to_state = pdf["state"].astype("int64").to_numpy()
+        from_state = pd.Series(to_state).shift(1).to_numpy()
+        from_state[0] = prev_state if prev_state is not None else float("nan")
+        out = pd.DataFrame({"cluster": key[0], "ts": pdf["ts"].to_numpy(), "from_state": from_state,
+                            "to_state": to_state}).dropna(subset=["from_state"])
+        prev_ts, prev_state = pdf["ts"].iloc[-1], int(to_state[-1])
+        if len(out):
+            yield out.astype({"from_state": "int32", "to_state": "int32"})
     state.update((prev_ts, prev_state))
 
 
