@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waitwise.sources.bindings import bucket, table
+from waitwise.sources.bindings import bucket, reuse_plan, table
 
 START_RE = r"^\s*\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d+"
 TS_RE = r"^\s*(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2})"
@@ -201,6 +201,7 @@ def _value_text(cents: Column) -> Column:
     return F.concat(_num(F.expr("cents div 100")), F.lit("."), F.lpad(_num(cents % 100), 2, "0"))
 
 
+@reuse_plan
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Server-log lines derived from ``events`` (see FIXTURES): kind = event_id % 6 chooses a
     checkpoint (EN/RU), autovacuum (EN/RU, 3 lines), temporary file or error/warning line.
