@@ -213,8 +213,11 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", "ts", "user_id", F.round(F.col("value") * 100).cast("bigint").alias("cents"))
     # a small input file is one scan task; spread the string-heavy generation over the
     # cores (never triggers on large inputs, whose scans already have enough splits)
-    cores = spark.sparkContext.defaultParallelism
-    if ev.rdd.getNumPartitions() < cores:
+    try:
+        cores, parts = spark.sparkContext.defaultParallelism, ev.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: keep the scan's partitions
+        cores, parts = 0, 0
+    if parts < cores:
         ev = ev.repartition(cores)
     u, e = F.col("user_id"), F.col("event_id")
     kind = e % 6
