@@ -33,3 +33,24 @@ def test_log_report(spark, tmpdir_path):
     assert _reports(out) == sorted(names)
     av = spark.read.option("header", True).csv(os.path.join(out, "report=autovacuum")).collect()
     assert len(av) == 1 and int(av[0]["n"]) > 0
+
+
+def test_summary_report_matches_direct_computation(spark, tmpdir_path):
+    from pyspark.sql import functions as F
+
+    from waitwise.operators import stats
+    from waitwise.operators import timeseries as T
+    from waitwise.sources import bindings as B
+    s, f = "2024-01-03 00:00:00", "2024-01-25 23:59:59"
+    t = bundles.Telemetry.from_tables(spark, SF001)
+    out = os.path.join(tmpdir_path, "direct")
+    bundles.summary_report(t, s, f, out, "probe", fmt="parquet")
+    got = spark.read.parquet(os.path.join(out, "report=wait_types", "interval=probe"))
+    exp = stats.wait_analysis_3stage(T.time_window_filter(B.aligned_series(spark, SF001), s, f), ["cluster"],
+                                     B.WAIT_TYPES)
+    cols = ["cluster", "wait_event_type", "n", "kept"]
+    assert got.count() == exp.count() > 0
+    assert got.select(*cols).exceptAll(exp.select(*cols)).count() == 0
+    r = got.select("cluster", "wait_event_type", F.round("r", 9).alias("r")).exceptAll(
+        exp.select("cluster", "wait_event_type", F.round("r", 9).alias("r")))
+    assert r.count() == 0
