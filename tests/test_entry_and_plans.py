@@ -87,3 +87,15 @@ def test_results_do_not_depend_on_session_time_zone(spark, name):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     utc = sorted(map(repr, fn(spark, SF001).collect()))
     assert la == utc
+
+
+def test_literal_as_of_is_pushed_to_the_orders_scan(spark):
+    from pyspark.sql import functions as F
+
+    from waitwise.operators import reports as R
+    from waitwise.sources import bindings as B
+    as_of = F.lit("1998-08-02 00:00:00").cast("timestamp_ntz")
+    df = R.branch_activity(B.branches(spark, SF001), B.accounts(spark, SF001), B.history(spark, SF001), as_of=as_of)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    scan = [ln for ln in plan.splitlines() if "orders.parquet" in ln][0]
+    assert "GreaterThan(o_orderdate" in scan.split("PushedFilters:")[1]
