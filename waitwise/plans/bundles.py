@@ -41,10 +41,15 @@ class Telemetry:
     buffers: DataFrame
 
     @classmethod
-    def from_tables(cls, spark: SparkSession, sf_dir: str, grain: str = "hour") -> "Telemetry":
-        return cls(B.wait_samples(spark, sf_dir), B.aligned_series(spark, sf_dir, grain),
-                   B.iostat_series(spark, sf_dir, grain), B.dirty_samples(spark, sf_dir),
-                   B.query_texts(spark, sf_dir), B.buffer_series(spark, sf_dir))
+    def from_tables(cls, spark: SparkSession, sf_dir: str, grain: str = "hour", s: str | None = None,
+                    f: str | None = None) -> "Telemetry":
+        """The telemetry tables; with ``s``/``f`` the raw samples are filtered on their own
+        timestamp before any aggregation, so the filter reaches the parquet scan and a
+        report reads only its interval's row groups."""
+        ws = T.time_window_filter(B.wait_samples(spark, sf_dir), s, f)
+        return cls(ws, B.aligned_from_samples(ws, grain), B.iostat_from_samples(ws, grain),
+                   T.time_window_filter(B.dirty_samples(spark, sf_dir), s, f),
+                   T.time_window_filter(B.query_texts(spark, sf_dir), s, f), B.buffer_series(spark, sf_dir))
 
     def window(self, s: str, f: str, persist: bool = True) -> "Telemetry":
         """The same tables restricted to s <= ts <= f (persisted for the report run)."""

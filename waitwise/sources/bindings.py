@@ -148,7 +148,11 @@ def aligned_series(spark: SparkSession, sf_dir: str, grain: str = "hour") -> Dat
     Both series come from the same samples and the same (cluster, interval) key, so the
     join is replaced by a single grouped aggregation: one scan, one shuffle.
     """
-    ws = wait_samples(spark, sf_dir)
+    return aligned_from_samples(wait_samples(spark, sf_dir), grain)
+
+
+def aligned_from_samples(ws: DataFrame, grain: str = "hour") -> DataFrame:
+    """The aligned series of any (e.g. time-filtered) wait-sample DataFrame."""
     et = F.col("event_type")
     by_type = [F.count(F.when(F.col("wait_event_type") == t, 1)).alias(f"waits_{t}") for t in WAIT_TYPES]
     agg = ws.groupBy("cluster", bucket("ts", grain).alias("ts")).agg(
@@ -174,7 +178,12 @@ def aligned_series(spark: SparkSession, sf_dir: str, grain: str = "hour") -> Dat
 @reuse_plan
 def iostat_series(spark: SparkSession, sf_dir: str, grain: str = "hour") -> DataFrame:
     """Per (cluster, device, interval) iostat-like columns; device = 'dev' || user_id % 4."""
-    ws = wait_samples(spark, sf_dir).withColumn("device", _tag("dev", F.col("queryid") % 4))
+    return iostat_from_samples(wait_samples(spark, sf_dir), grain)
+
+
+def iostat_from_samples(ws: DataFrame, grain: str = "hour") -> DataFrame:
+    """The iostat series of any (e.g. time-filtered) wait-sample DataFrame."""
+    ws = ws.withColumn("device", _tag("dev", F.col("queryid") % 4))
     et = F.col("event_type")
     return ws.groupBy("cluster", "device", bucket("ts", grain).alias("ts")).agg(
         F.count(F.when(et == "view", 1)).alias("r_s"),
