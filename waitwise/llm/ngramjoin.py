@@ -1,8 +1,9 @@
 """N-gram Jaccard join: documents whose word-shingle sets have a Jaccard similarity of at least 0.8.
 
-Equal sets are one node. Nodes that can be similar share one of the first ``n - ceil(0.8 n) + 1`` shingles
-of their sets in any fixed order (frequent shingles last, then by hash), so each node sends those shingles
-only. Candidates are compared in two steps, both exact as a whole:
+Equal sets are one node. In any fixed order of shingles (frequent ones last, then by hash), two similar sets
+share at least k of the first ``n - ceil(0.8 n) + k`` of each, so each node sends those only, with k = 1 + n / 25;
+a node that shares fewer of them with others than its smallest possible partner's k has no partner and leaves.
+The rest is compared in two steps, exact as a whole:
 
 * every node of a shingle with the shingle's smallest node (a star, so a group of g copies makes g pairs);
 * where a shingle still joins nodes of different components, all its nodes across components, in tiles of
@@ -74,6 +75,11 @@ def need(size: int) -> int:
     return -(-PERCENT * size // 100)
 
 
+def prefix_extra(size):
+    """k: shingles that a set shares, at least, with a similar one in their prefixes (the smaller set's k holds)."""
+    return 1 + size // 25
+
+
 def bitmap(h: np.ndarray) -> np.ndarray:
     """Hashed bitmap of a set; its length depends on the size band (at least two bits a shingle)."""
     bits = max(64, 1 << int(2 * len(h) - 1).bit_length())
@@ -157,7 +163,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                         continue
                     node.append(int(mix(h ^ np.uint64(0xA5A5)).sum(dtype=np.uint64).view(np.int64)))
                     check.append(int(mix(h ^ np.uint64(0x5A5A5A)).sum(dtype=np.uint64).view(np.int64)))
-                    size = len(h) - need(len(h)) + 1
+                    size = min(len(h), len(h) - need(len(h)) + prefix_extra(len(h)))
                     if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
                         late = frequent[at] == h
@@ -315,29 +321,49 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _with_enough_shared(shared: DataFrame, info: DataFrame, rounds: int = 2) -> DataFrame:
+    """``shared`` (token, node) without the nodes that share too few shingles to have a partner, and without
+    the shingles that are left with one node. More rounds drop more, none drops a node of a link."""
+    smallest = F.ceil(F.col("n") * PERCENT / F.lit(100.0)).cast("long")       # size of the smallest partner
+    least = F.lit(1) + F.floor(smallest / 25)
+    for _ in range(rounds):
+        nodes = shared.groupBy("node").agg(F.count(F.lit(1)).alias("c")).join(info.select("node", "n"), "node").filter(F.col("c") >= least)
+        shared = shared.join(nodes.select("node"), "node", "left_semi")
+        tokens = shared.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
+        shared = shared.join(tokens.select("token"), "token", "left_semi").checkpoint()
+    return shared
+
+
 def link_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, its own included) of every row."""
     rows = stored(sketch(docs), "ngram-sketch")
-    nodes = stored(rows.filter("n > 0").groupBy("node", "check")
-                   .agg(F.min("doc_id").alias("min_doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")),
-                   "ngram-nodes")
-    sent = nodes.select("node", F.explode("prefix").alias("token"))
-    stars = sent.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top").select("token", "hub")
-    shared = stored(sent.join(stars, "token").select("token", "node", "hub"), "ngram-shared")
-    first = shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    classes = stored(rows.filter("n > 0").groupBy("node", "check").agg(F.min("doc_id").alias("min_doc"), F.first("n").alias("n")), "ngram-classes")
+    sent = rows.select("node", F.explode("prefix").alias("token"))
+    several = sent.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token")
+    shared = stored(sent.join(several, "token").select("token", "node").distinct(), "ngram-shared")
+    shared = _with_enough_shared(shared, classes)
+
+    # bitmaps of the nodes that are left
+    left = shared.select("node").distinct()
+    bits = rows.select("node", "bits").filter(maybe_in(left, "node", F.col("node"))).groupBy("node").agg(F.first("bits").alias("bits"))
+    nodes = classes.join(left, "node", "left_semi").join(bits, "node").checkpoint()
+
+    hubs = shared.groupBy("token").agg(F.min("node").alias("hub"))
+    first = shared.join(hubs, "token").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = _linked(_may_link(first, nodes).checkpoint(), docs, nodes).checkpoint()
     label = components(links).checkpoint()
 
     # shingles that still hold nodes of several components: compare across them
-    named = shared.select("token", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = shared.join(label, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
-    members = named.join(mixed, "token").join(nodes.select("node", "n", "bits"), "node")
+    apart = _with_enough_shared(named.join(mixed, "token", "left_semi").select("token", "node"), nodes, 1)
+    members = apart.join(nodes.select("node", "n", "bits"), "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = _tile_pairs(members).checkpoint()
     if not rest.isEmpty():
         more = _linked(rest, docs, nodes)
         label = components(label.filter("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(more)).checkpoint()
 
-    home = nodes.select("node", "check", "min_doc").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    home = classes.select("node", "check", "min_doc").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = home.groupBy("label").agg(F.min("min_doc").alias("component_id"))
     of = home.join(smallest, "label").select("node", "check", "component_id")
     return (rows.select("doc_id", "n", "node", "check").join(of, ["node", "check"], "left")
