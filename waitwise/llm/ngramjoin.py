@@ -5,9 +5,10 @@ share at least k of the first ``n - ceil(0.8 n) + k`` of each, so each node send
 a node that shares fewer of them with others than its smallest possible partner's k has no partner and leaves.
 The rest is compared in two steps, exact as a whole:
 
-* every node of a shingle with the shingle's smallest node (a star, so a group of g copies makes g pairs);
-* where a shingle still joins nodes of different components, all its nodes across components, in tiles of
-  nodes of neighbouring size bands, split into blocks of bounded size.
+* every node of a shingle with the shingle's ``STARS`` smallest nodes (stars: a group of g copies makes
+  STARS * g pairs, and a shingle of few nodes is done with);
+* the others of a shingle, where they lie in different components, in tiles of nodes of neighbouring size
+  bands, split into blocks of bounded size.
 
 Each node has a bitmap of its hashed shingles. A bit that two bitmaps differ in is a shingle they do not share,
 so bit counts bound the overlap from above; only pairs that can still reach the threshold have their sorted
@@ -29,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waitwise.llm.common import SubstringHash, maybe_in, mix, stored, text_blocks, without_ids
+from waitwise.llm.common import SubstringHash, maybe_in, mix, stored, text_blocks, union_all, without_ids
 
 WORDS, PERCENT = 5, 80
 #: A shingle in more than 1 / FREQUENT of the documents is ordered last (at most FREQUENT * mean set size of them).
 FREQUENT = 400
+#: Smallest nodes of each shingle that all its nodes are compared with first.
+STARS = 4
 #: Nodes of one tile block; a hot tile is split into pairs of blocks.
 BLOCK_NODES = 512
 
@@ -348,15 +351,20 @@ def link_documents(docs: DataFrame) -> DataFrame:
     bits = rows.select("node", "bits").filter(maybe_in(left, "node", F.col("node"))).groupBy("node").agg(F.first("bits").alias("bits"))
     nodes = classes.join(left, "node", "left_semi").join(bits, "node").checkpoint()
 
-    hubs = shared.groupBy("token").agg(F.min("node").alias("hub"))
-    first = shared.join(hubs, "token").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    pairs, others = [], shared
+    for _ in range(STARS):
+        hubs = others.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("hi")).filter("hub < hi").select("token", "hub")
+        star = others.join(hubs, "token").filter("node <> hub").checkpoint()
+        pairs.append(star.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+        others = star.select("token", "node")
+    first = union_all(pairs).distinct()
     links = _linked(_may_link(first, nodes).checkpoint(), docs, nodes).checkpoint()
     label = components(links).checkpoint()
 
-    # shingles that still hold nodes of several components: compare across them
-    named = shared.join(label, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
+    # nodes not compared yet share enough shingles among those that are left, across components
+    named = others.join(label, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
-    apart = _with_enough_shared(named.join(mixed, "token", "left_semi").select("token", "node"), nodes, 1)
+    apart = _with_enough_shared(named.join(mixed, "token", "left_semi").select("token", "node"), nodes)
     members = apart.join(nodes.select("node", "n", "bits"), "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = _tile_pairs(members).checkpoint()
     if not rest.isEmpty():
