@@ -39,6 +39,8 @@ FREQUENT = 400
 STARS = 4
 #: Nodes of one tile block; a hot tile is split into pairs of blocks.
 BLOCK_NODES = 512
+#: Smallest shingles of a node that travel with it, so that a pair comes out of the first tile it shares.
+LOWEST = 16
 
 _NORMAL = np.arange(256, dtype=np.uint8)
 _NORMAL[65:91] += 32
@@ -239,7 +241,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def _tile_pairs(members: DataFrame) -> DataFrame:
     """Pairs (a, b) across components among the nodes of a shingle, that sizes and bitmaps allow.
 
-    ``members``: token, node, label, n, bits. Tile = shingle and size band (a ratio of 1.25, so a similar pair lies in
+    ``members``: token, node, label, n, bits, low (smallest shingles of the node among those compared here). Tile = shingle and size band (a ratio of 1.25, so a similar pair lies in
     one band or in two neighbours: the smaller set is sent up one band too).
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / PERCENT))).cast("int")
@@ -252,7 +254,7 @@ def _tile_pairs(members: DataFrame) -> DataFrame:
     dealt = (placed.join(sizes, ["token", "tile"]).withColumn("s", blocks)
              .withColumn("k", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
              .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-             .select("token", "tile", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "own", "node", "label", "n", "bits"))
+             .select("token", "tile", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "own", "node", "label", "n", "bits", "low"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -283,7 +285,10 @@ def _compare_tile(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     length = min(len(x) for x in raw)
     bits = np.stack([fold(x, length) for x in raw])
     bits = bits.view(np.uint64)
-    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    i, j, token = (t.column(c)[0].as_py() for c in ("i", "j", "token"))
+    low = np.full((len(node), LOWEST), np.iinfo(np.int64).max)
+    for r, x in enumerate(t.column("low")):
+        low[r, :len(x)] = x.values.to_numpy()
     a, b = [], []
     for x in range(len(node) - 1):
         rest = np.arange(x + 1, len(node))
@@ -295,6 +300,9 @@ def _compare_tile(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             differ = np.bitwise_count(bits[rest] ^ bits[x]).sum(axis=1, dtype=np.int64)
             bound = (n[rest] + n[x] - differ) // 2
             hit = rest[100 * bound >= PERCENT * (n[rest] + n[x] - bound)]
+            earlier = low[x][low[x] < token]           # a smaller shingle of both: the pair came out there
+            if len(earlier) and len(hit):
+                hit = hit[~np.isin(low[hit], earlier).any(axis=1)]
             a.append(np.minimum(node[hit], node[x]))
             b.append(np.maximum(node[hit], node[x]))
     empty = np.zeros(0, np.int64)
@@ -365,7 +373,8 @@ def link_documents(docs: DataFrame) -> DataFrame:
     named = others.join(label, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
     apart = _with_enough_shared(named.join(mixed, "token", "left_semi").select("token", "node"), nodes)
-    members = apart.join(nodes.select("node", "n", "bits"), "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    low = apart.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("token")), 1, LOWEST).alias("low"))
+    members = apart.join(nodes.select("node", "n", "bits").join(low, "node"), "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = _tile_pairs(members).checkpoint()
     if not rest.isEmpty():
         more = _linked(rest, docs, nodes)
