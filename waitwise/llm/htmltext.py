@@ -215,9 +215,12 @@ def main_text(source: str | None, weights: Weights) -> str:
 
 
 def labelled_pages(pages: DataFrame, max_rows: int = MAX_LABELLED) -> list[str]:
-    marked = pages.filter(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
-    rows = marked.select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(max_rows)
-    return [r["html"] for r in rows.collect()]
+    """Pages that mark their main text: the first ``max_rows`` in the order of a hash of the id."""
+    marked = pages.filter(F.col("html").rlike("(?i)<(article|main)[\\s>]") & F.col("page_id").isNotNull())
+    # ids first, so that only the chosen pages' texts travel
+    pick = marked.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(max_rows)
+    rows = pages.select("page_id", "html").join(F.broadcast(pick), "page_id").collect()
+    return [r["html"] for r in sorted(rows, key=lambda r: (r["page_id"], r["html"] or "")) if r["html"]][:max_rows]
 
 
 def text_column(source: Column, weights: Weights) -> Column:
