@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from waitwise.llm import decontaminate, mixing, ngramjoin, quality, sharding
 from waitwise.llm.common import stored, table
 
+#: Junk is gone by now, so the mix is of clean and toxic text.
+MIX_DOMAINS = {"clean": "toxic = 0", "toxic": "toxic = 1"}
+MIX_TARGETS = {"clean": 0.98, "toxic": 0.02}
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the byte-level classifier does not reject."""
@@ -30,7 +34,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by their fitted rates: domains above their target weight are thinned out."""
-    return mixing.mix_documents(docs, table(spark, sf_dir, "labels"))
+    return mixing.mix_documents(docs, table(spark, sf_dir, "labels"), MIX_TARGETS, MIX_DOMAINS)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

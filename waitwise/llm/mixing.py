@@ -183,8 +183,9 @@ def _rates_after(history: list[list[float]], share: list[Column]) -> Column:
 def fit_rates(members: DataFrame, model: DomainModel, targets: dict[str, float]) -> DataFrame:
     """(cell, tokens, rate) of every posterior that occurs in ``members`` (tokens, cell).
 
-    The target total is the largest that no domain has to be repeated for: min over domains of its
-    expected tokens / its weight. Each accelerated projected-gradient step is one aggregation over the cells.
+    The domain of the largest weight is kept whole and sets the total; a domain that has less than its share
+    of it keeps what it has, so nothing is repeated to fill a share. Each accelerated projected-gradient step
+    is one aggregation over the cells.
     """
     d = len(model.names)
     weight = np.array([targets[n] for n in model.names], float)
@@ -201,7 +202,8 @@ def fit_rates(members: DataFrame, model: DomainModel, targets: dict[str, float])
     scale = have.sum()
     history: list[list[float]] = []
     if scale > 0:
-        goal = weight * min(h / w for h, w in zip(have, weight) if w > 0) / scale
+        main = int(weight.argmax())
+        goal = np.minimum(weight * have[main] / weight[main], have) / scale
         error, k = have / scale - goal, 1
         for _ in range(MAX_STEPS):
             history.append([*map(float, error), k / (k + 3)])

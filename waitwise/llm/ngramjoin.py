@@ -86,8 +86,9 @@ def prefix_extra(size):
 
 
 def bitmap(h: np.ndarray) -> np.ndarray:
-    """Hashed bitmap of a set; its length depends on the size band (at least two bits a shingle)."""
-    bits = max(64, 1 << int(2 * len(h) - 1).bit_length())
+    """Hashed bitmap of a set. Its length follows the size band: at least two bits a shingle, and sixteen for sets
+    of up to 256, where pairs just below the threshold are then told by their bits."""
+    bits = 1 << (max(64, 2 * len(h), min(16 * len(h), 4096)) - 1).bit_length()
     out = np.zeros(bits // 8, np.uint8)
     pos = (mix(h) & np.uint64(bits - 1)).astype(np.int64)
     np.bitwise_or.at(out, pos >> 3, (1 << (pos & 7)).astype(np.uint8))
