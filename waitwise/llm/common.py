@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from waitwise.session import checkpoint_dir
 
 #: Texts are handled in blocks of about this many bytes, so a task's memory does not depend on the batch.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -131,19 +131,19 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
 def frequent_shingles(docs: DataFrame, share: int = FREQUENT) -> np.ndarray:
     """Hashes of the shingles that (about) more than 1 / share of the documents hold.
 
-    Every batch counts its shingles, those in more than 1 / (2 share) of its documents are summed. The list
+    Every slice of a batch counts its shingles, those in more than 1 / (2 share) of its documents are summed. The list
     only orders shingles: results do not depend on it. It holds at most 2 * share * (mean set size) entries.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            every = np.concatenate([h for _, s in _sets(b) for h in s] or [np.zeros(0, np.uint64)])
-            every.sort()
-            at = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
-            times = np.diff(np.append(at, len(every)))
-            often = times > max(2, b.num_rows // (2 * share))
-            yield pa.RecordBatch.from_arrays([pa.array(every[at][often].view(np.int64)), pa.array(times[often].astype(np.int64))], names=["h", "n"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, 2500):       # a slice's shingles are held at once
+                b = whole.slice(i, 2500)
+                every = np.concatenate([h for _, s in _sets(b) for h in s] or [np.zeros(0, np.uint64)])
+                every.sort()
+                at = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+                times = np.diff(np.append(at, len(every)))
+                often = times > max(2, b.num_rows // (2 * share))
+                yield pa.RecordBatch.from_arrays([pa.array(every[at][often].view(np.int64)), pa.array(times[often].astype(np.int64))], names=["h", "n"])
 
     total = docs.count()
     least = max(16, total // share)
