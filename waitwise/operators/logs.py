@@ -108,7 +108,7 @@ def temp_file_summary(records: DataFrame, col: str = "record") -> DataFrame:
 def known_errors(fields: DataFrame, dim: DataFrame) -> DataFrame:
     """Records whose SQLSTATE is a known, non-success code, with the condition name.
     The SQLSTATE dictionary has a few hundred rows at most: broadcast is bounded."""
-    d = F.broadcast(dim.select("code", "condition", "ord"))
+    d = dim.select("code", "condition", "ord")
     f = fields.filter(F.col("sqlstate") != "00000")
     return f.join(d, f.sqlstate == d.code).drop("code")
 
@@ -127,7 +127,7 @@ def error_counts(lines: DataFrame, dim: DataFrame, strict: bool = False) -> Data
         sel = lines.filter(line.rlike(SEVERITY))
     codes = sel.select(F.trim(F.get(F.split(line, r"\|"), 6)).alias("code")).filter(F.col("code") != "00000")
     cnt = codes.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-    d = F.broadcast(dim.select("code", "condition", "ord"))
+    d = dim.select("code", "condition", "ord")
     return cnt.join(d, "code").select("code", "condition", "n", "ord")
 
 

@@ -87,7 +87,7 @@ def activities_for_band(findings: DataFrame, dim: DataFrame, value: str = "weigh
     """Range join of findings (wait type, value) to a small recommendation dimension
     (wait_event_type, lo, hi, band, activity) on lo <= value < hi. The dimension is a
     fixed table, so broadcasting it is bounded; the join is an equi-join on the type."""
-    d = F.broadcast(dim)
+    d = dim
     cond = ((findings.wait_event_type == d.wait_event_type) & (F.round(findings[value], 9) >= d.lo)
             & (F.round(findings[value], 9) < d.hi))
     return findings.join(d, cond).select(findings["*"], d.band, d.activity)

@@ -68,9 +68,9 @@ def interval_reports(t: Telemetry, cpu_cores: int = 8, ram_mb: int = 16384, roll
     """Every interval report as a lazy DataFrame (nothing runs until written)."""
     vm = B.VMSTAT_METRICS
     cv_pairs = stats.all_pairs(["speed", "waits"], vm)
-    wt_pairs = [(f"waits_{w}", m) for w in ["IO", "IPC", "Lock", "LWLock", "Timeout"] for m in vm]
+    wt_pairs = [(f"waits_{w}", m) for w in B.WAIT_TYPES for m in vm]
     io_al = t.iostat.join(t.series.select("cluster", "ts", *vm), ["cluster", "ts"])
-    io_pairs = [(m, d) for m in ["r", "b", "us", "wa", "bi", "bo"] for d in B.IOSTAT_METRICS]
+    io_pairs = [(m, d) for m in vm for d in B.IOSTAT_METRICS]
     io = stats.metric_analysis_2stage(io_al, ["cluster", "device"], io_pairs).filter(F.col("r").isNotNull())
     crit = {"abs_r": F.abs("r"), "r2": F.col("r2"), "one_minus_p": 1 - F.col("p")}
     vm_long = T.to_long(t.series, KEY, vm)

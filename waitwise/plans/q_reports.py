@@ -19,12 +19,12 @@ RAM_MB = 16384
 
 
 @register("top_k_latest", "B8", with_bindings(
-    "SELECT event_id, ts, cluster, queryid, wait_event_type FROM wait_samples ORDER BY ts DESC LIMIT 3",
+    "SELECT event_id, ts, cluster, queryid, wait_event_type FROM wait_samples ORDER BY ts DESC, event_id DESC LIMIT 3",
     "wait_samples"))
 def q_top_k_latest(spark, sf):
     """The three latest samples (a top-k report: the limit is the feature)."""
     ws = B.wait_samples(spark, sf).select("event_id", "ts", "cluster", "queryid", "wait_event_type")
-    return R.top_k_latest(ws, 3)
+    return R.top_k_latest(ws, 3, tiebreak=["event_id"])
 
 
 _B9_SQL = """
@@ -189,12 +189,11 @@ def q_scenario_queries(spark, sf):
 
 
 @register("report_cluster_series", "D5", with_bindings(
-    "SELECT cluster, ts, speed, waits, waits_IO, waits_IPC, waits_Lock, waits_LWLock, waits_Timeout "
-    "FROM cluster_series", "cluster_series"))
+    f"SELECT cluster, ts, speed, waits, {', '.join('waits_' + t for t in B.WAIT_TYPES)} FROM cluster_series", "cluster_series"))
 def q_report_cluster_series(spark, sf):
     """Chart data: speed, waits and waits by type per cluster-hour."""
-    return B.cluster_series(spark, sf, GRAIN).select("cluster", "ts", "speed", "waits", "waits_IO", "waits_IPC",
-                                                     "waits_Lock", "waits_LWLock", "waits_Timeout")
+    return B.cluster_series(spark, sf, GRAIN).select(
+        "cluster", "ts", "speed", "waits", *[f"waits_{t}" for t in B.WAIT_TYPES])
 
 
 def _series_pivot_sql(table: str, key: str, metrics: list[str]) -> str:
@@ -238,16 +237,16 @@ def q_report_buffer_cache(spark, sf):
 
 @register("report_sql_list", "D13", with_bindings("""
 SELECT d.queryid, d.query FROM (SELECT queryid, arg_max(query, ts) AS query FROM query_texts GROUP BY 1) d
-WHERE d.queryid IN (SELECT queryid FROM wait_samples WHERE wait_event_type = 'Lock')""",
+WHERE d.queryid IN (SELECT queryid FROM wait_samples)""",
     "query_texts", "wait_samples"))
 def q_report_sql_list(spark, sf):
-    """Texts of the statements that waited on locks in the interval (semi-join to the text dimension)."""
-    seen = B.wait_samples(spark, sf).filter(F.col("wait_event_type") == "Lock").select("queryid")
+    """Texts of all statements of the interval (semi-join of the text dimension to the distinct ids)."""
+    seen = B.wait_samples(spark, sf).select("queryid").distinct()
     return T.query_text_dim(B.query_texts(spark, sf)).join(seen, "queryid", "left_semi")
 
 
 _D14_SQL = """SELECT date_trunc('hour', ts) AS ts, queryid, wait_event_type, count(*) AS calls,
-       sum(cents) // 100 AS nrows, count(DISTINCT wait_event) AS waits
+       sum(cents) // 100 AS nrows, count(wait_event) AS waits
 FROM wait_samples GROUP BY 1, 2, 3"""
 
 
@@ -255,13 +254,13 @@ def _d14(spark, sf):
     ws = B.wait_samples(spark, sf)
     per = ws.groupBy(B.bucket("ts", GRAIN).alias("ts"), "queryid", "wait_event_type").agg(
         F.count(F.lit(1)).alias("calls"), F.expr("sum(cents) div 100").alias("nrows"),
-        F.countDistinct("wait_event").alias("waits"))
+        F.count("wait_event").alias("waits"))
     return R.query_history(per)
 
 
 @register("report_query_history", "D14", with_bindings(_D14_SQL, "wait_samples"))
 def q_report_query_history(spark, sf):
-    """History of calls / rows / distinct waits per statement and wait type."""
+    """History of calls / rows / sampled waits per statement and wait type."""
     return _d14(spark, sf)
 
 

@@ -209,7 +209,7 @@ def q_metric_analysis_2stage(spark, sf):
     return stats.metric_analysis_2stage(_aligned(spark, sf), KEY, CV_PAIRS)
 
 
-WT_VM_PAIRS = [(f"waits_{t}", m) for t in ["IO", "IPC", "Lock", "LWLock", "Timeout"] for m in VM]
+WT_VM_PAIRS = [(f"waits_{t}", m) for t in B.WAIT_TYPES for m in VM]
 CPU_CORES = 8
 
 
@@ -223,9 +223,9 @@ def q_report_waits_vs_vmstat(spark, sf):
     return out.withColumn("slope_per_cpu", F.col("slope") / F.lit(float(CPU_CORES)))
 
 
-IO_PAIRS = [(m, d) for m in ["r", "b", "us", "wa", "bi", "bo"] for d in B.IOSTAT_METRICS]
-IOALIGNED_SQL = """SELECT i.cluster, i.device, i.ts, i.r_s, i.w_s, i.await_ms, i.util,
-       v.r, v.b, v.us, v.wa, v.bi, v.bo
+IO_PAIRS = [(m, d) for m in B.VMSTAT_METRICS for d in B.IOSTAT_METRICS]
+IOALIGNED_SQL = f"""SELECT i.cluster, i.device, i.ts, i.r_s, i.w_s, i.await_ms, i.util,
+       {", ".join("v." + m for m in B.VMSTAT_METRICS)}
 FROM iostat_series i JOIN vmstat_series v ON i.cluster = v.cluster AND i.ts = v.ts"""
 _CRIT_SQL = "abs(r) AS abs_r, r2, 1 - p AS one_minus_p"
 
@@ -322,7 +322,7 @@ def q_sum_artifact_check(spark, sf):
 
 PART_WHOLE = [("calls", "speed"), ("nrows", "speed"), ("waits_IO", "waits"), ("waits_IPC", "waits"),
               ("waits_Lock", "waits"), ("waits_LWLock", "waits"), ("waits_Timeout", "waits")]
-PW_METRICS = ["calls", "nrows", "speed", "waits", "waits_IO", "waits_Lock"]
+PW_METRICS = ["calls", "nrows", "speed", "waits", *[f"waits_{t}" for t in B.WAIT_TYPES]]
 PW_PAIRS = stats.all_pairs(PW_METRICS)
 
 

@@ -12,9 +12,11 @@ def get_spark(app: str = "waitwise", cpus: str | int | None = None,
               shuffle_partitions: int | None = None) -> SparkSession:
     """Local session with the settings every test and the bench use.
 
-    On a cluster the builder simply attaches to the existing session; nothing here
-    overrides cluster-provided settings except when they are unset.
+    A session that exists already is returned as it is: none of its settings are touched.
     """
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return active
     cpus = cpus or os.environ.get("BENCH_CPUS") or "*"
     parts = shuffle_partitions or int(os.environ.get("WAITWISE_SHUFFLE_PARTITIONS", "8"))
     spark = (

@@ -23,37 +23,9 @@ IOSTAT_METRICS = ["r_s", "w_s", "await_ms", "util"]
 CLUSTER_METRICS = ["calls", "nrows", "speed", "waits"]
 
 
-_TABLES: dict[tuple[int, str], DataFrame] = {}
-_BINDINGS: dict[tuple, DataFrame] = {}
-
-
-def reuse_plan(fn):
-    """Build a binding's (lazy, immutable) DataFrame once per session and arguments.
-
-    Only the plan object is kept — nothing is computed or cached — so every query that
-    reads the binding shares one definition, like a view, instead of rebuilding it.
-    """
-    import functools
-
-    @functools.wraps(fn)
-    def wrapper(spark: SparkSession, sf_dir: str, *args):
-        key = (fn.__name__, id(spark), sf_dir, args)
-        df = _BINDINGS.get(key)
-        if df is None or df.sparkSession is not spark:
-            df = _BINDINGS[key] = fn(spark, sf_dir, *args)
-        return df
-    return wrapper
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table (lazy). Reused per session and path, so the file listing and the
-    schema read happen once, not in every query that mentions the table."""
-    path = f"{sf_dir}/{name}.parquet"
-    key = (id(spark), path)
-    df = _TABLES.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = _TABLES[key] = spark.read.parquet(path)
-    return df
+    """A driver table (lazy). Listed anew on every call, so files appended since are read too."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def bucket(ts: Column | str, grain: str) -> Column:
@@ -83,7 +55,6 @@ def _tag(prefix: str, c: Column) -> Column:
     return F.concat(F.lit(prefix), c.cast("string"))
 
 
-@reuse_plan
 def wait_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One wait sample per event: (cluster, ts, queryid, dbname, rolname, type, event, cents)."""
     ev = table(spark, sf_dir, "events")
@@ -105,7 +76,6 @@ def wait_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@reuse_plan
 def cluster_series(spark: SparkSession, sf_dir: str, grain: str = "hour") -> DataFrame:
     """Per (cluster, interval): calls, nrows, speed = calls + nrows, waits and waits by type."""
     ws = wait_samples(spark, sf_dir)
@@ -119,7 +89,6 @@ def cluster_series(spark: SparkSession, sf_dir: str, grain: str = "hour") -> Dat
     return agg.withColumn("speed", F.col("calls") + F.col("nrows"))
 
 
-@reuse_plan
 def vmstat_series(spark: SparkSession, sf_dir: str, grain: str = "hour") -> DataFrame:
     """Per (cluster, interval) vmstat-like integer columns."""
     ws = wait_samples(spark, sf_dir)
@@ -141,7 +110,6 @@ def vmstat_series(spark: SparkSession, sf_dir: str, grain: str = "hour") -> Data
     )
 
 
-@reuse_plan
 def aligned_series(spark: SparkSession, sf_dir: str, grain: str = "hour") -> DataFrame:
     """cluster_series ⋈ vmstat_series on (cluster, ts), computed in ONE aggregation.
 
@@ -175,7 +143,6 @@ def aligned_from_samples(ws: DataFrame, grain: str = "hour") -> DataFrame:
         (F.col("calls") * 100000).alias("cs"), "bi", "bo")
 
 
-@reuse_plan
 def iostat_series(spark: SparkSession, sf_dir: str, grain: str = "hour") -> DataFrame:
     """Per (cluster, device, interval) iostat-like columns; device = 'dev' || user_id % 4."""
     return iostat_from_samples(wait_samples(spark, sf_dir), grain)
@@ -193,7 +160,6 @@ def iostat_from_samples(ws: DataFrame, grain: str = "hour") -> DataFrame:
     )
 
 
-@reuse_plan
 def dirty_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-second dirty-page inputs per event (kernel counters and settings)."""
     ev = table(spark, sf_dir, "events")
@@ -212,25 +178,21 @@ def dirty_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@reuse_plan
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     return c.select(F.col("c_custkey").alias("aid"), F.col("c_nationkey").alias("bid"),
                     F.col("c_acctbal").alias("abalance"))
 
 
-@reuse_plan
 def branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("bid"))
 
 
-@reuse_plan
 def tellers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tid"),
                                                    F.col("s_nationkey").alias("bid"))
 
 
-@reuse_plan
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders joined to their customer's branch: (bid, aid, delta, mtime)."""
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", "o_orderdate")
@@ -240,7 +202,6 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_totalprice").alias("delta"), F.col("o_orderdate").cast("timestamp_ntz").alias("mtime"))
 
 
-@reuse_plan
 def buffer_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shared-buffer block counters per month of lineitem ship dates."""
     li = table(spark, sf_dir, "lineitem")
@@ -252,7 +213,6 @@ def buffer_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@reuse_plan
 def load_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One load-test pass per day of events: (test_id, pass_counter, start, finish, load)."""
     ev = table(spark, sf_dir, "events")
@@ -269,7 +229,6 @@ def load_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@reuse_plan
 def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statement texts sampled with each event: (ts, queryid, query)."""
     ev = table(spark, sf_dir, "events")
@@ -282,7 +241,6 @@ def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.when(uid % 10 == 0, scen).otherwise(plain).alias("query"))
 
 
-@reuse_plan
 def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Server settings snapshot per host (supplier): long form (host, name, setting, pending_restart)."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
@@ -303,7 +261,6 @@ def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.withColumn("pending_restart", (F.col("name") == "shared_buffers_mb") & (F.col("host") % 11 == 0))
 
 
-@reuse_plan
 def kernel_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-test vm.* kernel parameters (wide), one row per load pass."""
     p = load_passes(spark, sf_dir)

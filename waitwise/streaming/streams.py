@@ -21,9 +21,14 @@ from waitwise.sources import serverlog as S
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def read_events_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
+def _limited(reader, max_files: int | None):
+    """The reader with at most ``max_files`` files a micro-batch; None reads all that have arrived."""
+    return reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)
+
+
+def read_events_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Parquet files of events arriving in ``path`` (one or more files per micro-batch)."""
-    return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(path)
+    return _limited(spark.readStream.schema(EVENT_SCHEMA), max_files).parquet(path)
 
 
 def _samples(events: DataFrame) -> DataFrame:
@@ -115,10 +120,10 @@ def log_import_batch(out_path: str) -> Callable[[DataFrame, int], None]:
     return run
 
 
-def stream_log_lines(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
+def stream_log_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """F5 source: rotated (closed) log files; whole files per micro-batch, so multi-line
     records never straddle batches (daily rotation)."""
-    return (spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(path)
+    return (_limited(spark.readStream.format("text"), max_files).load(path)
             .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("chunk"),
                     F.col("value").alias("line")))
 
