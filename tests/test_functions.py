@@ -68,3 +68,13 @@ def test_p_value_matches_duckdb_form(spark, duck):
     dd = [duck.execute(f"SELECT round({p_value_duck('r', 'n')}, 12) FROM (SELECT {r}::DOUBLE AS r, {n} AS n)")
           .fetchone()[0] for r, n in rows]
     assert sp == pytest.approx(dd, abs=1e-11)
+
+
+def test_p_value_work_does_not_grow_with_n(spark):
+    """Large n follows the normal tail, and the expression enumerates nothing that depends on n."""
+    from waitwise.functions.tdist import p_value_expr
+    n = 20_000_001
+    df = spark.createDataFrame([(z / math.sqrt(n - 2), n) for z in (0.0, 0.5, 1.96, 4.0)], "r double, n bigint")
+    got = [x[0] for x in df.select(p_value("r", "n")).collect()]
+    assert got == pytest.approx([math.erfc(z / math.sqrt(2)) for z in (0.0, 0.5, 1.96, 4.0)], abs=1e-6)
+    assert "sequence(" not in p_value_expr("r", "n")

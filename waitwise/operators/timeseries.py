@@ -182,11 +182,12 @@ def align_series(longs: Sequence[DataFrame], key: Sequence[str], metrics: Sequen
 
 
 def align_series_asof(left: DataFrame, right: DataFrame, key: Sequence[str], value_cols: Sequence[str],
-                      tolerance_minutes: int, ts: str = "ts", bucket_grain: str = "day") -> DataFrame:
+                      tolerance_minutes: int, ts: str = "ts", bucket_grain: str = "hour") -> DataFrame:
     """For each left row, the latest right row with right.ts <= left.ts within the tolerance.
 
-    Bucketed for scale: right rows are also replicated into the following bucket, so
-    a (key, bucket) window sees every candidate when tolerance <= one bucket.
+    Bucketed for scale: right rows of the last ``tolerance_minutes`` of a bucket are also
+    replicated into the following bucket, so a (key, bucket) window sees every candidate
+    when tolerance <= one bucket.
     Output: left columns + right_ts + value columns (NULL when none within tolerance).
     """
     span = {"hour": 60, "day": 1440}[bucket_grain]
@@ -197,7 +198,8 @@ def align_series_asof(left: DataFrame, right: DataFrame, key: Sequence[str], val
     b = bucket(ts, bucket_grain)
     step = F.expr(f"INTERVAL 1 {bucket_grain.upper()}")
     r = right.select(*key, F.col(ts), *value_cols)
-    r2 = r.withColumn("_b", F.explode(F.array(b, b + step)))
+    reaches_next = F.col(ts) >= b + step - F.expr(f"INTERVAL {tolerance_minutes} MINUTES")
+    r2 = r.withColumn("_b", F.explode(F.when(reaches_next, F.array(b, b + step)).otherwise(F.array(b))))
     r2 = r2.select(*key, "_b", F.col(ts).alias("_rts"), *value_cols, F.lit(0).alias("_side"),
                    *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in lcols if c not in key])
     l2 = left.select(*key, b.alias("_b"), F.col(ts).alias("_rts"),

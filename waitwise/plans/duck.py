@@ -223,7 +223,7 @@ def round_double_outputs(sqls: dict[str, str], sample_dir: str, digits: int = 9)
     """Wrap each oracle so its DOUBLE output columns are rounded like the Spark side
     (round to ``digits``, then + 0.0 to fold -0.0). Column types come from DuckDB's
     DESCRIBE of the query over the views of ``sample_dir``; an oracle that cannot be
-    described is returned unchanged."""
+    described is an error."""
     import duckdb
 
     con = duckdb.connect()
@@ -235,11 +235,7 @@ def round_double_outputs(sqls: dict[str, str], sample_dir: str, digits: int = 9)
             pass
     out = {}
     for name, sql in sqls.items():
-        try:
-            cols = [(r[0], r[1]) for r in con.execute(f"DESCRIBE {sql}").fetchall()]
-        except Exception:  # noqa: BLE001
-            out[name] = sql
-            continue
+        cols = [(r[0], r[1]) for r in con.execute(f"DESCRIBE {sql}").fetchall()]
         dbl = [c for c, t in cols if t in ("DOUBLE", "FLOAT")]
         if not dbl:
             out[name] = sql
