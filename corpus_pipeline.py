@@ -33,7 +33,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by their fitted rates: domains above their target weight are thinned out."""
+    """Documents by their fitted rates: a domain above its target weight is thinned out, one below is repeated."""
     return mixing.mix_documents(docs, table(spark, sf_dir, "labels"), MIX_TARGETS, MIX_DOMAINS)
 
 

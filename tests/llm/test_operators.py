@@ -258,3 +258,21 @@ def test_pipeline_stages(spark):
         if name != "sharding":
             assert docs.columns == cols and 0 < docs.count() <= before.count()
     assert docs.count() == before.count()
+
+
+@pytest.mark.parametrize("toxic_every", [3, 500])
+def test_copies_reach_the_shares_of_skewed_and_short_domains(spark, toxic_every):
+    model = mixing.DomainModel(["clean", "toxic"], {}, np.zeros((0, 2)), np.zeros(2))
+    cell = F.when(F.col("doc_id") % toxic_every == 0, F.array(F.lit(10), F.lit(990))).otherwise(F.array(F.lit(1000), F.lit(0)))
+    members = spark.range(60000).select(F.col("id").alias("doc_id"), F.lit(50).cast("long").alias("tokens"), cell.alias("cell"))
+    plan = mixing.mixing_plan(members, mixing.fit_rates(members, model, {"clean": 0.98, "toxic": 0.02}), model)
+    for n, tolerance in (("rate", 1e-4), ("copies", 2e-3)):
+        clean, toxic = plan.agg(*[F.sum(F.col("tokens") * F.col(f"p_{d}") * F.col(n)) for d in model.names]).first()
+        assert abs(toxic / (clean + toxic) - 0.02) < tolerance
+
+
+def test_rates_leave_out_a_domain_without_tokens(spark):
+    model = mixing.DomainModel(["clean", "junk", "toxic"], {}, np.zeros((0, 3)), np.zeros(3))
+    members = spark.createDataFrame([(1, 10, [0, 200, 0]), (2, 10, [0, 0, 200])], "doc_id long, tokens long, cell array<int>")
+    rates = {tuple(r["cell"]): r["rate"] for r in mixing.fit_rates(members, model, mixing.TARGETS).collect()}
+    assert abs(rates[(0, 200, 0)] - 1) < 1e-4 and abs(rates[(0, 0, 200)] - 0.6) < 1e-4

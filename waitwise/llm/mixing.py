@@ -3,7 +3,8 @@
 A classifier fitted on the labelled table gives each document a posterior over domains. Nonnegative
 rates (expected copies of each document) are then fitted by projected-gradient least squares, so that
 the expected tokens of every domain, tokens * posterior * rate summed over all documents, match the
-targets; a small ridge keeps rates near 1 and makes them unique.
+targets; a small ridge keeps rates near 1 and makes them unique. The domain of the largest weight sets the
+total: the others are thinned or repeated until each has its share of it.
 
 The gradient of a document's rate, divided by its tokens, depends on its posterior alone. Posteriors are
 given on a grid of shares (``GRID`` steps), so documents of one posterior form one cell, and the
@@ -32,7 +33,7 @@ GRID = {1: 1, 2: 1000, 3: 200, 4: 50, 5: 25, 6: 15}
 #: The classifier is fitted on at most so many labelled rows and so many bytes of text, in the order of a hash of the id.
 MAX_ROWS, MAX_BYTES = 3000, 16 << 20
 FEATURES = 768
-RIDGE, MAX_STEPS, TOLERANCE = 1e-3, 100, 1e-5
+RIDGE, MAX_STEPS, TOLERANCE = 1e-6, 100, 1e-5
 
 #: Production domains, as the labelled table tells them, and target weights.
 DOMAINS = {"clean": "quality = 1 AND toxic = 0", "junk": "quality = 0 AND toxic = 0", "toxic": "toxic = 1"}
@@ -183,9 +184,13 @@ def _rates_after(history: list[list[float]], share: list[Column]) -> Column:
 def fit_rates(members: DataFrame, model: DomainModel, targets: dict[str, float]) -> DataFrame:
     """(cell, tokens, rate) of every posterior that occurs in ``members`` (tokens, cell).
 
-    The domain of the largest weight is kept whole and sets the total; a domain that has less than its share
-    of it keeps what it has, so nothing is repeated to fill a share. Each accelerated projected-gradient step
-    is one aggregation over the cells.
+    The domain of the largest weight (of those with tokens) keeps its expected tokens and sets the total; every
+    other domain with tokens gets its exact share of it, by rates below 1 or above. Errors count relative to
+    the tokens a domain has, so a small domain is fitted as fast as a large one. Each accelerated
+    projected-gradient step is one aggregation over the cells.
+
+    Soft membership limits what rates can reach: where no posterior holds as much of a domain as its share, the
+    closest fit is given.
     """
     d = len(model.names)
     weight = np.array([targets[n] for n in model.names], float)
@@ -199,30 +204,29 @@ def fit_rates(members: DataFrame, model: DomainModel, targets: dict[str, float])
         return np.array([x or 0.0 for x in row])
 
     have = totals([])
-    scale = have.sum()
+    live = have > 0
     history: list[list[float]] = []
-    if scale > 0:
-        main = int(weight.argmax())
-        goal = np.minimum(weight * have[main] / weight[main], have) / scale
-        error, k = have / scale - goal, 1
+    if live.any():
+        main = int(np.where(live, weight, -1.0).argmax())
+        goal = weight * have[main] / weight[main] if weight[main] > 0 else np.zeros(d)
+
+        def errors() -> np.ndarray:
+            return np.where(live, totals(history) - goal, 0.0) / np.where(live, have, 1.0)
+
+        error, k = errors(), 1
         for _ in range(MAX_STEPS):
             history.append([*map(float, error), k / (k + 3)])
-            last, error = error, totals(history) / scale - goal
+            last, error = error, errors()
             k = 1 if (error @ error) > (last @ last) else k + 1      # restart the momentum when it overshoots
             if np.abs(error - last).max() < TOLERANCE:
                 break
     return cells.select("cell", "tokens", F.round(_rates_after(history, share)["rate"], 9).alias("rate")).checkpoint()
 
 
-#: A rate this close to a whole number counts as it: no document is repeated or dropped for the last few
-#: percent of the fit (expected totals move by less than that share).
-WHOLE = 0.05
-
-
 def copies(rate: Column, *key: Column) -> Column:
     """Whole copies of a row: its rate rounded up or down by a hash of its key, right on average."""
     u = F.pmod(F.xxhash64(*key, F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return F.when(F.abs(rate - F.round(rate)) <= WHOLE, F.round(rate)).otherwise(F.floor(rate + u)).cast("int")
+    return F.floor(rate + u).cast("int")
 
 
 def mixing_plan(members: DataFrame, rates: DataFrame, model: DomainModel) -> DataFrame:
