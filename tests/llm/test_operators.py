@@ -276,3 +276,24 @@ def test_rates_leave_out_a_domain_without_tokens(spark):
     members = spark.createDataFrame([(1, 10, [0, 200, 0]), (2, 10, [0, 0, 200])], "doc_id long, tokens long, cell array<int>")
     rates = {tuple(r["cell"]): r["rate"] for r in mixing.fit_rates(members, model, mixing.TARGETS).collect()}
     assert abs(rates[(0, 200, 0)] - 1) < 1e-4 and abs(rates[(0, 0, 200)] - 0.6) < 1e-4
+
+
+@pytest.mark.parametrize("block", [200, 1 << 19])
+def test_links_are_counted_inside_components(spark, corpus, block):
+    rng = np.random.default_rng(8)
+    long = text(rng, 120).split()
+    near = [(1000 + i, " ".join(long[:40 + i] + [f"y{i}"] + long[41 + i:]), "x", 1) for i in range(0, 60, 2)]
+    grown = [(2000 + i, " ".join(long[:100 - 3 * i]), "x", 1) for i in range(12)]
+    docs = corpus.unionByName(spark.createDataFrame(near + grown + near[:3], corpus.schema))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    sets = []
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets.append((i, frozenset(tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset()))
+    links = collections.Counter()
+    for a, (i, x) in enumerate(sets):
+        n = sum(1 for b, (_, y) in enumerate(sets) if a != b and x and y and 100 * len(x & y) >= 80 * len(x | y))
+        links[i, len(x), n] += 1
+    got = ngramjoin.count_links(docs, block).collect()
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["n_links"]) for r in got) == links
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)

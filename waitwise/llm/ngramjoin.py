@@ -12,8 +12,11 @@ The rest is compared in two steps, exact as a whole:
 
 Each node has a bitmap of its hashed shingles. A bit that two bitmaps differ in is a shingle they do not share,
 so bit counts bound the overlap from above; only pairs that can still reach the threshold have their sorted
-shingle arrays intersected. Nodes linked already need no further pair: components are complete, though not
-every link inside one is enumerated.
+shingle arrays intersected. Nodes linked already need no further pair to make components complete.
+
+Links lie inside components, so they are counted there (``count_links``): all pairs of a component's nodes whose
+sizes allow a link are compared, in pairs of blocks of bounded size, by exact overlaps. A block pair gives
+one count a node, weighted by the rows of the other set; no pair of nodes is ever a row.
 
 Edge cases: a text without words has an empty set and links with nothing; fewer than five words are one
 shingle; repeated rows and equal texts share a node; a null doc_id takes part but is never the smallest id;
@@ -41,6 +44,8 @@ STARS = 4
 BLOCK_NODES = 512
 #: Smallest shingles of a node that travel with it, so that a pair comes out of the first tile it shares.
 LOWEST = 16
+#: About so many shingles make one block of a component whose links are counted.
+BLOCK_SHINGLES = 1 << 19
 
 _NORMAL = np.arange(256, dtype=np.uint8)
 _NORMAL[65:91] += 32
@@ -123,6 +128,11 @@ def intersection(a: np.ndarray, b: np.ndarray) -> int:
 
 # --------------------------------------------------------------------------- sketches
 
+def _node(h: np.ndarray) -> int:
+    """Hash of a set."""
+    return int(mix(h ^ np.uint64(0xA5A5)).sum(dtype=np.uint64).view(np.int64))
+
+
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
     for i, _, buf, offs in text_blocks(batch.column("text")):
         yield i, shingle_sets(buf, offs)
@@ -167,7 +177,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                         for x in (node, check, prefix, bits):
                             x.append(None)
                         continue
-                    node.append(int(mix(h ^ np.uint64(0xA5A5)).sum(dtype=np.uint64).view(np.int64)))
+                    node.append(_node(h))
                     check.append(int(mix(h ^ np.uint64(0x5A5A5A)).sum(dtype=np.uint64).view(np.int64)))
                     size = min(len(h), len(h) - need(len(h)) + prefix_extra(len(h)))
                     if len(frequent):
@@ -222,7 +232,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
             for i, sets in _sets(b):
                 full = [j for j, h in enumerate(sets) if len(h)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(mix(sets[j] ^ np.uint64(0xA5A5)).sum(dtype=np.uint64).view(np.int64)) for j in full], pa.int64()),
+                    [pa.array([_node(sets[j]) for j in full], pa.int64()),
                      pa.array([sets[j].tobytes() for j in full], pa.binary())], names=["node", "h"])
 
     sets = some.mapInArrow(arrays, "node long, h binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
@@ -310,6 +320,86 @@ def _compare_tile(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a or [empty])), pa.array(np.concatenate(b or [empty]))], names=["a", "b"])
 
 
+# --------------------------------------------------------------------------- links
+
+def _block_links(docs: DataFrame, members: DataFrame, block: int) -> DataFrame:
+    """(node, links): rows of the other sets that a node links with, one sum for each pair of blocks.
+
+    ``members``: node, label, min_doc, n, copies. A component is dealt into blocks of about ``block`` shingles,
+    and every pair of its blocks is one group. Texts travel, as they are smaller than their arrays.
+    """
+    blocks = F.ceil(F.col("total") / F.lit(float(block))).cast("int")
+    sizes = members.groupBy("label").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    placed = (members.join(sizes, "label").withColumn("s", blocks).withColumn("k", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
+              .select("node", "label", "min_doc", "copies", "s", "k")).checkpoint()
+    some = docs.select("doc_id", "text").filter(maybe_in(placed, "min_doc", F.col("doc_id")) | F.col("doc_id").isNull())
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = b.column("text")
+            for i, sets in _sets(b):
+                full = [j for j, h in enumerate(sets) if len(h)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([_node(sets[j]) for j in full], pa.int64()), text.take(pa.array([i + j for j in full], pa.int64()))],
+                    names=["node", "text"])
+
+    texts = some.mapInArrow(named, "node long, text string").join(placed.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    dealt = (texts.join(placed.drop("min_doc"), "node").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+             .select("label", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "node", "copies", "text"))
+    order = ["label", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, int, np.ndarray]] = []
+        key = None
+
+        def counted() -> pa.RecordBatch:
+            nodes, links = _count_block(held, key[1] == key[2])
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(links, pa.int64())], names=["node", "links"])
+
+        for t in batches:
+            keys = list(zip(*(t.column(c).to_pylist() for c in order)))
+            k, node, copies = (t.column(c).to_pylist() for c in ("k", "node", "copies"))
+            for at, sets in _sets(t):
+                for x, h in enumerate(sets, at):
+                    if keys[x] != key:
+                        if held:
+                            yield counted()
+                        held, key = [], keys[x]
+                    held.append((k[x], node[x], copies[x], h))
+        if held:
+            yield counted()
+
+    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "node long, links long")
+
+
+def _count_block(held: list[tuple[int, int, int, np.ndarray]], same: bool) -> tuple[list[int], list[int]]:
+    """Nodes of a pair of blocks (k, node, copies, array), and the copies of those each links with; nodes of one
+    block are compared where it is paired with itself (``same``) only."""
+    k = np.array([x[0] for x in held])
+    copies = np.array([x[2] for x in held], np.int64)
+    n = np.array([len(x[3]) for x in held], np.int64)
+    order = np.argsort(n, kind="stable")                # sizes that allow a link are neighbours
+    k, copies, n = k[order], copies[order], n[order]
+    every, code = np.unique(np.concatenate([held[x][3] for x in order]), return_inverse=True)
+    first = np.concatenate([[0], np.cumsum(n)])
+    marked = np.zeros(len(every), bool)
+    links = np.zeros(len(held), np.int64)
+    for x in range(len(held) - 1):
+        end = int(np.searchsorted(n, 100 * n[x] // PERCENT, "right"))
+        if end <= x + 1:
+            continue
+        mine = code[first[x]:first[x + 1]]
+        marked[mine] = True
+        overlap = np.add.reduceat(marked[code[first[x + 1]:first[end]]], first[x + 1:end] - first[x + 1], dtype=np.int64)
+        marked[mine] = False
+        hit = 100 * overlap >= PERCENT * (n[x] + n[x + 1:end] - overlap)
+        if not same:
+            hit &= k[x + 1:end] != k[x]
+        links[x + 1:end][hit] += copies[x]
+        links[x] += copies[x + 1:end][hit].sum()
+    return [held[x][1] for x in order], links.tolist()
+
+
 # --------------------------------------------------------------------------- components
 
 def components(links: DataFrame) -> DataFrame:
@@ -346,10 +436,11 @@ def _with_enough_shared(shared: DataFrame, info: DataFrame, rounds: int = 2) ->
     return shared
 
 
-def link_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, its own included) of every row."""
+def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (see ``sketch``), classes (node, check, min_doc, n, copies) and (node, label) of the linked nodes."""
     rows = stored(sketch(docs), "ngram-sketch")
-    classes = stored(rows.filter("n > 0").groupBy("node", "check").agg(F.min("doc_id").alias("min_doc"), F.first("n").alias("n")), "ngram-classes")
+    classes = stored(rows.filter("n > 0").groupBy("node", "check").agg(
+        F.min("doc_id").alias("min_doc"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")), "ngram-classes")
     sent = rows.select("node", F.explode("prefix").alias("token"))
     several = sent.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token")
     shared = stored(sent.join(several, "token").select("token", "node").distinct(), "ngram-shared")
@@ -380,12 +471,32 @@ def link_documents(docs: DataFrame) -> DataFrame:
     if not rest.isEmpty():
         more = _linked(rest, docs, nodes)
         label = components(label.filter("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(more)).checkpoint()
+    return rows, classes, label
 
+
+def _named(rows: DataFrame, classes: DataFrame, label: DataFrame) -> DataFrame:
+    """doc_id, node, check, n_shingles, component_id of every row."""
     home = classes.select("node", "check", "min_doc").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = home.groupBy("label").agg(F.min("min_doc").alias("component_id"))
     of = home.join(smallest, "label").select("node", "check", "component_id")
     return (rows.select("doc_id", "n", "node", "check").join(of, ["node", "check"], "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+            .select("doc_id", "node", "check", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+
+
+def link_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, its own included) of every row."""
+    return _named(*_labelled(docs)).drop("node", "check")
+
+
+def count_links(docs: DataFrame, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """``link_documents`` with n_links of every row: the other rows it links with, those of an equal set included."""
+    rows, classes, label = _labelled(docs)
+    nodes = classes.groupBy("node").agg(F.min("min_doc").alias("min_doc"), F.max("n").alias("n"), F.sum("copies").alias("copies"))
+    counts = _block_links(docs, nodes.join(label, "node"), block).groupBy("node").agg(F.sum("links").alias("links"))
+    own = classes.select("node", "check", "copies").join(counts, "node", "left").select(
+        "node", "check", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return (_named(rows, classes, label).join(own, ["node", "check"], "left")
+            .select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

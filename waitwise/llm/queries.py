@@ -20,7 +20,7 @@ PII_KEY = "corpus-surrogates"
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngramjoin.link_documents(table(spark, sf_dir, "documents"))
+    return ngramjoin.count_links(table(spark, sf_dir, "documents"))
 
 
 def op2_bloom_cascade_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
