@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -297,3 +298,23 @@ def test_links_are_counted_inside_components(spark, corpus, block):
     got = ngramjoin.count_links(docs, block).collect()
     assert collections.Counter((r["doc_id"], r["n_shingles"], r["n_links"]) for r in got) == links
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
+
+
+def test_surrogates_of_any_script_and_of_more_forms(spark):
+    whole = ["李明@例子.中国", "محمد@مثال.مصر", "דוד@דוגמה.קום", "हिन्दी@उदाहरण.भारत", "홍길동@예시.한국", "ώρα@ήλιος.ελ", "١٢٣@مثال.مصر", "中@中.中",
+             "+14155552671", "3782 822463 10005", "01 23 45 67 89", "+33 6 12 34 56 78", "2001:db8:85a3:0:0:8a2e:370:7334", "2001:DB8::1", "fe80::1"]
+    named = ["Mr. 李明", "Mrs. محمد عبدالرحمن", "السيد محمد", "श्री मोहन", "Mr. Νίκος"]
+    stay = ["-@-.-", "a::b", "12:30:45", "1 22 33 44 55", "_@_.__"]
+    docs = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(whole + named + stay)], "doc_id long, text string")
+    out = {r["doc_id"]: (r["text"], r["n_entities"]) for r in pii.replace_pii(docs, "k").collect()}
+    for i, t in enumerate(whole + named + stay):
+        new, n = out[i]
+        assert (n == 0 and new == f"x {t} y") if t in stay else n == 1, (t, new, n)
+        if t in whole[:8]:
+            local, _, domain = t.partition("@")
+            a, _, b = new[2:-2].partition("@")
+            for x, y in ((local, a), (domain.rpartition(".")[0], b.rpartition(".")[0])):
+                assert len(x) == len(y) and (x != y or len(x) == 1) and {unicodedata.name(c).split()[0] for c in y} <= {unicodedata.name(c).split()[0] for c in x}
+        elif t not in stay:
+            assert not set(re.findall(r"\w{3,}", t)) & set(re.findall(r"\w{3,}", new)) - {"Mrs", "السيد", "श्री"}, (t, new)
+            assert new != f"x {t} y"

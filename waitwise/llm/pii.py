@@ -1,8 +1,9 @@
 """PII surrogates, in DataFrame functions only.
 
-Entities (e-mail addresses, phone, card and account numbers, IPv4 addresses, secrets, titled person names)
+Entities (e-mail addresses, phone, card and account numbers, IP addresses, secrets, titled person names)
 are found by patterns and replaced by surrogates that a key and the entity alone decide: digits become digits,
-vowels vowels and consonants consonants of the same script and case, given names come from a list of the same
+vowels vowels and consonants consonants of the same script and case, letters and digits of any other script others
+of that script (combining marks stay), given names come from a list of the same
 gender and script, separators stay, a card number that passes its check digit still does. One entity has one
 surrogate everywhere, however it is spaced or cased (coreference), and no two entities of a type share one,
 nor is a surrogate any real entity of the corpus (collision checks over the distinct entities; losers derive
@@ -17,6 +18,8 @@ surrogates; an empty table gives an empty result; extra columns pass through.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,24 +27,30 @@ from waitwise.llm.common import maybe_in
 
 # Patterns of the entity types, in order of precedence: what may not stand before, the entity,
 # what may not follow.
-MALE_TITLES = "Mr|Sir|Lord|Herr|Señor|Sr|Monsieur|M|Г-н|господин"
-FEMALE_TITLES = "Mrs|Ms|Miss|Lady|Frau|Señora|Sra|Madame|Mme|Г-жа|госпожа"
-_NAME = r"\.? \p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+){0,2}"
+MALE_TITLES = "Mr|Sir|Lord|Herr|Señor|Sr|Monsieur|M|Г-н|господин|Κύριος|السيد|श्री|מר"
+FEMALE_TITLES = "Mrs|Ms|Miss|Lady|Frau|Señora|Sra|Madame|Mme|Г-жа|госпожа|Κυρία|السيدة|श्रीमती|גברת"
+#: A word of a name: capitalised, of a script without case, or of one that writes no spaces between words.
+_WORD = r"(?:\p{Lu}[\p{L}\p{M}'’-]+|[\p{IsHan}\p{IsHangul}\p{IsHiragana}\p{IsKatakana}]{1,4}|\p{Lo}[\p{L}\p{M}'’-]*)"
+_NAME = rf"\.? {_WORD}(?: {_WORD}){{0,2}}"
+_LABEL = r"-*+[\p{L}\p{N}][\p{L}\p{M}\p{N}-]{0,62}"
+_HEX = "[0-9A-Fa-f]{1,4}"
 PATTERNS = {
-    "email": (r"(?<![\p{L}\p{N}._%+-])", r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}", ""),
+    "email": (r"(?<![\p{L}\p{M}\p{N}._%+-])", rf"(?=[\p{{M}}._%+-]*+[\p{{L}}\p{{N}}])[\p{{L}}\p{{M}}\p{{N}}._%+-]++@{_LABEL}(?:\.{_LABEL}){{1,8}}", ""),
     "secret": (r"(?<![0-9A-Za-z])", r"(?:(?:AKIA|ASIA|akia|asia)[0-9A-Za-z]{16}|(?:sk|pk|ghp|SK|PK|GHP)[_-](?=[A-Za-z_-]*\d)[0-9A-Za-z_-]{16,}"
                                     r"|(?=[a-f]*\d)[0-9a-f]{32,128}|(?=[A-F]*\d)[0-9A-F]{32,128})", r"(?![0-9A-Za-z])"),
     "account": (r"(?<![0-9A-Za-z])", r"[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?", r"(?![0-9A-Za-z])"),
-    "card": (r"(?<![\d.])", r"(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4})", r"(?!\.?\d)"),
+    "card": (r"(?<![\d.])", r"(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{4,5})", r"(?!\.?\d)"),
+    "ip6": (r"(?<![0-9A-Za-z:.])", rf"(?=[A-Fa-f:]*+\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)", r"(?![0-9A-Za-z:]|\.\d)"),
     "ip": (r"(?<![\d.])", r"(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)", r"(?!\.?\d)"),
     "ssn": (r"(?<![\d-])", r"\d{3}-\d{2}-\d{4}", r"(?![\d-])"),
-    "phone": (r"(?<![\d+])", r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}", r"(?!\d)"),
+    "phone": (r"(?<![\d+])", r"(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}"
+                             r"|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]\d{2}){3,5}|0\d{1,3}(?:[ .-]\d{2}){3,4}|\+\d{8,15})", r"(?!\d)"),
     "person_f": (r"(?<![\p{L}\p{N}])", rf"(?:{FEMALE_TITLES}){_NAME}", ""),
     "person_m": (r"(?<![\p{L}\p{N}])", rf"(?:{MALE_TITLES}){_NAME}", ""),
 }
 ANY = "|".join(f"{before}{body}{after}" for before, body, after in PATTERNS.values())
 #: Cheap test that a text without any entity fails.
-HINT = rf"[0-9@]|(?:{MALE_TITLES}|{FEMALE_TITLES})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|(?:{MALE_TITLES}|{FEMALE_TITLES})\.? [\p{{Lu}}\p{{Lo}}]"
 
 # Given names by script and gender, and letters by script.
 GIVEN = {
@@ -59,6 +68,32 @@ ALPHABETS = {          # (members, letters to draw from)
 MAX_ROUNDS = 40
 
 
+def _other_alphabets() -> tuple[list[str], list[int], list[str]]:
+    """Alphabets (at most 256 letters each, the first for letters of small scripts), the alphabet of each column of
+    16 code points (Unicode blocks are made of columns), and the digits in each column."""
+    letters: dict[str, str] = {}
+    column_of: dict[int, str] = {}
+    digits: dict[int, str] = {}
+    for code in range(0x80, 0x10000):
+        c = chr(code)
+        kind = unicodedata.category(c)
+        if kind == "Nd":
+            digits[code >> 4] = digits.get(code >> 4, "") + c
+        elif kind[0] == "L":
+            script = unicodedata.name(c, "OTHER").split()[0]
+            column_of.setdefault(code >> 4, script)
+            # only what upper() and lower() keep one character
+            if kind in ("Ll", "Lo") and c.lower() == c and len(c.upper()) == 1 and c.upper().lower() == c and unicodedata.normalize("NFC", c) == c:
+                letters[script] = letters.get(script, "") + c
+    letters = {k: v[:256] for k, v in letters.items() if len(v) >= 16}
+    names = list(letters)
+    numbers = [names.index(column_of[i]) + 2 if column_of.get(i) in letters else 1 for i in range(0x1000)]
+    return [ALPHABETS["consonant"][1], *letters.values()], numbers, [digits.get(i, "") for i in range(0x1000)]
+
+
+OTHER_ALPHABETS, OTHER_COLUMNS, OTHER_DIGITS = _other_alphabets()
+
+
 
 def _bound(value: Column, use) -> Column:
     """``use(value)`` with the value computed once (a let, by way of a one-element array)."""
@@ -93,14 +128,27 @@ def _draw(letters: str, n: Column) -> Column:
     return F.substring(F.lit(letters), F.pmod(n, F.lit(len(letters))) + 1, F.lit(1))
 
 
+def _draw_like(c: Column, n: Column) -> Column:
+    """Another letter or digit of the script of ``c``, for those that ``ALPHABETS`` does not list."""
+    column = F.floor(F.ascii(c) / 16).cast("int") + 1
+    in_plane = column <= len(OTHER_COLUMNS)
+    number = F.when(in_plane, F.element_at(F.from_json(F.lit(str(OTHER_COLUMNS)), "array<int>"), column)).otherwise(1)
+    digits = F.when(in_plane, F.element_at(F.split(F.lit("|".join(OTHER_DIGITS)), r"\|"), column)).otherwise("")
+    letters = F.element_at(F.split(F.lit("|".join(OTHER_ALPHABETS)), r"\|"), number)
+    def of(known: Column) -> Column:
+        return _bound(known, lambda x: F.substring(x, F.pmod(n, F.char_length(x)) + 1, F.lit(1)))
+    return (F.when(c.rlike(r"\p{L}"), of(letters))
+            .when(c.rlike(r"\p{N}"), of(F.when(c.rlike(r"\p{Nd}") & (F.char_length(digits) > 0), digits).otherwise("0123456789"))).otherwise(c))
+
+
 def _substitute(text: Column, stream: Column, hex_only: Column) -> Column:
-    """Each digit, letter or hex digit by another of its kind; everything else stays."""
+    """Each digit, letter or hex digit by another of its kind; everything else stays (marks, separators)."""
     def letter(c: Column, n: Column) -> Column:
         new = F.when(c.rlike("[0-9]"), F.when(hex_only & (n % 16 > 9), _draw("abcdef", n)).otherwise(_draw("0123456789", n)))
         new = new.when(hex_only & c.rlike("[a-f]"), _draw("0123456789abcdef", n))
         for members, letters in ALPHABETS.values():
             new = new.when(F.instr(F.lit(members), c) > 0, _draw(letters, n))
-        return new.otherwise(c)
+        return new.otherwise(F.when(c > F.lit("\x7f"), _draw_like(c, n)).otherwise(c))
 
     def swap(s: Column) -> Column:
         def one(i: Column) -> Column:
@@ -130,6 +178,9 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
         return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.pmod(
             F.conv(F.substring(s, i * 4 + 1, F.lit(4)), 16, 10).cast("int"), F.lit(254)).cast("string")), ".")
 
+    def groups(s: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substring(s, i * 4 + 1, F.lit(4))), ":")
+
     def fit(swapped: Column) -> Column:
         n = F.char_length(swapped)
         # cards keep the residue of their check sum: a valid number stays valid
@@ -142,7 +193,7 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
                 .when(kind == "account", F.concat(F.substring(canon, 1, 2), F.substring(swapped, F.lit(3), n)))
                 .otherwise(swapped))
 
-    return (F.when(kind == "ip", _bound(stream, octets)).when(kind.startswith("person"), _person(key, kind, canon, attempt))
+    return (F.when(kind == "ip", _bound(stream, octets)).when(kind == "ip6", _bound(stream, groups)).when(kind.startswith("person"), _person(key, kind, canon, attempt))
             .otherwise(_bound(_substitute(canon, stream, kind == "secret"), fit)))
 
 
