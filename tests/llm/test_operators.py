@@ -318,3 +318,19 @@ def test_surrogates_of_any_script_and_of_more_forms(spark):
         elif t not in stay:
             assert not set(re.findall(r"\w{3,}", t)) & set(re.findall(r"\w{3,}", new)) - {"Mrs", "السيد", "श्री"}, (t, new)
             assert new != f"x {t} y"
+
+
+@pytest.mark.parametrize("wrapper", ["form action=x", "div class='layout sidebar-right'", "div class=has-sidebar", "div class='post-with-comments'",
+                                     "div class='entry-content share-enabled'", "div id=page-widget"])
+@pytest.mark.parametrize("inner", ["div", "article"])
+def test_a_wrapper_of_the_main_text_is_kept(wrapper, inner):
+    body = "word " * 60
+    tag = wrapper.split()[0]
+    side = "<nav>menu here</nav><div class=sidebar>links and links</div><div class=comments>" + "user says " * (40 if inner == "article" else 15) + "</div>"
+    for page in (f"<body><{wrapper}><{inner}><p>{body}</p></{inner}>{side}</{tag}></body>",
+                 f"<body><{wrapper}><{inner}><p>{body}</p></{inner}></{tag}>{side}</body>",
+                 f"<body><main><{wrapper}><{inner}><p>{body}</p></{inner}></{tag}>{side}</main></body>",
+                 f"<body><form><{wrapper}><{inner}><p>{body}</p></{inner}></{tag}>{side}</form></body>"):
+        assert htmltext.main_text(page, htmltext.START) == body.strip(), page
+    beside = f"<body><article><p>{body}</p></article><{wrapper}><{tag}><p>{body * 3}</p></{tag}></{tag}></body>"
+    assert htmltext.main_text(beside, htmltext.START) == body.strip()

@@ -4,7 +4,8 @@ A page is a sequence of words and tags. Words score positive, tags negative; the
 from labelled pages (pages that mark their main text with an ``article`` or ``main`` element), and one
 linear scan finds the contiguous region with the largest total. Elements that never are main text
 (scripts, forms, menus, adverts, comment sections, ...) count as one barrier and give no text, also
-inside the region.
+inside the region. Forms and names of class and id may also mark a wrapper of the whole page: such an element is
+skipped only where it does not hold the page's main part (see ``_wraps``).
 
 Edge cases: a null or empty page, or one without words, gives an empty text; unclosed tags and
 comments end with the page; ties go to the earlier, then the longer region; repeated rows are extracted alike;
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -59,12 +61,19 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def is_furniture(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
-    if tag in ASIDE or tag == "header" and not in_article:
+    """Furniture whatever it holds."""
+    if tag in ASIDE and tag != "form" or tag == "header" and not in_article:
         return True
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I):
         return True
-    if attrs.get("role", "").lower() in ASIDE_ROLES:
-        return not (in_article and attrs["role"].lower() in OUTSIDE_ONLY)
+    role = attrs.get("role", "").lower()
+    return role in ASIDE_ROLES and role != "form" and not (in_article and role in OUTSIDE_ONLY)
+
+
+def may_be_furniture(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+    """Furniture unless it wraps the main part: forms, and elements with a listed word in class or id."""
+    if tag == "form" or attrs.get("role", "").lower() == "form":
+        return True
     if tag in ("html", "body", "article", "main"):
         return False
     names = {w.lower() for key in ("class", "id") for w in _NAME.findall(attrs.get(key, ""))} & ASIDE_NAMES
@@ -78,11 +87,39 @@ class Page:
     region: tuple[int, int] | None = None                              # items of the marked main element
 
 
+@dataclass
+class Span:
+    """Items [start, end) of an element; ``scope``: its innermost article or main element, ``parent``: its
+    innermost doubtful element."""
+    start: int
+    depth: int
+    scope: "Span | None" = None
+    parent: "Span | None" = None
+    end: int = 0
+    doubtful: bool = False
+    holds_mark: bool = False
+
+    def holds(self, other: "Span") -> bool:
+        return self.start <= other.start and other.end <= self.end
+
+
 def parse(source: str) -> Page:
     page, pos, block, n = Page(), 0, 0, len(source)
     stack: list[str] = []
     furniture: list[int] = []            # stack depths at which skipped elements opened
-    marked, marked_depth = None, 0
+    doubtful: list[Span] = []            # elements that are furniture unless they wrap the main part
+    marks: list[Span] = []               # article and main elements
+    still: list[Span] = []               # those of both that are open, outermost first
+
+    def close() -> bool:
+        """End what the stack no longer holds; whether a doubtful element ended."""
+        ended = False
+        while still and len(stack) <= still[-1].depth:
+            span = still.pop()
+            span.end = len(page.items)
+            ended = ended or span.doubtful
+        return ended
+
     while pos < n:
         m = _TOKEN.search(source, pos)
         text = source[pos:m.start() if m else n]
@@ -101,42 +138,114 @@ def parse(source: str) -> Page:
         if tag in BLOCKS:
             block += 1
         if closing:
+            skipped = False
             if tag in stack:
                 while stack and stack.pop() != tag:
                     pass
                 if furniture and len(stack) <= furniture[-1]:
                     while furniture and len(stack) <= furniture[-1]:
                         furniture.pop()
-                    block += 1
-                    continue
-            if not furniture:
+                    skipped = True
+            if not furniture and not skipped:
                 page.items.append(("/" + tag, "", block))
-            if marked is not None and len(stack) < marked_depth:
-                page.region, marked, marked_depth = page.region or (marked, len(page.items)), None, 0
+            block += close() or skipped
             continue
         if tag == "br" or tag == "hr":
             if not furniture:
                 page.items.append((tag, " ", block))
             continue
         attrs = _attributes(m[2]) if m[2] else {}
-        in_article = "article" in stack or "main" in stack
         void = tag in VOID or m[2].endswith("/")
         if tag in ("p", "li", "dt", "dd", "option", "tr", "td", "th") and stack and stack[-1] == tag:
             stack.pop()                   # these close their own kind
             if furniture and len(stack) <= furniture[-1]:
                 furniture.pop()
-        if not furniture and is_furniture(tag, attrs, in_article):
+            close()
+        in_article = "article" in stack or "main" in stack
+        doubt = not furniture and may_be_furniture(tag, attrs, in_article)
+        if not furniture and (is_furniture(tag, attrs, in_article) or doubt and void):
             page.items.append((INNER_BARRIER if in_article else BARRIER, "", block))
             if not void:
                 furniture.append(len(stack))
         elif not furniture:
+            if not void and (doubt or tag in ("article", "main")):
+                span = Span(len(page.items), len(stack), next((x for x in reversed(still) if not x.doubtful), None),
+                            next((x for x in reversed(still) if x.doubtful), None), doubtful=doubt)
+                for x in still:
+                    x.holds_mark |= not doubt
+                still.append(span)
+                (doubtful if doubt else marks).append(span)
             page.items.append((tag, "", block))
-            if tag in ("article", "main") and marked is None and page.region is None and not void:
-                marked, marked_depth = len(page.items) - 1, len(stack) + 1
         if not void:
             stack.append(tag)
-    if marked is not None and page.region is None:
-        page.region = (marked, len(page.items))
+    stack.clear()
+    close()
+    return _without_furniture(page.items, doubtful, marks)
+
+
+#: A doubtful element without article or main holds the main part if it has so many times the words around it.
+WRAPPER_TIMES = 2
+#: An article in another doubtful element does not count beside an element of more than so many times its words.
+TEASER_TIMES = 4
+
+
+def _wraps(span: Span, inner: dict[int, tuple[list[Span], list[int], list[int]]], marks: list[Span], words: list[int]) -> bool:
+    """Whether a doubtful element holds the main part of its scope (the article or main element it lies in, else
+    the page): the only article or main element, or, where none is outside it, more words than any other
+    doubtful element and ``WRAPPER_TIMES`` those outside all others. ``inner``: doubtful elements by parent, their
+    starts and running sums of words; ``words``: sums up to an item."""
+    start, end = (span.scope.start, span.scope.end) if span.scope else (0, len(words) - 1)
+    own = words[span.end] - words[span.start]
+    others, apart, at = words[end] - words[start] - own, [], span
+    while True:                           # the largest doubtful elements apart: beside it, and beside what holds it
+        spans, starts, sums = inner[id(at.parent)]
+        lo, hi = bisect_left(starts, start), bisect_left(starts, end)
+        others -= sums[hi] - sums[lo] - (words[at.end] - words[at.start])
+        apart.append((spans, lo, hi, at))
+        if at.parent is None or at.parent.start < start:
+            break
+        at = at.parent
+    if not span.holds_mark and own < WRAPPER_TIMES * others:
+        return False
+    around = any(start <= x.start and x.end <= end and not x.holds(span) and not span.holds(x)
+                 and (TEASER_TIMES * (words[x.end] - words[x.start]) >= own or x.parent is None or x.parent.holds(span)) for x in marks)
+    if around != span.holds_mark:
+        return span.holds_mark
+    return own > 0 and own >= WRAPPER_TIMES * others and all(
+        (own, -span.start) > (words[x.end] - words[x.start], -x.start) for spans, lo, hi, at in apart for x in spans[lo:hi] if x is not at)
+
+
+def _without_furniture(items: list[tuple[str, str, int]], doubtful: list[Span], marks: list[Span]) -> Page:
+    """The page with each doubtful element that wraps no main part as one barrier."""
+    words = [0]
+    for _, text, _ in items:
+        words.append(words[-1] + (len(text.split()) if text else 0))
+    inner: dict[int, tuple[list[Span], list[int], list[int]]] = {}
+    for x in doubtful:
+        spans, starts, sums = inner.setdefault(id(x.parent), ([], [], [0]))
+        spans.append(x)
+        starts.append(x.start)
+        sums.append(sums[-1] + words[x.end] - words[x.start])
+    skip: list[Span] = []
+    for x in doubtful:                    # outer elements first
+        if not (skip and skip[-1].holds(x)) and not _wraps(x, inner, marks, words):
+            skip.append(x)
+    page = Page()
+    region = next((x for x in marks if not any(y.holds(x) for y in skip)), None)
+    at, moved = 0, {}
+    for x in [*skip, Span(len(items), 0, end=len(items))]:
+        for i in range(at, x.start):
+            moved[i] = len(page.items)
+            page.items.append(items[i])
+        if x.start < len(items):
+            page.items.append((INNER_BARRIER if x.scope else BARRIER, "", items[x.start][2]))
+        at = x.end
+    if region:
+        last = max(i for i in moved if i < region.end)
+        end = moved[last] + 1
+        while end < len(page.items) and last + 1 < region.end and page.items[end][0] in (BARRIER, INNER_BARRIER):
+            end, last = end + 1, region.end
+        page.region = (moved[region.start], end)
     return page
 
 
