@@ -146,3 +146,12 @@ def test_files_for_date_newest_fallback(spark, tmpdir_path):
     assert [os.path.basename(r["file"]) for r in got] == ["postgresql-2024-03-02.log"]
     got = S.log_files_for_date(lines, ["2024-03-01"], fallback_newest=True).collect()
     assert [os.path.basename(r["file"]) for r in got] == ["postgresql-2024-03-01.log"]
+
+
+def test_errors_of_the_whole_appendix_are_counted(spark, tmpdir_path):
+    codes = ["42883", "22007", "25006", "55006", "23505", "22001"]
+    text = "".join(f"2024-03-01 10:00:0{i}.000 MSK| u| app| d| h| 10| {c}| ERROR:  failed\n" for i, c in enumerate(codes))
+    lines = S.read_log_lines(spark, _write(tmpdir_path, text))
+    assert {r["code"]: r["n"] for r in L.error_counts(lines, S.sqlstate_dim(spark)).collect()} == dict.fromkeys(codes, 1)
+    fields = S.log_prefix_fields(S.assemble_records(lines))
+    assert sorted(r["sqlstate"] for r in L.known_errors(fields, S.sqlstate_dim(spark)).collect()) == sorted(codes)
