@@ -334,3 +334,15 @@ def test_a_wrapper_of_the_main_text_is_kept(wrapper, inner):
         assert htmltext.main_text(page, htmltext.START) == body.strip(), page
     beside = f"<body><article><p>{body}</p></article><{wrapper}><{tag}><p>{body * 3}</p></{tag}></{tag}></body>"
     assert htmltext.main_text(beside, htmltext.START) == body.strip()
+
+
+@pytest.mark.parametrize("part", [1, 1 << 20])
+def test_benchmark_items_without_an_id_are_searched(spark, part):
+    words = [f"w{i}" for i in range(40)]
+    bench = spark.createDataFrame([(None, " ".join(words[:12])), (None, "q r"), (7, " ".join(words[20:35]))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a " + " ".join(words[:12])), (2, " ".join(words)), (3, "b c")], "doc_id long, text string")
+    found = decontaminate.find_benchmark(docs, bench, max_part_bytes=part, keep_text=False)
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontaminate.contamination_digest(found).collect()}
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    assert got == {1: (12, 1, sha(b""), True), 2: (27, 2, sha(b"7"), True), 3: (0, 0, sha(b""), False)}
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs, bench).collect()] == [3]

@@ -6,7 +6,8 @@ each block of two words how far the search may skip, a suffix-hash bucket select
 end in the block, and a direct comparison confirms each occurrence.
 
 Edge cases: null or empty texts have no words and no hits; items without words have no window;
-repeated items or rows are matched alike; empty tables give empty results; extra columns of the
+repeated items or rows are matched alike; items without an id are searched too and count as one item, which
+the list of ids leaves out; empty tables give empty results; extra columns of the
 documents pass through.
 """
 
@@ -115,11 +116,11 @@ _OUT = [("n_words", pa.int64(), T.LongType()), ("hit_spans", pa.list_(pa.list_(p
         ("hit_items", pa.list_(pa.int64()), T.ArrayType(T.LongType()))]
 
 
-def _benchmark_parts(benchmark: DataFrame, max_bytes: int) -> Iterator[list[tuple[int, str]]]:
+def _benchmark_parts(benchmark: DataFrame, max_bytes: int) -> Iterator[list[tuple[int | None, str]]]:
     """Items in parts of at most ``max_bytes`` of text (one longer item is a part of its own)."""
     part: list[tuple[int, str]] = []
     size = 0
-    rows = benchmark.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").orderBy("item_id", "text")
+    rows = benchmark.filter(F.col("text").isNotNull()).select("item_id", "text").orderBy("item_id", "text")
     for r in rows.toLocalIterator():
         n = len(r["text"].encode())
         if part and size + n > max_bytes:
@@ -133,7 +134,7 @@ def _benchmark_parts(benchmark: DataFrame, max_bytes: int) -> Iterator[list[tupl
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_part_bytes: int = MAX_PART_BYTES,
                    keep_text: bool = True) -> DataFrame:
     """All columns of ``docs`` (``text`` only if ``keep_text``) plus n_words, hit_spans (merged [start, end)
-    in words) and hit_items (sorted).
+    in words) and hit_items (sorted; a null last if an item without an id occurs).
 
     One pass over the documents per part of the benchmark, with no shuffle; the part's tables are the
     only thing broadcast and bounded by ``max_part_bytes``. Between parts the result is checkpointed,
@@ -171,7 +172,7 @@ def _searcher(held, window: int, carry: list[str], first: bool):
                         ids |= set(piece.column("hit_items")[j].as_py())
                     n_words.append(n)
                     spans.append(s)
-                    items.append(sorted(ids))
+                    items.append(sorted(ids - {None}) + [None] * (None in ids))
                 arrays = [piece.column(c) for c in carry] + [pa.array(v, t) for v, (_, t, _) in zip((n_words, spans, items), _OUT)]
                 yield pa.RecordBatch.from_arrays(arrays, names=carry + [n for n, _, _ in _OUT])
     return search
