@@ -346,3 +346,11 @@ def test_benchmark_items_without_an_id_are_searched(spark, part):
     sha = lambda x: hashlib.sha256(x).hexdigest()
     assert got == {1: (12, 1, sha(b""), True), 2: (27, 2, sha(b"7"), True), 3: (0, 0, sha(b""), False)}
     assert [r["doc_id"] for r in decontaminate.decontaminate(docs, bench).collect()] == [3]
+
+
+def test_query_blocks_keep_all_vectors_of_a_repeated_id(spark):
+    rng = np.random.default_rng(9)
+    vectors = spark.createDataFrame([(i, rng.normal(size=64).tolist()) for i in range(40)], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(100 + i // 3, rng.normal(size=64).tolist()) for i in range(7)], vectors.schema)
+    whole, blocks = (sorted(map(tuple, ann.search(vectors, queries, 3, block=n).collect())) for n in (100, 2))
+    assert whole == blocks and len(whole) == 9

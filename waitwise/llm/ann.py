@@ -165,12 +165,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, dim: int | None
     wanted = usable(queries).filter(F.size("v") == dim).distinct()
     ids = stored(wanted, "onebit-queries")
     parts, last = [], None
-    while True:                                      # blocks in id order, each bounded; repeated ids stay together
-        rest = ids if last is None else ids.filter(F.col("vec_id") > last)
+    while True:                                      # blocks in the order of (id, vector), each bounded
+        rest = ids if last is None else ids.filter(
+            (F.col("vec_id") > last["vec_id"]) | (F.col("vec_id") == last["vec_id"]) & (F.col("v") > F.array(*map(F.lit, last["v"])).cast(ids.schema["v"].dataType)))
         rows = rest.orderBy("vec_id", "v").limit(block).collect()
         if not rows:
             break
-        last = rows[-1]["vec_id"]
+        last = rows[-1]
         held = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in rows], np.int64), np.array([r["v"] for r in rows])))
         parts.append(index.mapInArrow(_block_search(held, mean, turn, dim, k), "query_id long, vec_id long, score double"))
         if len(rows) < block:
