@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waitwise.llm import ann, decontaminate, htmltext, mixing, ngramjoin, pii, quality, repeats, sharding, urlfilter
+from waitwise.llm import ann, blocknames, decontaminate, htmltext, mixing, ngramjoin, pii, quality, repeats, sharding, tokalign, urlfilter, whitening
 from waitwise.llm.common import stored, table
 
 #: Production rules of op2: action, host, path.
@@ -69,9 +69,22 @@ def op10_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokalign.alignment_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_rows(table(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocknames.duplicate_groups(table(spark, sf_dir, "documents")).drop("row")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_bloom_cascade_urls, op3_onebit_neighbours, op4_mix_domains, op5_suffix_dedup,
-    op6_pii_surrogates, op7_decontaminate, op8_main_text, op9_jump_shards, op10_byte_cnn_quality)}
+    op6_pii_surrogates, op7_decontaminate, op8_main_text, op9_jump_shards, op10_byte_cnn_quality,
+    op11_token_alignment, op12_whiten_embeddings, op13_exact_dedup)}
 
 _HOST = "CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*') ELSE '' END"
 _PATH = r"CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END"
@@ -111,4 +124,9 @@ ids AS (
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(i.n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(i.listed, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM words d LEFT JOIN hits h USING (doc_id) LEFT JOIN ids i USING (doc_id)""",
+    "op13_exact_dedup": """
+WITH texts AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM texts""",
 }
