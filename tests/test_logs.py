@@ -108,6 +108,77 @@ def test_records_across_chunks(spark):
     assert len(recs) == 14 and [r["n_lines"] for r in recs][:3] == [3, 3, 1]
 
 
+def test_segmented_scan_against_a_plain_loop(spark):
+    """Any mix of files, splits and record lengths, in any spread over partitions and Arrow batches."""
+    import random
+    rng = random.Random(7)
+    lines, want = [], []
+    for f in ("a", "b", "c"):
+        chunk, current = 0, None
+        for i in range(400):
+            if rng.random() < 0.05:
+                chunk += 1
+            start = rng.random() < (0.02 if f == "c" else 0.4)
+            text = (f"2024-01-01 00:00:{i % 60:02d}.5 r{i}" if start else rng.choice(["", "  more", "é строка", "2024 not a start"])) + str(i % 7)
+            lines.append((f, chunk, i, text))
+            if start:
+                current = [f, i, [text]]
+                want.append(current)
+            elif current:
+                current[2].append(text)
+    # one partition a (file, split) at least: splits of a file in any order, files side by side
+    by_split = {}
+    for row in lines:
+        by_split.setdefault(row[:2], []).append(row)
+    parts = list(by_split.values())
+    rng.shuffle(parts)
+    tasks = [[] for _ in range(6)]
+    for k, p in enumerate(parts):
+        tasks[k % 6].append(p)
+    dealt = []
+    for t in tasks:                                   # interleave the files of a task, each split in its own order
+        queues = [list(p) for p in t]
+        rows = []
+        while any(queues):
+            rows.append(rng.choice([q for q in queues if q]).pop(0))
+        dealt.append(rows)
+    sc = spark.sparkContext
+    df = spark.createDataFrame(sc.parallelize(dealt, 6).flatMap(lambda r: r), "file string, chunk int, pos int, line string")
+    exp = sorted((f, i, "\n".join(t), len(t)) for f, i, t in want)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("7", "100000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = S.assemble_records(df).select("file", "rec_pos", "record", "n_lines").collect()
+            assert sorted(map(tuple, got)) == exp
+            kept = S.assemble_records(df, r"r\d*[05]\d?$").select("file", "rec_pos", "record", "n_lines").collect()
+            import re
+            assert sorted(map(tuple, kept)) == [x for x in exp if re.search(r"r\d*[05]\d?$", x[2].split("\n")[0])]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_record_text_is_not_sorted_windowed_or_joined(spark):
+    from tests.conftest import SF001
+    df = S.assemble_records(S.log_lines(spark, SF001))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    whole = plan.split("Union")[1]
+    whole = whole[:whole.index("HashAggregate") if "HashAggregate" in whole else whole.index("ObjectHashAggregate")]
+    assert "Exchange" not in whole and "Sort" not in whole and "Join" not in plan
+
+
+def test_slice_from_lines_and_first_splits(spark, tmpdir_path):
+    path = _write(tmpdir_path, LOG)
+    args = "2024-03-01 10:00", "2024-03-01 10:06"
+    want = sorted(map(tuple, S.log_time_slice(S.read_server_log(spark, path), *args).collect()))
+    lines = S.read_log_lines(spark, path)
+    assert sorted(map(tuple, S.records_in_slice(lines, *args).collect())) == want and len(want) == 7
+    assert S.records_in_slice(lines, *args, files=lines.select("file").limit(0)).count() == 0
+    _write(tmpdir_path, P.format(m="00", s="00", code="00000").replace("03-01", "03-02") + "LOG: x", "postgresql-2024-03-02.log")
+    got = S.log_files_for_date(S.first_split_lines(spark, tmpdir_path), ["2024-03-02"]).collect()
+    assert [os.path.basename(r["file"]) for r in got] == ["postgresql-2024-03-02.log"]
+
+
 def test_sqlstate_dim_from_file(spark, tmpdir_path):
     p = _write(tmpdir_path, "Class 00 — Successful Completion\n00000    successful_completion\n"
                             "40P01    deadlock_detected  some comment\nbad line", "codes.txt")

@@ -135,7 +135,7 @@ def log_report(lines: DataFrame, s: str, f: str, out_path: str, interval: str =
                fmt: str = "csv", codes: DataFrame | None = None) -> list[str]:
     """Log summaries (L2-L6) for the records whose minute lies in [s, f]."""
     spark = lines.sparkSession
-    recs = S.log_time_slice(S.assemble_records(lines), s, f).persist(StorageLevel.MEMORY_AND_DISK)
+    recs = S.records_in_slice(lines, s, f).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         codes = codes if codes is not None else S.sqlstate_dim(spark)
         # the error count greps every physical line of the slice, continuation lines included

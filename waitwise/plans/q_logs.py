@@ -32,7 +32,7 @@ def _first_sql(patterns: list[str]) -> str:
 
 @register("log_records", "A8", with_bindings("SELECT * FROM log_records", "log_records"))
 def q_log_records(spark, sf):
-    """Physical log lines assembled into multi-line records (chunk-bounded windows)."""
+    """Physical log lines assembled into multi-line records (segmented scan)."""
     return _records(spark, sf)
 
 
@@ -54,7 +54,7 @@ def q_log_prefix_fields(spark, sf):
     "log_records"))
 def q_log_time_slice(spark, sf):
     """Records of one report interval, minute-inclusive on both ends (the slice is the feature)."""
-    return S.log_time_slice(_records(spark, sf), SLICE_S, SLICE_F)
+    return S.records_in_slice(S.log_lines(spark, sf), SLICE_S, SLICE_F)
 
 
 @register("log_files_for_date", "A11", with_bindings(

@@ -1,27 +1,20 @@
 """Server-log sources: physical lines → logical records.
 
 A record starts at a line whose first two tokens are a date and a time with
-fractional seconds; every other line continues the current record.
-
-Record assembly is a running "last start position" per file. To keep every task
-bounded it is computed per *chunk* (a file split, or a block of line numbers):
-1. inside each (file, chunk) a window gives the last start seen so far;
-2. each chunk's last start goes into a small table (one row per chunk), where a
-   window over chunks gives the start carried in from earlier chunks;
-3. lines before any start in their chunk take the carried-in start;
-4. records are assembled inside the (file, chunk) partitioning; only the few records
-   that cross a chunk boundary are shuffled again to join their fragments.
-No window ever spans a whole file, so a single huge log file does not become one task,
-and the log text is shuffled once.
+fractional seconds; every other line continues the current record. Records are
+assembled by a segmented scan (``waitwise.sources.segments``): the text is neither
+sorted nor windowed, and only the pieces at split borders are shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waitwise.sources import segments
 from waitwise.sources.bindings import bucket, table
 
+# How a log line that opens a record begins.
 START_RE = r"^\s*\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d+"
 TS_RE = r"^\s*(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2})"
 
@@ -326,51 +319,29 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
                       "line")
 
 
-def assemble_records(lines: DataFrame, start_filter: str | None = None) -> DataFrame:
+def line_ts(line: Column | str) -> Column:
+    """The timestamp (to the second) that a line begins with, else NULL."""
+    raw = F.regexp_extract(line, TS_RE, 1)
+    return F.when(raw != "", F.to_timestamp_ntz(F.regexp_replace(raw, r"\s+", " ")))
+
+
+def assemble_records(lines: DataFrame, start_filter: str | Column | None = None) -> DataFrame:
     """(file, chunk, pos, line) → (file, rec_pos, ts, record, n_lines).
 
-    Lines before the first record start of a file belong to no record and are dropped.
-    ``start_filter`` (a regex on the record's first line) keeps only matching records and
-    drops the other records' lines *before* the record shuffle, e.g. only autovacuum
+    The lines of a (file, chunk) stand in file order inside their partition, as a reader of
+    splits gives them. Lines before the first record start of a file belong to no record and
+    are dropped. ``start_filter`` (a regex, or a condition on ``line``) is tested on a record's
+    first line: other records lose their text before the scan, e.g. all but the autovacuum
     records when those are all a report needs.
     """
-    is_start = F.col("line").rlike(START_RE)
-    keep = F.lit(True) if start_filter is None else F.col("line").rlike(start_filter)
-    start = F.when(is_start, F.struct(F.col("pos").alias("p"), keep.alias("k"), F.col("chunk").alias("c")))
-    w_in = Window.partitionBy("file", "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    l2 = lines.withColumn("_start", F.last(start, ignorenulls=True).over(w_in))
-    # per chunk (derived from the windowed lines, already clustered by file and chunk, so
-    # no second exchange): its last record start and whether it opens with continuation
-    # lines of a record begun in an earlier chunk
-    per_chunk = l2.groupBy("file", "chunk").agg(
-        F.max("_start").alias("_last"), (~F.min_by(is_start, F.col("pos"))).alias("_lead"))
-    w_chunks = Window.partitionBy("file").orderBy("chunk")
-    carry = per_chunk.select(
-        "file", "chunk", "_last",
-        F.last("_last", ignorenulls=True).over(w_chunks.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"),
-        F.coalesce(F.lead("_lead").over(w_chunks), F.lit(False)).alias("_next_lead"))
-    # one row per chunk: small next to the lines, joined on (file, chunk)
-    l3 = l2.join(carry, ["file", "chunk"], "left").withColumn("_rec", F.coalesce("_start", "_carry"))
-    l3 = l3.filter(F.col("_rec.k")).withColumn("rec_pos", F.col("_rec.p"))
-    # a record crosses a chunk boundary iff this line continues a record started in an
-    # earlier chunk, or its record is the chunk's last and the next chunk opens with
-    # continuation lines — known per row, no lookup
-    crosses = (F.col("_rec.c") != F.col("chunk")) | (
-        (F.col("rec_pos") == F.col("_last.p")) & F.col("_next_lead"))
-    # fragments per (file, chunk, record): grouped inside the (file, chunk) partitioning
-    frag = l3.groupBy("file", "chunk", "rec_pos").agg(
-        F.collect_list(F.struct("pos", "line")).alias("_ls"), F.max(crosses).alias("_x"))
-    whole = frag.filter(~F.col("_x")).select("file", "rec_pos", F.array_sort("_ls").alias("_ls"))
-    # only records that cross a chunk boundary (at most one per boundary) are shuffled
-    joined = frag.filter(F.col("_x")).groupBy("file", "rec_pos").agg(
-        F.array_sort(F.flatten(F.collect_list("_ls"))).alias("_ls"))
-    recs = whole.unionByName(joined)
-    first = F.col("_ls")[0]["line"]
-    return recs.select(
-        "file", "rec_pos",
-        F.to_timestamp_ntz(F.regexp_replace(F.regexp_extract(first, TS_RE, 1), r"\s+", " ")).alias("ts"),
-        F.array_join(F.transform("_ls", lambda x: x["line"]), "\n").alias("record"),
-        F.size("_ls").alias("n_lines"))
+    keep = F.col("line").rlike(start_filter) if isinstance(start_filter, str) else start_filter
+    recs = segments.records(lines, F.col("line").rlike(START_RE), keep)
+    return recs.select("file", "rec_pos", line_ts("record").alias("ts"), "record", "n_lines")
+
+
+def first_split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of each file's first split: enough for A11, however long the files."""
+    return read_log_lines(spark, path).filter(F.col("chunk") == 0)
 
 
 def read_server_log(spark: SparkSession, path: str) -> DataFrame:
@@ -392,21 +363,36 @@ def log_prefix_fields(records: DataFrame, col: str = "record") -> DataFrame:
         F.regexp_replace(F.get(parts, 7), r"^\s+", "").alias("message"))
 
 
+def in_minutes(ts: Column, s: str, f: str) -> Column:
+    """Whether the minute of ``ts`` lies in [s, f]."""
+    m = bucket(ts, "minute")
+    return (m >= F.lit(s).cast("timestamp_ntz")) & (m <= F.lit(f).cast("timestamp_ntz"))
+
+
 def log_time_slice(records: DataFrame, s: str, f: str) -> DataFrame:
     """A10: records whose minute lies in [s, f] (minute-inclusive on both ends)."""
-    m = bucket("ts", "minute")
-    return records.filter((m >= F.lit(s).cast("timestamp_ntz")) & (m <= F.lit(f).cast("timestamp_ntz")))
+    return records.filter(in_minutes(F.col("ts"), s, f))
+
+
+def records_in_slice(lines: DataFrame, s: str, f: str, files: DataFrame | None = None) -> DataFrame:
+    """A10 from lines: only records of the slice are assembled (a record's first line tells its minute).
+
+    ``files`` (file, e.g. from ``log_files_for_date``) are the only ones read, if given: one row a file.
+    """
+    if files is not None:
+        lines = lines.join(files.select("file"), "file", "left_semi")
+    return assemble_records(lines, in_minutes(line_ts("line"), s, f))
 
 
 def log_files_for_date(lines: DataFrame, dates: list[str] | None = None,
                        fallback_newest: bool = False) -> DataFrame:
     """Each file's first line and its timestamp; keep files whose first line carries one
     of ``dates`` (all files when None). Accepts many files and many days. With
-    ``fallback_newest`` the newest file is returned when no file matches."""
+    ``fallback_newest`` the newest file is returned when no file matches.
+
+    ``lines`` may be the first splits only (``first_split_lines``): a file's first line is there."""
     first = lines.groupBy("file").agg(F.min_by("line", "pos").alias("_first"))
-    raw = F.regexp_extract("_first", TS_RE, 1)
-    ts = F.when(raw != "", F.to_timestamp_ntz(F.regexp_replace(raw, r"\s+", " ")))
-    out = first.select("file", ts.alias("first_ts")).filter(F.col("first_ts").isNotNull())
+    out = first.select("file", line_ts("_first").alias("first_ts")).filter(F.col("first_ts").isNotNull())
     if dates is not None:
         matched = out.filter(F.to_date("first_ts").cast("string").isin(dates))
         if not fallback_newest:
@@ -432,9 +418,10 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     checkpoint (EN/RU), autovacuum (EN/RU, 3 lines), temporary file or error/warning line.
 
     Output (file, chunk, pos, line_no, line) with pos = line_no = event_id*4 + k, one
-    file per day, chunks of 4096 line numbers.
+    file per day; a chunk is the split of ``events`` that the lines were read from.
     """
     ev = table(spark, sf_dir, "events").select(
+        F.concat_ws(":", F.col("_metadata.file_name"), F.col("_metadata.file_block_start").cast("string")).alias("chunk"),
         "event_id", "ts", "user_id", F.round(F.col("value") * 100).cast("bigint").alias("cents"))
     u, e = F.col("user_id"), F.col("event_id")
     kind = e % 6
@@ -491,8 +478,8 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
            .otherwise(F.lit("WARNING:  temporary file size exceeds temp_file_limit (1024kB)")))
     one = (F.when(kind == 0, ck_en).when(kind == 1, ck_ru).when(kind == 4, tmp).otherwise(err))
     lines = (F.when(kind == 2, av_en).when(kind == 3, av_ru).otherwise(F.array(F.concat(prefix, one))))
-    out = ev.select("ts", "event_id", F.posexplode(lines).alias("k", "line"))
+    out = ev.select("chunk", "ts", "event_id", F.posexplode(lines).alias("k", "line"))
     line_no = F.col("event_id") * 4 + F.col("k")
     return out.select(
         F.concat(F.lit("postgresql-"), F.date_format("ts", "yyyy-MM-dd"), F.lit(".log")).alias("file"),
-        F.floor(line_no / 4096).alias("chunk"), line_no.alias("pos"), line_no.alias("line_no"), "line")
+        "chunk", line_no.alias("pos"), line_no.alias("line_no"), "line")
