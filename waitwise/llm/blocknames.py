@@ -36,9 +36,11 @@ def normalised(text: Column) -> Column:
 
 def blocks_of(text: Column, size: int = BLOCK) -> Column:
     """The bytes of a text in blocks of ``size``; an empty text has one empty block."""
-    raw = text.cast("binary")
-    n = F.greatest(F.ceil(F.octet_length(raw) / F.lit(size)), F.lit(1)).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(raw, i * size + 1, F.lit(size)))
+    def cut(raw: Column) -> Column:
+        n = F.greatest(F.ceil(F.octet_length(raw) / F.lit(size)), F.lit(1)).cast("int")
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(raw, i * size + 1, F.lit(size)))
+    # bound to a lambda variable, the text is computed once and not once a block
+    return F.transform(F.array(text.cast("binary")), cut)[0]
 
 
 def block_key(block: Column) -> Column:
