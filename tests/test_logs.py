@@ -173,12 +173,60 @@ def test_slice_from_lines_and_first_splits(spark, tmpdir_path):
     want = sorted(map(tuple, S.log_time_slice(S.read_server_log(spark, path), *args).collect()))
     lines = S.read_log_lines(spark, path)
     assert sorted(map(tuple, S.records_in_slice(lines, *args).collect())) == want and len(want) == 7
-    assert S.records_in_slice(lines, *args, files=lines.select("file").limit(0)).count() == 0
+    assert S.records_in_slice(lines, *args, files=[]).count() == 0
     _write(tmpdir_path, P.format(m="00", s="00", code="00000").replace("03-01", "03-02") + "LOG: x", "postgresql-2024-03-02.log")
     got = S.log_files_for_date(S.first_split_lines(spark, tmpdir_path), ["2024-03-02"]).collect()
     assert [os.path.basename(r["file"]) for r in got] == ["postgresql-2024-03-02.log"]
 
 
+def _events(spark, days, n=4):
+    from pyspark.sql import functions as F
+    rows = [(f"2024-03-{d:02d} 10:0{i}:00", f"t{d}-{i}") for d in days for i in range(n)]
+    return spark.createDataFrame(rows, "t string, table_name string").select(F.to_timestamp_ntz("t").alias("curr_timestamp"), "table_name")
+
+
+def test_event_store_imports_only_what_is_newer(spark, tmpdir_path):
+    from waitwise.sources.eventstore import EventStore
+    ev = _events(spark, [1])
+    store = EventStore(spark, tmpdir_path + "/store", ev.schema)
+    assert store.read().count() == 0 and store.imported_files() == []
+    assert store.import_batch(1, ev, ["a.log"]).n_rows == 4
+    assert store.import_batch(2, _events(spark, [1, 2]), ["a.log", "b.log"]).n_rows == 4     # day 1 is not stored twice
+    assert store.import_batch(3, _events(spark, [1, 2])).n_rows == 0                          # an empty batch keeps the mark
+    assert store.import_batch(4, _events(spark, [3])).n_rows == 4
+    assert sorted(r["table_name"] for r in store.read().collect()) == [f"t{d}-{i}" for d in (1, 2, 3) for i in range(4)]
+    assert store.imported_files() == ["a.log", "b.log"]
+    pruned = store.read().filter("day = DATE'2024-03-02'")
+    assert pruned.count() == 4 and "PartitionFilters: [isnotnull(day" in pruned._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batch_killed_half_way_is_not_seen_and_repeats(spark, tmpdir_path, monkeypatch):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from waitwise.sources.eventstore import EventStore
+    ev = _events(spark, [1, 2, 3]).repartition(4)
+    store = EventStore(spark, tmpdir_path + "/store", ev.schema)
+    store.import_batch(1, _events(spark, [1]))
+    # a task dies while rows are written
+    dying = ev.withColumn("table_name", F.when(F.col("table_name") == "t3-2", F.raise_error(F.lit("lost"))).otherwise(F.col("table_name")))
+    with pytest.raises(Exception, match="lost"):
+        store.import_batch(2, dying)
+    assert store.read().count() == 4
+    # the driver dies between the rows and the manifest
+    with monkeypatch.context() as m:
+        m.setattr(EventStore, "_publish", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError, match="killed"):
+            store.import_batch(2, ev)
+    assert store.read().count() == 4
+    assert store.import_batch(2, ev).n_rows == 8
+    assert store.read().count() == 12
+    # the same batch again, though published: it replaces itself and its own mark does not hide its rows
+    again = store.import_batch(2, ev)
+    assert (again.n_rows, again.version) == (8, 2)
+    assert sorted(r["table_name"] for r in store.read().collect()) == [f"t{d}-{i}" for d in (1, 2, 3) for i in range(4)]
+
+
 def test_sqlstate_dim_from_file(spark, tmpdir_path):
     p = _write(tmpdir_path, "Class 00 — Successful Completion\n00000    successful_completion\n"
                             "40P01    deadlock_detected  some comment\nbad line", "codes.txt")

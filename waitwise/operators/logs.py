@@ -142,8 +142,12 @@ def warning_counts(records: DataFrame, min_count: int = 2, col: str = "record")
         F.col("n") >= min_count)
 
 
+def newer_than(events: DataFrame, mark: Column, ts: str = "curr_timestamp") -> DataFrame:
+    """The events strictly later than a high-water mark (e.g. ``EventStore.mark()``)."""
+    return events.filter(F.col(ts) > mark)
+
+
 def incremental_import(new: DataFrame, existing: DataFrame, ts: str = "curr_timestamp") -> DataFrame:
-    """Rows of ``new`` strictly later than the newest row already stored (1970 if empty).
+    """A12 against a frame: rows of ``new`` strictly later than the newest row of ``existing`` (1970 if empty).
     The high-water mark is a scalar subquery, so the filter runs on every partition."""
-    hwm = F.coalesce(existing.select(F.max(ts)).scalar(), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
-    return new.filter(F.col(ts) > hwm)
+    return newer_than(new, F.coalesce(existing.select(F.max(ts)).scalar(), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")), ts)

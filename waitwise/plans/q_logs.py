@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import re
+import uuid
+
+from pyspark.sql import functions as F
 
 from waitwise.operators import logs as L
 from waitwise.plans.duck import with_bindings
 from waitwise.plans.registry import register
+from waitwise.session import checkpoint_dir
 from waitwise.sources import serverlog as S
+from waitwise.sources.eventstore import EventStore
 
 SLICE_S, SLICE_F = "2024-01-10 00:00", "2024-01-12 23:59"
 STORED_UNTIL = "2024-01-15 00:00:00"
@@ -161,8 +166,13 @@ WHERE curr_timestamp > coalesce((SELECT max(curr_timestamp) FROM ({_AV_SQL}) s
                                  WHERE curr_timestamp < TIMESTAMP '{STORED_UNTIL}'), TIMESTAMP '1970-01-01')""",
     "log_records"))
 def q_incremental_import(spark, sf):
-    """Autovacuum events newer than the stored high-water mark (stored = events before a cut-over)."""
-    ev = L.autovacuum_events(_records(spark, sf, L.AV_MARK))
-    from pyspark.sql import functions as F
-    stored = ev.filter(F.col("curr_timestamp") < F.lit(STORED_UNTIL).cast("timestamp_ntz"))
-    return L.incremental_import(ev, stored)
+    """Autovacuum events newer than the stored high-water mark: the files of the days before a cut-over are
+    imported into an event store, then only files that its manifest does not name are read."""
+    lines = S.log_lines(spark, sf)
+    cut = F.lit(STORED_UNTIL).cast("timestamp_ntz")
+    old = [r["file"] for r in S.log_files_for_date(lines).filter(F.col("first_ts") < cut).collect()]
+    schema = L.autovacuum_events(S.assemble_records(lines)).schema
+    store = EventStore(spark, f"{checkpoint_dir(spark)}/autovacuum-{uuid.uuid4().hex}", schema)
+    store.import_batch(1, L.autovacuum_events(S.assemble_records(lines.filter(F.col("file").isin(old)), L.AV_MARK)), old)
+    rest = lines.filter(~F.col("file").isin(store.imported_files()))
+    return L.newer_than(L.autovacuum_events(S.assemble_records(rest, L.AV_MARK)), store.mark())

@@ -124,27 +124,31 @@ def _rows(schema: pa.Schema, file: pa.Array, pos: pa.Array, text: pa.Array, line
                                       names=["file", "rec_pos", "text", "n_lines"])
 
 
-def _complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, rec_pos, text, n_lines) of the records that a task sees whole."""
     return _walk(batches, False)
 
 
-def _boundary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def boundary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, seg_pos, rec_pos, text, n_lines, kind, keep) of the pieces that other segments may complete."""
     return _walk(batches, True)
 
 
-def prepared(lines: DataFrame, is_start: Column, keep: Column | None = None) -> DataFrame:
+def prepared(lines: DataFrame, is_start: Column, keep: Column | None = None, arrived: bool = False) -> DataFrame:
     """(file, chunk, pos, text, start, keep): what a task walks. Lines that open a record which is not kept lose
-    their text before they leave the JVM."""
+    their text before they leave the JVM. With ``arrived`` the file's name is followed by a bar and its time of
+    arrival in microseconds."""
     keep = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
     gone = is_start & ~keep
     text = F.when(gone, F.lit("")).otherwise(F.concat(F.lit("\n"), F.coalesce(F.col("line"), F.lit(""))))
-    return lines.select("file", "chunk", "pos", text.alias("text"), is_start.alias("start"), keep.alias("keep"))
+    file = F.format_string("%s|%d", "file", F.unix_micros("arrived")).alias("file") if arrived else F.col("file")
+    return lines.select(file, "chunk", "pos", text.alias("text"), is_start.alias("start"), keep.alias("keep"))
 
 
 def boundary_pieces(marked: DataFrame) -> DataFrame:
     """At most two rows a segment: (file, seg_pos, rec_pos, text, n_lines, kind, keep)."""
     pos = marked.schema["pos"].dataType.simpleString()
-    return marked.mapInArrow(_boundary, f"file string, seg_pos {pos}, rec_pos {pos}, text string, n_lines long, kind int, keep boolean")
+    return marked.mapInArrow(boundary, f"file string, seg_pos {pos}, rec_pos {pos}, text string, n_lines long, kind int, keep boolean")
 
 
 def stitched(pieces: DataFrame) -> DataFrame:
@@ -164,6 +168,6 @@ def records(lines: DataFrame, is_start: Column, keep: Column | None = None) -> D
     breaks; only records whose first line satisfies ``keep``. Lines before the first start of a file are dropped."""
     marked = prepared(lines, is_start, keep)
     pos = marked.schema["pos"].dataType.simpleString()
-    whole = marked.mapInArrow(_complete, f"file string, rec_pos {pos}, text string, n_lines long")
+    whole = marked.mapInArrow(complete, f"file string, rec_pos {pos}, text string, n_lines long")
     both = whole.unionByName(stitched(boundary_pieces(marked)))
     return both.select("file", "rec_pos", F.substr(F.col("text"), F.lit(2)).alias("record"), "n_lines")

@@ -8,6 +8,8 @@ sorted nor windowed, and only the pieces at split borders are shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -374,13 +376,13 @@ def log_time_slice(records: DataFrame, s: str, f: str) -> DataFrame:
     return records.filter(in_minutes(F.col("ts"), s, f))
 
 
-def records_in_slice(lines: DataFrame, s: str, f: str, files: DataFrame | None = None) -> DataFrame:
+def records_in_slice(lines: DataFrame, s: str, f: str, files: Sequence[str] | None = None) -> DataFrame:
     """A10 from lines: only records of the slice are assembled (a record's first line tells its minute).
 
-    ``files`` (file, e.g. from ``log_files_for_date``) are the only ones read, if given: one row a file.
+    Only ``files`` (names, e.g. from ``log_files_for_date``) are read, if given.
     """
     if files is not None:
-        lines = lines.join(files.select("file"), "file", "left_semi")
+        lines = lines.filter(F.col("file").isin(list(files)))
     return assemble_records(lines, in_minutes(line_ts("line"), s, f))
 
 
