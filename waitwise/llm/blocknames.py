@@ -60,7 +60,8 @@ def name_blocks(docs: DataFrame, size: int = BLOCK, key: Callable[[Column], Colu
     # the bytes of the distinct blocks: one row a block and task before the shuffle
     blocks = docs.select(F.explode(blocks_of(text, size)).alias("block")).withColumn("key", key(F.col("block"))).groupBy("key", "block").agg(F.lit(1).alias("one"))
     names = stored(blocks.sortWithinPartitions("key", "block").select("key", F.monotonically_increasing_id().alias("name")), "block-names")
-    classes = names.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name"))
+    # stored, so that the joins below read a plain exchange on both sides: Spark splits hot keys of such joins only
+    classes = stored(names.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name")), "block-classes")
     single, shared = classes.filter("n = 1").select("key", "name"), classes.filter("n > 1").select("key")
     shared = stored(shared, "block-shared")
     # an occurrence keeps its bytes only if its key stands for several blocks
@@ -109,7 +110,7 @@ def duplicate_groups(docs: DataFrame, size: int = BLOCK, key: Callable[[Column],
     """One row per document: row, doc_id, keep_id (largest doc_id among equal texts), group_size, kept (one row
     of each group), text_sha256 (of the normalised text)."""
     named = stored(name_documents(docs, size, key), "block-identities")
-    groups = named.groupBy("rounds", "name").agg(F.max(F.struct("doc_id", "row")).alias("last"), F.count(F.lit(1)).alias("group_size"))
+    groups = stored(named.groupBy("rounds", "name").agg(F.max(F.struct("doc_id", "row")).alias("last"), F.count(F.lit(1)).alias("group_size")), "block-groups")
     return named.join(groups, ["rounds", "name"]).select(
         "row", "doc_id", F.col("last.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("last.row")).alias("kept"), "text_sha256")
 
