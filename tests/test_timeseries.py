@@ -136,3 +136,60 @@ def test_time_filter_pushed_to_scan(spark):
     assert "PushedFilters" in plan and "GreaterThanOrEqual(ts" in plan
     assert "event_type" not in plan.split("ReadSchema")[1].split("\n")[0]   # column pruning
     assert F is not None
+
+
+def _random_series(spark, n=400, seed=1):
+    import random
+    rng = random.Random(seed)
+    at = dt.datetime(2024, 1, 1)
+    rows = []
+    for c in ("a", "b", "c"):
+        t = at
+        for _ in range(n):
+            t += dt.timedelta(minutes=rng.choice([1, 1, 2, 7, 60, 60, 700]))
+            rows.append((c, "m", t, rng.choice([rng.uniform(0, 9), 5.0, None])))
+    return spark.createDataFrame(rows, "cluster string, metric string, ts timestamp_ntz, value double")
+
+
+def test_chunked_median_equals_the_range_form(spark):
+    from pyspark.sql import Window
+    long = _random_series(spark)
+    w = Window.partitionBy("cluster", "metric").orderBy(F.unix_timestamp("ts")).rangeBetween(-180 * 60, 0)
+    exp = sorted(map(tuple, long.withColumn("med", F.percentile("value", 0.5).over(w)).collect()), key=repr)
+    for chunk in (None, 180, 181, 2000):
+        got = T.rolling_median(long, ["cluster", "metric"], 180, chunk_minutes=chunk)
+        assert got.columns == [*long.columns, "med"]
+        assert sorted(map(tuple, got.collect()), key=repr) == exp
+
+
+def test_one_series_is_many_tasks(spark):
+    long = _random_series(spark).filter("cluster = 'a'")
+    got = T.rolling_median(long, ["cluster", "metric"], 180)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    window = [x for x in plan.splitlines() if "Window [" in x]
+    assert window and all("_chunk" in x.split("], [")[-2] for x in window)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        tasks = got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("med"), F.count(F.lit(1)).alias("count")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(tasks) > 3 and max(r["count"] for r in tasks) < 200
+
+
+def test_asof_of_any_tolerance_without_replicas(spark):
+    left = _random_series(spark, 150, 2).select("cluster", "ts", F.col("value").alias("x"))
+    right = _random_series(spark, 60, 3).select("cluster", "ts", "value", F.lit("k").alias("extra"))
+    for minutes in (5, 180, 100_000):
+        df = T.align_series_asof(left, right, ["cluster"], ["value", "extra"], minutes)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "Expand" not in plan
+        got = sorted(((r["cluster"], r["ts"], r["right_ts"], r["extra"]) for r in df.collect()), key=repr)
+        rs = [(r["cluster"], r["ts"]) for r in right.collect()]
+        exp = []
+        for r in left.collect():
+            best = max((t for c, t in rs if c == r["cluster"] and t <= r["ts"]), default=None)
+            if best is not None and best < r["ts"] - dt.timedelta(minutes=minutes):
+                best = None
+            exp.append((r["cluster"], r["ts"], best, "k" if best else None))
+        assert got == sorted(exp, key=repr)

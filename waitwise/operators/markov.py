@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waitwise.operators.timeseries import rolling
+from waitwise.operators.timeseries import in_chunks, without_halo
 from waitwise.sources.bindings import epoch_seconds
 from waitwise.session import cut_lineage
 
@@ -35,14 +35,13 @@ def state_inputs(aligned: DataFrame, os_metric: str = "us", wait_metric: str = "
                  key: Sequence[str] = ("cluster",)) -> DataFrame:
     """M1: rolling r(OS metric, waits), OS trend and wait trend (-1/0/1) per interval."""
     key = list(key)
-    w = rolling(key, minutes)
     x, y = F.col(os_metric).cast("double"), F.col(wait_metric).cast("double")
     t = epoch_seconds("ts") / 60.0
-    base = aligned.withColumn("_t", t)
-    out = base.select(
+    base, w = in_chunks(aligned.withColumn("_t", t), key, minutes)
+    out = without_halo(base.select(
         *key, "ts",
         F.try_divide(F.covar_pop(x, y).over(w), F.sqrt(F.var_pop(x).over(w) * F.var_pop(y).over(w))).alias("r"),
-        F.regr_slope(x, F.col("_t")).over(w).alias("_os"), F.regr_slope(y, F.col("_t")).over(w).alias("_wt"))
+        F.regr_slope(x, F.col("_t")).over(w).alias("_os"), F.regr_slope(y, F.col("_t")).over(w).alias("_wt"), "_chunk", "_halo"))
     return out.select(*key, "ts", F.round("r", 9).alias("r"), _sign(F.col("_os")).alias("os_trend"),
                       _sign(F.col("_wt")).alias("wait_trend"))
 

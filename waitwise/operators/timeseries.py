@@ -3,13 +3,12 @@ interval assignment (SURVEY A4-A7, P1-P7, J3, J4, J9, B1-B7).
 
 Scale notes
 -----------
-* Window operators partition by the series key (cluster, metric, device, queryid):
-  a series holds one row per key and interval, so a partition is bounded by the
-  time span / grain, never by raw event volume.
-* The as-of join (J4) and the interval join (J9) are bucketed: both sides get a
-  time bucket (rows needed from the previous bucket are replicated once), so they
-  become equi-joins/windows on (key, bucket) and no partition holds a key's whole
-  history.
+* Trailing windows (B1-B3, P5, M1) run per series key and *time chunk*: a chunk also gets
+  the rows of the last window length before it (its halo), so one long series is many
+  tasks and no task needs a whole one.
+* The interval join (J9) is bucketed: an equi-join on (key, bucket) and a residual filter.
+* The as-of join (J4) looks inside a (key, bucket) only; what an empty bucket start needs
+  is the last value of earlier buckets, carried over a table of one row per bucket.
 """
 
 from __future__ import annotations
@@ -134,6 +133,34 @@ def rolling(key: Sequence[str], minutes: int, ts: str = "ts") -> Window:
             .rangeBetween(-minutes * 60, 0))
 
 
+#: A time chunk is this many window lengths long, so its halo adds an eighth of its rows.
+CHUNK_WINDOWS = 8
+
+
+def in_chunks(df: DataFrame, key: Sequence[str], minutes: int, ts: str = "ts",
+              chunk_minutes: int | None = None) -> tuple[DataFrame, Window]:
+    """``df`` dealt into time chunks, and the trailing window of ``minutes`` inside them.
+
+    Rows of the last ``minutes`` of a chunk stand in the next one too, marked ``_halo``; after the
+    window is applied, ``without_halo`` leaves each row once, with its whole trailing frame.
+    """
+    span = 60 * (chunk_minutes or CHUNK_WINDOWS * minutes)
+    if span < minutes * 60:
+        raise ValueError("a chunk must not be shorter than the window")
+    e = epoch_seconds(ts)
+    chunk = F.floor(e / span)
+    own = F.struct(chunk.alias("_chunk"), F.lit(False).alias("_halo"))
+    halo = F.struct((chunk + 1).alias("_chunk"), F.lit(True).alias("_halo"))
+    late = e >= (chunk + 1) * span - minutes * 60
+    dealt = df.withColumn("_in", F.explode(F.when(late, F.array(own, halo)).otherwise(F.array(own))))
+    dealt = dealt.select(*df.columns, "_in._chunk", "_in._halo")
+    return dealt, rolling([*key, "_chunk"], minutes, ts)
+
+
+def without_halo(df: DataFrame) -> DataFrame:
+    return df.filter(~F.col("_halo")).drop("_chunk", "_halo")
+
+
 def performance_triplet(series: DataFrame, key: Sequence[str] = ("cluster",), minutes: int = 360,
                         ts: str = "ts") -> DataFrame:
     """P5: per interval speed, waitings and the degradation indicator.
@@ -141,15 +168,14 @@ def performance_triplet(series: DataFrame, key: Sequence[str] = ("cluster",), mi
     Indicator (our definition): over the trailing window, slope(speed) < 0 and
     slope(waits) > 0 and r(speed, waits) < 0. ``r`` is kept for priority bands.
     """
-    w = rolling(key, minutes, ts)
     t = epoch_seconds(ts) / 60.0
     sp, wt = F.col("speed").cast("double"), F.col("waits").cast("double")
-    base = series.withColumn("_t", t)
-    out = base.select(
+    base, w = in_chunks(series.withColumn("_t", t), key, minutes, ts)
+    out = without_halo(base.select(
         *key, ts, "speed", F.col("waits").alias("waitings"),
         F.regr_slope(sp, F.col("_t")).over(w).alias("speed_slope"),
         F.regr_slope(wt, F.col("_t")).over(w).alias("waits_slope"),
-        F.try_divide(F.covar_pop(sp, wt).over(w), F.sqrt(F.var_pop(sp).over(w) * F.var_pop(wt).over(w))).alias("r"))
+        F.try_divide(F.covar_pop(sp, wt).over(w), F.sqrt(F.var_pop(sp).over(w) * F.var_pop(wt).over(w))).alias("r"), "_chunk", "_halo"))
     ind = ((F.round("speed_slope", 9) < 0) & (F.round("waits_slope", 9) > 0) & (F.round("r", 9) < 0))
     return out.withColumn("indicator", F.coalesce(ind, F.lit(False)).cast("int"))
 
@@ -183,40 +209,32 @@ def align_series(longs: Sequence[DataFrame], key: Sequence[str], metrics: Sequen
 
 def align_series_asof(left: DataFrame, right: DataFrame, key: Sequence[str], value_cols: Sequence[str],
                       tolerance_minutes: int, ts: str = "ts", bucket_grain: str = "hour") -> DataFrame:
-    """For each left row, the latest right row with right.ts <= left.ts within the tolerance.
+    """For each left row, the latest right row with right.ts <= left.ts within the tolerance
+    (of right rows with one timestamp, the one with the largest values).
 
-    Bucketed for scale: right rows of the last ``tolerance_minutes`` of a bucket are also
-    replicated into the following bucket, so a (key, bucket) window sees every candidate
-    when tolerance <= one bucket.
+    Inside a (key, bucket) a window finds it; a left row that no right row of its bucket precedes takes
+    the last one of the earlier buckets, carried forward over one row per bucket. Any tolerance will do,
+    and no row is replicated.
     Output: left columns + right_ts + value columns (NULL when none within tolerance).
     """
-    span = {"hour": 60, "day": 1440}[bucket_grain]
-    if tolerance_minutes > span:
-        raise ValueError("tolerance must not exceed the bucket length")
     key = list(key)
     lcols = left.columns
     b = bucket(ts, bucket_grain)
-    step = F.expr(f"INTERVAL 1 {bucket_grain.upper()}")
-    r = right.select(*key, F.col(ts), *value_cols)
-    reaches_next = F.col(ts) >= b + step - F.expr(f"INTERVAL {tolerance_minutes} MINUTES")
-    r2 = r.withColumn("_b", F.explode(F.when(reaches_next, F.array(b, b + step)).otherwise(F.array(b))))
-    r2 = r2.select(*key, "_b", F.col(ts).alias("_rts"), *value_cols, F.lit(0).alias("_side"),
-                   *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in lcols if c not in key])
-    l2 = left.select(*key, b.alias("_b"), F.col(ts).alias("_rts"),
-                     *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in value_cols],
-                     F.lit(1).alias("_side"), *[F.col(c) for c in lcols if c not in key])
-    u = r2.unionByName(l2)
-    w = Window.partitionBy(*key, "_b").orderBy("_rts", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    picked = u.select(
-        "*", F.last(F.when(F.col("_side") == 0, F.col("_rts")), ignorenulls=True).over(w).alias("right_ts"),
-        *[F.last(F.when(F.col("_side") == 0, F.struct(F.col(c).alias("v"))), ignorenulls=True).over(w)
-          .alias(f"_v_{c}") for c in value_cols])
-    ok = (F.col("right_ts").isNotNull()
-          & (F.col("right_ts") >= F.col("_rts") - F.expr(f"INTERVAL {tolerance_minutes} MINUTES")))
-    out = picked.filter(F.col("_side") == 1)
-    return out.select(*[F.col(c) for c in lcols],
-                      F.when(ok, F.col("right_ts")).alias("right_ts"),
-                      *[F.when(ok, F.col(f"_v_{c}.v")).alias(c) for c in value_cols])
+    found = F.struct(F.col(ts).alias("ts"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(value_cols)])
+    r = right.select(*key, b.alias("_b"), F.col(ts).alias("_at"), F.lit(0).alias("_side"), found.alias("_right"))
+    row = F.struct(*[F.col(c) for c in lcols if c not in key])
+    u = r.unionByName(left.select(*key, b.alias("_b"), F.col(ts).alias("_at"), F.lit(1).alias("_side"), row.alias("_left")), allowMissingColumns=True)
+    w = Window.partitionBy(*key, "_b").orderBy("_at", "_side", "_right").rowsBetween(Window.unboundedPreceding, 0)
+    inside = u.withColumn("_in", F.last("_right", ignorenulls=True).over(w)).filter(F.col("_side") == 1)
+    # one row a bucket: the last right row of all buckets before it
+    before = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = u.groupBy(*key, "_b").agg(F.max("_right").alias("_last")).select(
+        *key, "_b", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    out = inside.join(carry, [*key, "_b"], "left").withColumn("_found", F.coalesce("_in", "_carry"))
+    ok = F.col("_found.ts") >= F.col("_at") - F.expr(f"INTERVAL {tolerance_minutes} MINUTES")
+    return out.select(*[F.col(c) if c in key else F.col(f"_left.{c}").alias(c) for c in lcols],
+                      F.when(ok, F.col("_found.ts")).alias("right_ts"),
+                      *[F.when(ok, F.col(f"_found.v{i}")).alias(c) for i, c in enumerate(value_cols)])
 
 
 def samples_in_interval(samples: DataFrame, intervals: DataFrame, s: str = "start_ts", f: str = "finish_ts",
@@ -237,10 +255,11 @@ def samples_in_interval(samples: DataFrame, intervals: DataFrame, s: str = "star
 
 # ---------------------------------------------------------------- B1-B7
 def rolling_median(long: DataFrame, key: Sequence[str], minutes: int = 60, ts: str = "ts",
-                   value: str = "value") -> DataFrame:
-    """Trailing median over a RANGE frame of ``minutes`` per (key, metric)."""
-    w = rolling(list(key), minutes, ts)
-    return long.withColumn("med", F.percentile(F.col(value), 0.5).over(w))
+                   value: str = "value", chunk_minutes: int | None = None) -> DataFrame:
+    """Trailing median over a RANGE frame of ``minutes`` per (key, metric), in time chunks
+    with a halo, so that a long series is spread over many tasks."""
+    dealt, w = in_chunks(long, list(key), minutes, ts, chunk_minutes)
+    return without_halo(dealt.withColumn("med", F.percentile(F.col(value), 0.5).over(w)))
 
 
 def group_medians(df: DataFrame, key: Sequence[str], cols: Sequence[str]) -> DataFrame:
