@@ -80,3 +80,47 @@ def test_adaptive_forgetting(spark):
     drift = spark.createDataFrame([("a", 0.0), ("b", 1.0)], "cluster string, drift double")
     w = {r["cluster"]: r["w"] for r in M.forgetting(tr, alpha=0.1, drift=drift).collect()}
     assert abs(w["a"] - (1 + 0.9)) < 1e-12 and abs(w["b"] - (1 + 0.8)) < 1e-12   # α doubled by drift 1
+
+
+def test_forecast_is_made_from_earlier_days_only(spark):
+    """Rows after t, changed at will, leave the forecast at t as it was."""
+    st, tri = Q._states(spark, SF001).select("cluster", "ts", "state"), Q._triplet(spark, SF001)
+    days = [r["d"] for r in st.select(F.to_date("ts").alias("d")).distinct().orderBy("d").collect()]
+    cut = F.lit(str(days[len(days) // 2]) + " 09:00:00").cast("timestamp_ntz")
+    later = F.col("ts") > cut
+    other_st = st.withColumn("state", F.when(later, (F.col("state") * 7 + 3) % 189).otherwise(F.col("state")))
+    other_tri = tri.withColumn("indicator", F.when(later, 1 - F.col("indicator")).otherwise(F.col("indicator")))
+    fewer = st.filter(~later | (F.hour("ts") % 3 == 0))
+
+    def upto(s, t):
+        return sorted(map(tuple, M.forecasts_as_of(s, t, 6).filter(~later).collect()))
+    base = upto(st, tri)
+    assert base and any(0 < r[3] < 1 for r in base)
+    assert upto(other_st, other_tri) == base and upto(fewer, other_tri) == base
+    changed = M.forecasts_as_of(other_st, other_tri, 6).filter(later).collect()
+    assert sorted(map(tuple, changed)) != sorted(map(tuple, M.forecasts_as_of(st, tri, 6).filter(later).collect()))
+
+
+def test_forecast_by_hand(spark):
+    # day 1: 1 -> 2 twice and 1 -> 3 twice; 3 is an incident state from day 1 on; on day 2 state 1 is met again
+    at = [dt.datetime(2024, 1, 1, h) for h in range(8)] + [dt.datetime(2024, 1, 2, 0), dt.datetime(2024, 1, 2, 1)]
+    seq = [1, 2, 1, 3, 1, 2, 1, 3, 1, 2]
+    st = spark.createDataFrame([("c", t, s) for t, s in zip(at, seq)], "cluster string, ts timestamp_ntz, state int")
+    tri = spark.createDataFrame([("c", t, int(s == 3)) for t, s in zip(at, seq)], "cluster string, ts timestamp_ntz, indicator int")
+    one = {r["ts"]: r["risk"] for r in M.forecasts_as_of(st, tri, 1).collect()}
+    three = {r["ts"]: r["risk"] for r in M.forecasts_as_of(st, tri, 3).collect()}
+    # 1 -> 3 with 1/2; 2 -> 1 always; within three steps from 1: 1/2 + 1/2 * 1 * 1/2; from 2: 1/2 in two steps
+    assert set(one) == set(at[8:]) and one == {at[8]: 0.5, at[9]: 0.0} and three == {at[8]: 0.75, at[9]: 0.5}
+    inc = spark.createDataFrame([("c", dt.datetime(2024, 1, 2, 1))], "cluster string, s timestamp_ntz")
+    until = spark.createDataFrame([("c", at[9])], "cluster string, ts timestamp_ntz")
+    q = M.forecast_quality(M.forecasts_as_of(st, tri, 1), inc, 60, (0.4,), until).collect()
+    # only the forecast of midnight has a known outcome: an incident at 01:00
+    assert [(r["n"], r["tp"], r["predicted"], r["actual"], r["brier"]) for r in q] == [(1, 1, 1, 1, 0.25)]
+
+
+def test_forecast_is_shown_by_its_gate(spark):
+    cur = spark.createDataFrame([("a", 1, dt.datetime(2024, 1, 1)), ("b", 1, dt.datetime(2024, 1, 1)), ("c", 9, dt.datetime(2024, 1, 1))],
+                                "cluster string, state int, ts timestamp_ntz")
+    rel = spark.createDataFrame([("a", 2, False), ("b", 3, True), ("c", 5, True)], "cluster string, score int, show_forecast boolean")
+    risk = spark.createDataFrame([("a", 1, 0.9), ("b", 1, 0.4)], "cluster string, state int, risk double")
+    assert {r["cluster"]: r["risk"] for r in M.gated_forecast(cur, risk, rel, 360).collect()} == {"a": None, "b": 0.4, "c": 0.0}

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waitwise.operators.timeseries import in_chunks, without_halo
-from waitwise.sources.bindings import epoch_seconds
+from waitwise.sources.bindings import bucket, epoch_seconds
 from waitwise.session import cut_lineage
 
 N_STATES = 189
@@ -266,32 +266,84 @@ def health_check(rel: DataFrame, key: Sequence[str] = ("cluster",)) -> DataFrame
     return rel.select(*key, status.alias("status"), msg.alias("message"), failed.alias("description"))
 
 
-def forecast_quality(states: DataFrame, risk: DataFrame, incidents: DataFrame, horizon_minutes: int,
-                     thresholds: Sequence[float], key: Sequence[str] = ("cluster",)) -> DataFrame:
-    """One-step risk of the state at t against "an incident starts in (t, t+h]".
+def counts_as_of(tr: DataFrame, until: DataFrame, key: Sequence[str] = ("cluster",)) -> DataFrame:
+    """Transition counts as they stood at the start of each day: (*key, day, from_state, to_state, n)
+    counts the transitions of earlier days. ``until`` has the last day wanted per key.
 
-    Brier score and precision/recall per threshold. The next incident start is found
-    with a following-rows window over the union of intervals and incident starts.
+    Prefix sums per day; a pair's sum holds until the day of its next change, so the rows are
+    pairs x days, whatever the number of transitions.
+    """
+    key, one = list(key), F.expr("INTERVAL 1 DAY")
+    daily = tr.groupBy(*key, "from_state", "to_state", bucket("ts", "day").alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*key, "from_state", "to_state").orderBy("_d")
+    sums = daily.select(*key, "from_state", "to_state", "_d", F.lead("_d").over(w).alias("_next"),
+                        F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("n"))
+    sums = sums.join(until.select(*key, F.col("day").alias("_last")), key).withColumn("_to", F.coalesce("_next", "_last"))
+    held = sums.filter(F.col("_d") + one <= F.col("_to"))
+    return held.select(*key, F.explode(F.sequence(F.col("_d") + one, F.col("_to"), one)).alias("day"), "from_state", "to_state", "n")
+
+
+def forecasts_as_of(states: DataFrame, triplet: DataFrame, steps: int, key: Sequence[str] = ("cluster",)) -> DataFrame:
+    """The forecast that could be made at each interval: (*key, ts, state, risk), risk = P(absorbed within
+    ``steps``) from its state under the chain and the incident states of earlier days only.
+
+    Intervals of days without an earlier transition have no forecast. A state that the chain has not
+    seen leave has risk 0 (1 if it is an incident state).
+    """
+    key = list(key)
+    by_day = [*key, "day"]
+    st = states.select(*key, "ts", "state", bucket("ts", "day").alias("day"))
+    until = st.groupBy(*key).agg(F.max("day").alias("day"))
+    counts = counts_as_of(transitions(states, key), until, key)
+    on = triplet.filter(F.col("indicator") == 1).select(*key, "ts")
+    first = st.join(on, [*key, "ts"], "left_semi").groupBy(*key, "state").agg(F.min("day").alias("_d"))
+    one = F.expr("INTERVAL 1 DAY")
+    first = first.join(until.select(*key, F.col("day").alias("_last")), key).filter(F.col("_d") + one <= F.col("_last"))
+    absorbing = first.select(*key, F.explode(F.sequence(F.col("_d") + one, F.col("_last"), one)).alias("day"), "state")
+    p = absorbing_matrix(transition_probabilities(counts, key=by_day), absorbing, by_day)
+    # at most 189 x 189 rows a key and day in one group
+    risk = risk_k(p, absorbing, (steps,), by_day).drop("k")
+    model = counts.select(*by_day).distinct()
+    return (st.join(model, by_day, "left_semi").join(risk, [*by_day, "state"], "left")
+              .select(*key, "ts", "state", F.coalesce("risk", F.lit(0.0)).alias("risk")))
+
+
+def forecast_quality(forecasts: DataFrame, incidents: DataFrame, horizon_minutes: int,
+                     thresholds: Sequence[float], known_until: DataFrame, key: Sequence[str] = ("cluster",)) -> DataFrame:
+    """Forecasts made at t against "an incident starts in (t, t+h]" at the same h.
+
+    Brier score and precision/recall per threshold. Forecasts whose outcome is not known yet
+    (t + h after ``known_until``.ts of the key) are not scored. The next incident start is the last
+    one met when going back in time.
     """
     key = list(key)
-    st = states.select(*key, "ts", "state").join(risk, [*key, "state"], "left").withColumn(
-        "risk", F.coalesce("risk", F.lit(0.0)))
-    a = st.select(*key, "ts", "risk", F.lit(None).cast("timestamp_ntz").alias("_s"), F.lit(1).alias("_side"))
+    a = forecasts.select(*key, "ts", "risk", F.lit(None).cast("timestamp_ntz").alias("_s"), F.lit(1).alias("_side"))
     b = incidents.select(*key, F.col("s").alias("ts"), F.lit(None).cast("double").alias("risk"),
                          F.col("s").alias("_s"), F.lit(0).alias("_side"))
-    w = Window.partitionBy(*key).orderBy("ts", "_side").rowsBetween(1, Window.unboundedFollowing)
-    u = a.unionByName(b).withColumn("_next", F.first("_s", ignorenulls=True).over(w))
-    rows = u.filter(F.col("_side") == 1).withColumn(
-        "y", F.coalesce((F.col("_next") <= F.col("ts") + F.expr(f"INTERVAL {horizon_minutes} MINUTES")).cast("int"),
-                        F.lit(0)))
+    w = Window.partitionBy(*key).orderBy(F.desc("ts"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, -1)
+    u = a.unionByName(b).withColumn("_next", F.last("_s", ignorenulls=True).over(w))
+    ends = F.col("ts") + F.expr(f"INTERVAL {horizon_minutes} MINUTES")
+    rows = (u.filter(F.col("_side") == 1).join(known_until.select(*key, F.col("ts").alias("_until")), key)
+             .filter(ends <= F.col("_until"))
+             .withColumn("y", F.coalesce((F.col("_next") <= ends).cast("int"), F.lit(0))))
     th = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
     r = rows.select(*key, "risk", "y", th)
     pred = F.round("risk", 9) >= F.col("threshold")
     agg = r.groupBy(*key, "threshold").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum((pred & (F.col("y") == 1)).cast("int")).alias("tp"),
-        F.sum(pred.cast("int")).alias("predicted"), F.sum("y").alias("actual"),
+        F.sum((pred & (F.col("y") == 1)).cast("bigint")).alias("tp"),
+        F.sum(pred.cast("bigint")).alias("predicted"), F.sum(F.col("y").cast("bigint")).alias("actual"),
         F.avg(F.pow(F.col("risk") - F.col("y"), 2)).alias("brier"))
     return agg.select(*key, "threshold", "n", "tp", "predicted", "actual",
                       F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).alias("precision"),
                       F.when(F.col("actual") > 0, F.col("tp") / F.col("actual")).alias("recall"), "brier")
+
+
+def gated_forecast(cur: DataFrame, risk: DataFrame, rel: DataFrame, horizon_minutes: int,
+                   key: Sequence[str] = ("cluster",)) -> DataFrame:
+    """The forecast for the current state at the configured horizon, shown only when the reliability score
+    allows it: (*key, ts, state, horizon_minutes, score, show_forecast, risk), risk NULL when it is not shown."""
+    key = list(key)
+    j = cur.join(rel.select(*key, "score", "show_forecast"), key).join(risk.select(*key, "state", "risk"), [*key, "state"], "left")
+    return j.select(*key, "ts", "state", F.lit(horizon_minutes).alias("horizon_minutes"), "score", "show_forecast",
+                    F.when(F.col("show_forecast"), F.coalesce("risk", F.lit(0.0))).alias("risk"))

@@ -36,7 +36,7 @@ def _series(spark, sf):
 
 
 def _states(spark, sf, series=None):
-    series = series if series is not None else _series(spark, sf)
+    series = series if series is not None else _aligned(spark, sf)
     return M.state_id(M.state_inputs(series.select("cluster", "ts", "waits", "us"), minutes=STATE_MINUTES))
 
 
@@ -236,28 +236,87 @@ def q_health_check(spark, sf):
     return M.health_check(_rel(spark, sf))
 
 
-@register("forecast_quality", "M15", _m(f"""
+STEPS = HORIZON_MINUTES // 60
+_ASOF_CTES = {
+    "fd": "SELECT DISTINCT cluster, date_trunc('day', ts) AS day FROM st",
+    "ac": """SELECT fd.cluster, fd.day, tr.from_state, tr.to_state, count(*) AS n
+FROM fd JOIN tr ON tr.cluster = fd.cluster AND tr.ts < fd.day GROUP BY ALL""",
+    "ap": "SELECT *, n / sum(n) OVER (PARTITION BY cluster, day, from_state) AS p FROM ac",
+    "aa": """SELECT DISTINCT fd.cluster, fd.day, st.state FROM fd JOIN st ON st.cluster = fd.cluster AND st.ts < fd.day
+JOIN tri ON tri.cluster = st.cluster AND tri.ts = st.ts AND tri.indicator = 1""",
+    "am": """SELECT cluster, day, from_state, to_state, p FROM ap
+WHERE (cluster, day, from_state) NOT IN (SELECT cluster, day, state FROM aa)
+UNION ALL SELECT cluster, day, state, state, CAST(1.0 AS DOUBLE) FROM aa""",
+    "ar": f"""SELECT 0 AS step, cluster, day, state, CAST(1.0 AS DOUBLE) AS risk FROM aa
+UNION ALL
+SELECT ar.step + 1, am.cluster, am.day, am.from_state, sum(am.p * ar.risk)
+FROM am JOIN ar ON am.cluster = ar.cluster AND am.day = ar.day AND am.to_state = ar.state
+WHERE ar.step < {STEPS} GROUP BY ar.step, am.cluster, am.day, am.from_state""",
+    "af": f"""SELECT st.cluster, st.ts, st.state, coalesce(ar.risk, 0.0) AS risk
+FROM st JOIN (SELECT DISTINCT cluster, day FROM ac) m ON m.cluster = st.cluster AND m.day = date_trunc('day', st.ts)
+LEFT JOIN ar ON ar.step = {STEPS} AND ar.cluster = st.cluster AND ar.day = m.day AND ar.state = st.state""",
+}
+
+
+def _masof(select: str) -> str:
+    return with_bindings(select, "cluster_series", "vmstat_series", extra={**_CTES, **_ASOF_CTES}).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("forecasts_as_of", "M15", _masof("SELECT * FROM af"))
+def q_forecasts_as_of(spark, sf):
+    """The 6-hour risk that could be forecast at each hour, from earlier days only."""
+    series = _series(spark, sf)
+    return M.forecasts_as_of(_states(spark, sf, series), _triplet(spark, sf, series), STEPS)
+
+
+@register("forecast_quality", "M15", _masof(f"""
 SELECT cluster, threshold, count(*) AS n,
        CAST(sum(CASE WHEN round(risk, 9) >= threshold AND y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
        CAST(sum(CASE WHEN round(risk, 9) >= threshold THEN 1 ELSE 0 END) AS BIGINT) AS predicted,
        CAST(sum(y) AS BIGINT) AS actual, avg(pow(risk - y, 2)) AS brier,
        CASE WHEN predicted > 0 THEN tp / predicted END AS precision,
        CASE WHEN actual > 0 THEN tp / actual END AS recall
-FROM (SELECT st.cluster, st.ts, coalesce(r1.risk, 0.0) AS risk,
-             CASE WHEN (SELECT min(i.s) FROM incidents i WHERE i.cluster = st.cluster AND i.s > st.ts)
-                       <= st.ts + INTERVAL {HORIZON_MINUTES} MINUTE THEN 1 ELSE 0 END AS y
-      FROM st LEFT JOIN r1 ON st.cluster = r1.cluster AND st.state = r1.state) q
+FROM (SELECT af.cluster, af.ts, af.risk,
+             CASE WHEN EXISTS (SELECT 1 FROM incidents i WHERE i.cluster = af.cluster AND i.s > af.ts
+                               AND i.s <= af.ts + INTERVAL {HORIZON_MINUTES} MINUTE) THEN 1 ELSE 0 END AS y
+      FROM af JOIN (SELECT cluster, max(ts) AS until FROM st GROUP BY 1) e ON e.cluster = af.cluster
+      WHERE af.ts + INTERVAL {HORIZON_MINUTES} MINUTE <= e.until) q
 CROSS JOIN (VALUES {', '.join(f'(CAST({t!r} AS DOUBLE))' for t in THRESHOLDS)}) th(threshold)
 GROUP BY 1, 2"""))
 def q_forecast_quality(spark, sf):
-    """One-step risk against incidents starting within the next 6 hours: Brier, precision, recall."""
+    """Forecasts of the past, each by the chain of the days before it, against incidents starting within
+    the same 6 hours: Brier, precision, recall."""
     series = _series(spark, sf)
-    st = _states(spark, sf, series)
-    tr = M.transitions(st)
-    p = M.transition_probabilities(M.transition_frequencies(tr))
-    tri = _triplet(spark, sf, series)
-    ab = M.absorbing_states(st, tri)
-    pa = M.absorbing_matrix(p, ab)
-    inc = G.incident_intervals(tri)
-    return M.forecast_quality(st, M.risk_1min(pa, ab), inc, HORIZON_MINUTES, THRESHOLDS).withColumn(
-        "tp", F.col("tp").cast("bigint")).withColumn("predicted", F.col("predicted").cast("bigint"))
+    st, tri = _states(spark, sf, series), _triplet(spark, sf, series)
+    until = series.groupBy("cluster").agg(F.max("ts").alias("ts"))
+    return M.forecast_quality(M.forecasts_as_of(st, tri, STEPS), G.incident_intervals(tri), HORIZON_MINUTES, THRESHOLDS, until)
+
+
+_LIVE_CTES = {
+    "lw": f"""SELECT cluster, from_state, to_state,
+       sum(pow({1 - ALPHA!r}, (epoch((SELECT max(ts) FROM tr)) - epoch(ts)) / 86400.0)) AS w FROM tr GROUP BY ALL""",
+    "lp": "SELECT cluster, from_state, to_state, w / sum(w) OVER (PARTITION BY cluster, from_state) AS p FROM lw",
+    "lm": """SELECT cluster, from_state, to_state, p FROM lp WHERE (cluster, from_state) NOT IN (SELECT cluster, state FROM ab)
+UNION ALL SELECT cluster, state, state, CAST(1.0 AS DOUBLE) FROM ab""",
+    "lr": f"""SELECT 0 AS step, cluster, state, CAST(1.0 AS DOUBLE) AS risk FROM ab
+UNION ALL
+SELECT lr.step + 1, lm.cluster, lm.from_state, sum(lm.p * lr.risk)
+FROM lm JOIN lr ON lm.cluster = lr.cluster AND lm.to_state = lr.state
+WHERE lr.step < {STEPS} GROUP BY lr.step, lm.cluster, lm.from_state""",
+}
+
+
+@register("gated_forecast", "M9", with_bindings(f"""
+SELECT c.cluster, c.ts, c.state, {HORIZON_MINUTES} AS horizon_minutes, r.score, r.score >= 3 AS show_forecast,
+       CASE WHEN r.score >= 3 THEN coalesce(lr.risk, 0.0) END AS risk
+FROM (SELECT cluster, arg_max(state, ts) AS state, max(ts) AS ts FROM st GROUP BY 1) c
+JOIN relscore r ON r.cluster = c.cluster
+LEFT JOIN lr ON lr.step = {STEPS} AND lr.cluster = c.cluster AND lr.state = c.state""",
+    "cluster_series", "vmstat_series", extra={**_CTES, **_SUFF_CTES, **_LIVE_CTES}).replace("WITH ", "WITH RECURSIVE ", 1))
+def q_gated_forecast(spark, sf):
+    """The 6-hour risk of the current state by the chain with forgetting, shown from a reliability of 3."""
+    st, tr, p, ab, pa = _chain(spark, sf)
+    live = M.absorbing_matrix(M.transition_probabilities(M.forgetting(tr, ALPHA), "w"), ab)
+    cur = M.current_state(st)
+    rel = M.forecast_reliability(M.training_sufficiency(tr), cur, tr, ab)
+    return M.gated_forecast(cur, M.risk_k(live, ab, (STEPS,)), rel, HORIZON_MINUTES)
