@@ -193,3 +193,70 @@ def test_asof_of_any_tolerance_without_replicas(spark):
                 best = None
             exp.append((r["cluster"], r["ts"], best, "k" if best else None))
         assert got == sorted(exp, key=repr)
+
+
+def _files(path):
+    return {os.path.relpath(os.path.join(d, f), path): os.stat(os.path.join(d, f)).st_mtime_ns
+            for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+
+
+def test_retention_touches_the_old_days_and_the_edge_day_only(spark, tmpdir_path):
+    from waitwise.sources import sinks
+    path = tmpdir_path + "/table"
+    rows = [(dt.datetime(2024, 3, d, h), d * 100 + h) for d in range(1, 11) for h in (0, 6, 12, 18)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, v int")
+    sinks.write_by_day(df, path)
+    before = _files(path)
+    got = sinks.retain_table(spark, path, 4)          # newest is the 10th, 18:00: the edge is the 6th, 18:00
+    after = _files(path)
+    assert got == sinks.Retained(tuple(dt.date(2024, 3, d) for d in range(1, 6)), dt.date(2024, 3, 6))
+    want = sorted(tuple(r) for r in sinks.retain_recent(df, 4).collect())
+    assert sorted((r["ts"], r["v"]) for r in spark.read.parquet(path).collect()) == want
+    later = {f: m for f, m in before.items() if f.split("/")[0] > "day=2024-03-06"}
+    assert later and {f: m for f, m in after.items() if f.split("/")[0] > "day=2024-03-06"} == later
+    assert not any(f < "day=2024-03-06" for f in after)
+    # nothing is left to do; a day written again replaces that day only
+    assert sinks.retain_table(spark, path, 4) == sinks.Retained((), None)
+    assert _files(path) == after
+    sinks.write_by_day(spark.createDataFrame([(dt.datetime(2024, 3, 8, 1), 1)], "ts timestamp_ntz, v int"), path)
+    assert {f: m for f, m in _files(path).items() if "03-08" not in f} == {f: m for f, m in after.items() if "03-08" not in f}
+    assert spark.read.parquet(path).filter("day = DATE'2024-03-08'").count() == 1
+    assert sinks.retain_table(spark, tmpdir_path, 4) == sinks.Retained((), None)
+
+
+def test_report_partitions_are_replaced_alone(spark, tmpdir_path):
+    from waitwise.sources import sinks
+    cols = "device string, v int"
+    sinks.write_report(spark.createDataFrame([("a", 1), ("b", 2)], cols), tmpdir_path, "io", "x", "parquet", ["device"])
+    sinks.write_report(spark.createDataFrame([("b", 3)], cols), tmpdir_path, "io", "x", "parquet", ["device"], only_partitions=True)
+    assert sorted((r["device"], r["v"]) for r in spark.read.parquet(tmpdir_path + "/report=io/interval=x").collect()) == [("a", 1), ("b", 3)]
+
+
+def test_iostat_versions_splits_and_reports_without_time(spark):
+    text = """Linux 6.1
+2024-03-01T10:00:00+0000
+avg-cpu:  %user
+           1.00
+
+Device            r/s     w/s  %util
+sda              1.00    2.00   3.00
+
+2024-03-01T10:01:00+0000
+Device:  %util r/s
+sda   9.00 8.00
+sdb   7.00
+
+avg-cpu:  %user
+           1.00
+Device            r/s
+sdc              5,5""".split("\n")
+    want = [(1, "10:00:00", "sda", {"r/s": 1.0, "w/s": 2.0, "%util": 3.0}), (2, "10:01:00", "sda", {"%util": 9.0, "r/s": 8.0}),
+            (2, "10:01:00", "sdb", {"%util": 7.0}), (3, "10:01:00", "sdc", {"r/s": None})]
+    for k in (1, 2, 3, 5, 100):                       # lines to a split
+        rows = [("f", i // k, (i // k, i), x) for i, x in enumerate(text)]
+        df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), "file string, chunk int, pos struct<c:int,r:int>, line string")
+        got = sorted(((r["block"], str(r["ts"])[11:], r["device"], r["metrics"]) for r in ostext.parse_iostat(df).collect()), key=repr)
+        assert got == want
+    assert {r["device"] for r in ostext.parse_iostat(df, latest_only=True).collect()} == {"sdc"}
+    untimed = spark.createDataFrame([("f", 0, (0, i), x) for i, x in enumerate(text[5:8])], df.schema)
+    assert [(r["block"], r["ts"], r["device"]) for r in ostext.parse_iostat(untimed).collect()] == [(1, None, "sda")]
