@@ -66,12 +66,12 @@ def q_read_vmstat(spark, sf):
 
 
 @register("read_iostat", "A2", with_bindings("""
-SELECT 'iostat-' || strftime(ts, '%Y-%m-%d') || '.log' AS file, block, date_trunc('second', ts) AS ts, 'dev' || CAST(k AS VARCHAR) AS device, metric, value
+SELECT 'iostat-' || strftime(ts, '%Y-%m-%d') || '.log' AS file, block, date_trunc('second', ts) AS ts, 'dev' || CAST(k AS VARCHAR) AS device, metric, m.value AS value
 FROM (SELECT *, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) AS block FROM events) e
 CROSS JOIN range(0, 2) d(k)
 CROSS JOIN LATERAL (VALUES ('r/s', event_id % 500 + k + 0.5::DOUBLE), ('w/s', CAST(user_id % 90 AS DOUBLE)), ('%util', CAST(user_id % 100 AS DOUBLE)),
                    ('rkB/s', CASE WHEN user_id % 2 = 0 THEN CAST(round(value * 100) AS BIGINT) + 0.25::DOUBLE END)) m(metric, value)
-WHERE value IS NOT NULL"""))
+WHERE m.value IS NOT NULL"""))
 def q_read_iostat(spark, sf):
     """Device blocks of iostat reports, columns by the header of each block, numbered within their file."""
     io = ostext.parse_iostat(ostext.iostat_lines(spark, sf))

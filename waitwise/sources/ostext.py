@@ -126,7 +126,7 @@ def vmstat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, e, c = F.col("user_id"), F.col("event_id"), F.col("cents")
     values = [u % 7, u % 3, F.lit(0), e % 50000, u, e % 9999, u % 2, u % 4, F.expr("cents div 100"), c % 100, u * 10, e % 100000,
               u % 60, u % 30, 100 - u % 60 - u % 30, u % 5, F.lit(0)]
-    data = F.concat(F.concat_ws("  ", *[F.lpad(v.cast("string"), 2, " ") for v in values]),
+    data = F.concat(F.concat_ws("  ", *[v.cast("string") for v in values]),
                     F.when(F.dayofmonth("ts") % 2 == 1, F.lit("  0")).otherwise(F.lit("")),
                     F.lit(" "), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), _text(" ", c, ".25 ", u % 100, ".50 ", u % 50, ".00 ", e % 16000, ".75"))
     header = F.when(e % 5 == 0, F.lit("procs -----------memory---------- ---swap-- -----io---- -system-- ------cpu-----"))
