@@ -43,7 +43,8 @@ def contention_correlation(pairs: DataFrame, strong: float = 0.7, weak: float =
 
 def leak_suspects(long: DataFrame, trends: DataFrame, key: Sequence[str] = ("cluster",),
                   min_r2: float = 0.6) -> DataFrame:
-    """Rising trend (slope > 0, R² >= min_r2) whose last value is the running maximum."""
+    """Rising trend (slope > 0, R² >= min_r2) whose last value is the running maximum; for metrics that
+    should fall again (backends, temporary bytes, resident memory, prepared transactions)."""
     key = list(key)
     last = long.groupBy(*key, "metric").agg(F.max_by("value", "ts").alias("last"), F.max("value").alias("peak"))
     j = trends.select(*key, "metric", "slope", "r2").join(last, [*key, "metric"])
@@ -55,16 +56,29 @@ SETTING_NAMES = ["random_page_cost", "is_ssd", "effective_cache_size_mb", "free_
                  "work_mem_mb", "autovacuum_vacuum_scale_factor"]
 
 
-def settings_audit(settings: DataFrame, temp_file_mean_mb: Column | None = None) -> DataFrame:
-    """Per host rule findings (host, rule, value, label) over a fleet's settings snapshot."""
+#: Size from which a table counts as large for the autovacuum rule (MB; ours).
+LARGE_TABLE_MB = 12_000
+
+
+def settings_audit(settings: DataFrame, temp_file_mean_mb: Column | None = None, tables: DataFrame | None = None,
+                   large_mb: int = LARGE_TABLE_MB) -> DataFrame:
+    """Per host rule findings (host, rule, value, label) over a fleet's settings snapshot.
+
+    ``tables`` (host, table_name, size_mb) tells which hosts have a table of ``large_mb`` or more: only there
+    default autovacuum settings are a finding; without it that rule is not applied.
+    """
     w = settings.groupBy("host").pivot("name", SETTING_NAMES).agg(F.first("setting"))
+    largest = F.lit(None).cast("double")
+    if tables is not None:
+        w = w.join(tables.groupBy("host").agg(F.max("size_mb").alias("_largest")), "host", "left")
+        largest = F.col("_largest")
     rules = [
         ("random_page_cost_on_ssd", (F.col("random_page_cost") > 2.0) & (F.col("is_ssd") == 1.0),
          F.col("random_page_cost"), "lower random_page_cost on SSD storage"),
         ("effective_cache_size_low",
          F.col("effective_cache_size_mb") < F.col("free_mb") + F.col("shared_buffers_mb"),
          F.col("effective_cache_size_mb"), "effective_cache_size below free memory + shared_buffers"),
-        ("autovacuum_default_scale", F.col("autovacuum_vacuum_scale_factor") >= 0.2,
+        ("autovacuum_default_scale", (F.col("autovacuum_vacuum_scale_factor") >= 0.2) & (largest >= large_mb),
          F.col("autovacuum_vacuum_scale_factor"), "default autovacuum scale factor on large tables"),
     ]
     if temp_file_mean_mb is not None:

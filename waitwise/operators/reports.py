@@ -18,6 +18,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waitwise.operators import stats
+from waitwise.operators.timeseries import in_chunks, without_halo
+from waitwise.sources.bindings import bucket
+
 
 def top_k_latest(df: DataFrame, k: int = 3, ts: str = "ts", tiebreak: Sequence[str] = ()) -> DataFrame:
     """The k latest rows (TakeOrderedAndProject: a per-partition heap, no full sort)."""
@@ -113,9 +117,33 @@ def buffer_cache(series: DataFrame) -> DataFrame:
     return series.withColumn("hit_ratio", F.when(tot > 0, F.col("blks_hit") / tot))
 
 
-def query_history(stats_by_type: DataFrame) -> DataFrame:
-    """Per query and wait type the interval history (the type loop is a group key)."""
-    return stats_by_type.select("ts", "queryid", "wait_event_type", "calls", "nrows", "waits")
+def buffer_cache_speed(series: DataFrame, speed: DataFrame, key: Sequence[str] = ()) -> DataFrame:
+    """Each block counter and the hit ratio against speed on the same clock: n, r, slope, p, r2 and its band."""
+    key = list(key)
+    both = buffer_cache(series).join(speed.select(*key, "ts", "speed"), [*key, "ts"])
+    pairs = [(m, "speed") for m in ("blks_hit", "blks_read", "blks_dirtied", "blks_written", "hit_ratio")]
+    return stats.metric_analysis_2stage(both, key, pairs)
+
+
+def query_history(samples: DataFrame, wait_types: Sequence[str], grain: str = "hour", minutes: int = 180,
+                  queryids: Sequence[int] | None = None) -> DataFrame:
+    """The history of each query against each wait type that it has met: per interval the calls and rows of
+    the query and its waits of the type (0 in intervals without any), and their trailing medians over ``minutes``.
+
+    ``queryids`` and ``wait_types`` choose what is reported; the loop over types is a group key.
+    """
+    if queryids is not None:
+        samples = samples.filter(F.col("queryid").isin(list(queryids)))
+    per = samples.groupBy(bucket("ts", grain).alias("ts"), "queryid").agg(
+        F.count(F.lit(1)).alias("calls"), F.expr("sum(cents) div 100").alias("nrows"),
+        *[F.count(F.when(F.col("wait_event_type") == t, 1)).alias(t) for t in wait_types])
+    long = per.unpivot(["ts", "queryid", "calls", "nrows"], list(wait_types), "wait_event_type", "waits")
+    met = F.max("waits").over(Window.partitionBy("queryid", "wait_event_type"))   # one row an interval
+    long = long.withColumn("_met", met).filter("_met > 0").drop("_met")
+    dealt, w = in_chunks(long, ["queryid", "wait_event_type"], minutes)
+    for c in ("calls", "nrows", "waits"):
+        dealt = dealt.withColumn(f"med_{c}", F.percentile(F.col(c), 0.5).over(w))
+    return without_halo(dealt)
 
 
 def load_curve(samples_in_pass: DataFrame) -> DataFrame:

@@ -179,11 +179,36 @@ def wait_analysis_3stage(series: DataFrame, key: Sequence[str], wait_types: Sequ
 
 
 def metric_analysis_2stage(series: DataFrame, key: Sequence[str], pairs: Sequence[Pair],
-                           alpha: float = SIGNIFICANCE_ALPHA, min_r2: float = 0.2) -> DataFrame:
-    """Significance → R² for metric pairs; output *key, x, y, n, r, p, r2, r2_band, kept."""
-    s = r2_stage(correlation_significance(pair_stats(series, key, pairs), alpha))
+                           alpha: float = SIGNIFICANCE_ALPHA, min_r2: float = 0.2, means: bool = False) -> DataFrame:
+    """Significance → R² for metric pairs; output *key, x, y, n, r, slope, p, r2, r2_band, kept
+    (+ mean_y with ``means``)."""
+    s = r2_stage(correlation_significance(pair_stats(series, key, pairs, with_sums=means), alpha))
     kept = F.coalesce(F.col("significant") & (F.round("r2", 9) >= min_r2), F.lit(False))
-    return s.withColumn("kept", kept).select(*key, "x", "y", "n", "r", "slope", "p", "r2", "r2_band", "kept")
+    more = [(F.col("sum_y") / F.col("n")).alias("mean_y")] if means else []
+    return s.withColumn("kept", kept).select(*key, "x", "y", "n", "r", "slope", "p", "r2", "r2_band", "kept", *more)
+
+
+def waits_vs_host(series: DataFrame, key: Sequence[str], pairs: Sequence[Pair], memory: Sequence[str],
+                  cpu_cores: int, ram_mb: int) -> DataFrame:
+    """D3: wait type × vmstat pairs; the slope also per CPU core, and for memory columns (MB) the share of
+    RAM that they hold on average."""
+    a = metric_analysis_2stage(series, key, pairs, means=True)
+    share = F.when(F.col("y").isin(list(memory)), F.col("mean_y") / F.lit(float(ram_mb)))
+    return a.withColumn("slope_per_cpu", F.col("slope") / F.lit(float(cpu_cores))).withColumn("ram_share", share).drop("mean_y")
+
+
+#: D4's sections by the metric that is compared with the device: buffers, page cache, speed; all else is vmstat.
+DEVICE_SECTIONS = {"buff": "buffering", "cache": "caching", "speed": "speed"}
+
+
+def host_vs_device(aligned: DataFrame, key: Sequence[str], pairs: Sequence[Pair]) -> DataFrame:
+    """Host metric × device metric pairs in sections, ranked by the priority index over all sections."""
+    a = metric_analysis_2stage(aligned, key, pairs).filter(F.col("r").isNotNull())
+    section = F.lit("vmstat")
+    for metric, name in DEVICE_SECTIONS.items():
+        section = F.when(F.col("x") == metric, name).otherwise(section)
+    crit = {"abs_r": F.abs("r"), "r2": F.col("r2"), "one_minus_p": 1 - F.col("p")}
+    return priority_index_wide(a.withColumn("section", section), key, ["x", "y"], crit)
 
 
 def criteria_weights(dim: DataFrame) -> DataFrame:
@@ -209,8 +234,7 @@ def criteria_normalise(df: DataFrame, group: Sequence[str], item: Sequence[str],
 def priority_index(normalised: DataFrame, weights: DataFrame, group: Sequence[str],
                    item: Sequence[str]) -> DataFrame:
     """CPI = Σ w·z per item, ranked within the group (highest first, item tiebreak)."""
-    # weights is a dimension of a handful of criteria: broadcast is bounded by construction
-    j = normalised.join(F.broadcast(weights), "criterion")
+    j = normalised.join(weights, "criterion")
     cpi = j.groupBy(*group, *item).agg(F.sum(F.col("w") * F.col("z")).alias("cpi"))
     w = Window.partitionBy(*group).orderBy(F.round("cpi", 9).desc(), *item)
     return cpi.withColumn("ord", F.row_number().over(w))
@@ -258,10 +282,10 @@ def sum_artifact_check(samples: DataFrame, key: Sequence[str], value_seconds: Co
 def part_of_whole_flag(pairs: DataFrame, dim: DataFrame) -> DataFrame:
     """Flags pairs where one metric is a component of the other (either order).
 
-    ``dim`` (part, whole) is a fixed dimension of metric names: broadcast, bounded.
+    ``dim`` has (part, whole).
     """
-    d = F.broadcast(dim.select(F.least("part", "whole").alias("_a"), F.greatest("part", "whole").alias("_b"))
-                    .distinct().withColumn("is_part", F.lit(True)))
+    d = (dim.select(F.least("part", "whole").alias("_a"), F.greatest("part", "whole").alias("_b"))
+            .distinct().withColumn("is_part", F.lit(True)))
     p = pairs.withColumn("_a", F.least("x", "y")).withColumn("_b", F.greatest("x", "y"))
     return (p.join(d, ["_a", "_b"], "left").withColumn("is_part", F.coalesce("is_part", F.lit(False)))
              .drop("_a", "_b"))

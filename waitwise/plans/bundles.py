@@ -69,10 +69,8 @@ def interval_reports(t: Telemetry, cpu_cores: int = 8, ram_mb: int = 16384, roll
     vm = B.VMSTAT_METRICS
     cv_pairs = stats.all_pairs(["speed", "waits"], vm)
     wt_pairs = [(f"waits_{w}", m) for w in B.WAIT_TYPES for m in vm]
-    io_al = t.iostat.join(t.series.select("cluster", "ts", *vm), ["cluster", "ts"])
-    io_pairs = [(m, d) for m in vm for d in B.IOSTAT_METRICS]
-    io = stats.metric_analysis_2stage(io_al, ["cluster", "device"], io_pairs).filter(F.col("r").isNotNull())
-    crit = {"abs_r": F.abs("r"), "r2": F.col("r2"), "one_minus_p": 1 - F.col("p")}
+    io_al = t.iostat.join(t.series.select("cluster", "ts", "speed", *vm), ["cluster", "ts"])
+    io_pairs = [(m, d) for m in [*vm, "speed"] for d in B.IOSTAT_METRICS]
     vm_long = T.to_long(t.series, KEY, vm)
     io_long = T.to_long(t.iostat, ["cluster", "device"], B.IOSTAT_METRICS)
     dirty_m = T.minute_median_dirty(t.dirty)
@@ -80,10 +78,9 @@ def interval_reports(t: Telemetry, cpu_cores: int = 8, ram_mb: int = 16384, roll
     return {
         "wait_types": stats.wait_analysis_3stage(t.series, KEY, B.WAIT_TYPES),
         "vmstat_trends": stats.r2_stage(stats.trend_line(t.series, KEY, vm)),
-        "waits_vs_vmstat": stats.metric_analysis_2stage(t.series, KEY, wt_pairs).withColumn(
-            "slope_per_cpu", F.col("slope") / F.lit(float(cpu_cores))),
+        "waits_vs_vmstat": stats.waits_vs_host(t.series, KEY, wt_pairs, B.MEMORY_METRICS, cpu_cores, ram_mb),
         "vmstat_vs_speed": stats.metric_analysis_2stage(t.series, KEY, cv_pairs),
-        "vmstat_vs_iostat": stats.priority_index_wide(io, ["cluster", "device"], ["x", "y"], crit),
+        "vmstat_vs_iostat": stats.host_vs_device(io_al, ["cluster", "device"], io_pairs),
         "cluster_series": t.series.select("cluster", "ts", "speed", "waits",
                                           *[f"waits_{w}" for w in B.WAIT_TYPES]),
         "vmstat_series": R.pivot_series(T.rolling_median(vm_long, ["cluster", "metric"], roll_minutes), KEY, vm),

@@ -36,14 +36,18 @@ FROM (SELECT cluster, date_trunc('{grain}', ts) AS ts, count(DISTINCT queryid) A
 
 def vmstat_series_sql(grain: str) -> str:
     return f"""
-SELECT cluster, ts, r, b, us, sy, greatest(0, 100 - us - sy) AS id, 100 * b // r AS wa, cs, bi, bo
+SELECT cluster, ts, r, b, us, sy, greatest(0, 100 - us - sy) AS id, 100 * b // r AS wa, cs, bi, bo, swpd, free, buff, cache, si, so, intr
 FROM (SELECT cluster, date_trunc('{grain}', ts) AS ts, count(*) AS r,
              count(*) FILTER (WHERE event_type = 'error') AS b,
              least(100, sum(cents) // (100 * count(*))) AS us,
              least(100, 5 * count(*) FILTER (WHERE event_type = 'click')) AS sy,
              100000 * count(DISTINCT queryid) AS cs,
              coalesce(sum(cents) FILTER (WHERE event_type = 'view') // 100, 0) AS bi,
-             coalesce(sum(cents) FILTER (WHERE event_type = 'purchase') // 100, 0) AS bo
+             coalesce(sum(cents) FILTER (WHERE event_type = 'purchase') // 100, 0) AS bo,
+             CAST(sum(queryid) % 4096 AS BIGINT) AS swpd, CAST(16384 - sum(event_id) % 8192 AS BIGINT) AS free,
+             64 + max(cents) % 512 AS buff, CAST(4096 + (sum(cents) // 100) % 4096 AS BIGINT) AS cache,
+             count(*) FILTER (WHERE event_type = 'error') * (1 + max(queryid) % 5) AS si,
+             count(*) FILTER (WHERE event_type IN ('error', 'purchase')) AS so, 100 * count(*) + min(queryid) % 100 AS intr
       FROM wait_samples GROUP BY 1, 2) q"""
 
 
@@ -60,6 +64,21 @@ BINDINGS["cluster_series"] = cluster_series_sql("hour")
 BINDINGS["vmstat_series"] = vmstat_series_sql("hour")
 BINDINGS["iostat_series"] = iostat_series_sql("hour")
 
+BINDINGS["resource_series"] = """
+SELECT cluster, ts, numbackends, CAST(sum(temp) OVER w AS BIGINT) AS temp_bytes, CAST(512 + sum(rss) OVER w AS BIGINT) AS rss_mb, prepared
+FROM (SELECT cluster, date_trunc('hour', ts) AS ts, count(DISTINCT queryid) AS numbackends,
+             coalesce(sum(cents) FILTER (WHERE event_type = 'view'), 0) * 1024 AS temp,
+             count(*) FILTER (WHERE event_type = 'purchase') AS rss, count(*) FILTER (WHERE event_type = 'signup') AS prepared
+      FROM wait_samples GROUP BY 1, 2) q
+WINDOW w AS (PARTITION BY cluster ORDER BY ts ROWS UNBOUNDED PRECEDING)"""
+
+BINDINGS["host_tables"] = f"""
+SELECT l_suppkey AS host, 't' || {_s('l_partkey % 10')} AS table_name, CAST(sum(CAST(l_quantity AS BIGINT)) * 8 AS BIGINT) AS size_mb
+FROM lineitem GROUP BY 1, 2"""
+
+BINDINGS["order_speed"] = """
+SELECT date_trunc('month', o_orderdate) AS ts, count(*) + count(DISTINCT o_custkey) AS speed FROM orders GROUP BY 1"""
+
 BINDINGS["dirty_samples"] = f"""
 SELECT ts, 'pg' || {_s('user_id % 3')} AS cluster, CAST(round(value * 100) AS BIGINT) AS nr_dirty,
        (user_id % 3) * 10 AS dirty_ratio,
@@ -117,6 +136,7 @@ FROM load_passes"""
 # dependencies between bindings (a binding's CTE must come after those it reads)
 DEPENDS = {
     "cluster_series": ["wait_samples"], "vmstat_series": ["wait_samples"], "iostat_series": ["wait_samples"],
+    "resource_series": ["wait_samples"],
     "kernel_params": ["load_passes"],
 }
 

@@ -131,12 +131,12 @@ def q_contention_correlation(spark, sf):
     return G.contention_correlation(c)
 
 
-_TREND_CTE = {"tt": "SELECT *, (epoch(ts) - min(epoch(ts)) OVER (PARTITION BY cluster)) / 60.0 AS t FROM cluster_series"}
+_TREND_CTE = {"tt": "SELECT *, (epoch(ts) - min(epoch(ts)) OVER (PARTITION BY cluster)) / 60.0 AS t FROM resource_series"}
 
 
 def _leak_sql() -> str:
     parts = []
-    for m in B.CLUSTER_METRICS:
+    for m in B.RESOURCE_METRICS:
         parts.append(f"""SELECT cluster, '{m}' AS metric,
   CASE WHEN var_pop(t) > 0 THEN regr_slope({m}, t) END AS slope,
   pow(CASE WHEN var_pop(t) > 0 AND var_pop({m}) > 0 THEN corr(t, {m}) END, 2) AS r2,
@@ -150,14 +150,13 @@ FROM ({_leak_sql()}) l"""
 
 
 def _g3(spark, sf):
-    cs = _cs(spark, sf)
-    return G.leak_suspects(T.to_long(cs, ["cluster"], B.CLUSTER_METRICS), stats.trend_line(cs, ["cluster"],
-                                                                                            B.CLUSTER_METRICS))
+    res = B.resource_series(spark, sf, GRAIN)
+    return G.leak_suspects(T.to_long(res, ["cluster"], B.RESOURCE_METRICS), stats.trend_line(res, ["cluster"], B.RESOURCE_METRICS))
 
 
-@register("leak_suspects", "G3", with_bindings(_G3_SQL, "cluster_series", extra=_TREND_CTE))
+@register("leak_suspects", "G3", with_bindings(_G3_SQL, "resource_series", extra=_TREND_CTE))
 def q_leak_suspects(spark, sf):
-    """Metrics rising steadily without returning (slope > 0, R² >= 0.6, last = peak)."""
+    """Backends, temporary bytes, resident memory and prepared transactions that rise steadily without returning."""
     return _g3(spark, sf)
 
 
@@ -174,6 +173,7 @@ SELECT host, rule, value, label FROM (
   UNION ALL SELECT host, 'autovacuum_default_scale', autovacuum_vacuum_scale_factor,
          'default autovacuum scale factor on large tables'
   FROM sw WHERE autovacuum_vacuum_scale_factor >= 0.2
+    AND EXISTS (SELECT 1 FROM host_tables h WHERE h.host = sw.host AND h.size_mb >= {G.LARGE_TABLE_MB})
   UNION ALL SELECT host, 'work_mem_below_temp_files', work_mem_mb, 'work_mem far below the mean temporary file size'
   FROM sw WHERE work_mem_mb * 4 < {_TEMP_MEAN_SQL}) a"""
 _W_CTE = {"sw": "SELECT host, " + ", ".join(f"max(setting) FILTER (WHERE name = '{n}') AS {n}" for n in G.SETTING_NAMES)
@@ -184,10 +184,10 @@ def _g4(spark, sf):
     tmp = S.log_lines(spark, sf).filter(F.col("line").rlike(L.TEMP_MARK))
     size = F.nullif(F.regexp_extract("line", L.TEMP_SIZE, 2), F.lit("")).cast("bigint")
     mean_mb = tmp.select(F.coalesce(F.sum(size), F.lit(0)) / F.lit(1048576.0) / F.count(F.lit(1))).scalar()
-    return G.settings_audit(B.settings(spark, sf), mean_mb)
+    return G.settings_audit(B.settings(spark, sf), mean_mb, B.host_tables(spark, sf))
 
 
-@register("settings_audit", "G4", with_bindings(_G4_SQL, "settings", "log_lines", extra=_W_CTE))
+@register("settings_audit", "G4", with_bindings(_G4_SQL, "settings", "log_lines", "host_tables", extra=_W_CTE))
 def q_settings_audit(spark, sf):
     """Fleet settings audit: SSD page cost, cache size, autovacuum defaults, work_mem vs temp files."""
     return _g4(spark, sf)
@@ -227,7 +227,7 @@ _F_G4 = f"SELECT 'settings' AS category, 'host ' || CAST(host AS VARCHAR) AS sub
 
 
 @register("risk_union", "B13", with_bindings(f"{_F_G1} UNION ALL {_F_G4}", "vmstat_series", "settings", "log_lines",
-                                             extra=_W_CTE))
+                                             "host_tables", extra=_W_CTE))
 def q_risk_union(spark, sf):
     """Union of CPU-contention and settings findings with category and confidence label."""
     return G.risk_union(_findings_g1(spark, sf), _findings_g4(spark, sf))
@@ -236,7 +236,7 @@ def q_risk_union(spark, sf):
 def _risk_block_sql() -> str:
     waits = (f"SELECT 'waits' AS category, cluster || ':' || wait_event_type AS subject, 'weight ' || weight_band "
              f"AS finding, r2_band AS label FROM ({_D1_SELECT}) d WHERE kept")
-    inner = with_bindings("SELECT 1", "cluster_series", "vmstat_series", "settings", "log_lines",
+    inner = with_bindings("SELECT 1", "cluster_series", "vmstat_series", "resource_series", "settings", "log_lines", "host_tables",
                           extra={**_W_CTE, **_TREND_CTE})
     ctes = inner[len("WITH "):inner.rindex("\nSELECT 1")]
     return (f"WITH {ctes},{_WAIT_LONG_SQL}\n"

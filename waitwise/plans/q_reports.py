@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waitwise.functions.bands import WEIGHT_BANDS
+from waitwise.functions.bands import R2_BANDS, WEIGHT_BANDS, band_sql
+from waitwise.functions.tdist import p_value_duck
 from waitwise.operators import reports as R
 from waitwise.operators import stats
 from waitwise.operators import timeseries as T
@@ -233,6 +234,25 @@ def q_report_buffer_cache(spark, sf):
     return R.buffer_cache(B.buffer_series(spark, sf))
 
 
+_D9_METRICS = ["blks_hit", "blks_read", "blks_dirtied", "blks_written", "hit_ratio"]
+_D9_JOIN = """SELECT b.*, CASE WHEN blks_hit + blks_read > 0 THEN blks_hit / (blks_hit + blks_read) END AS hit_ratio, o.speed
+FROM buffer_series b JOIN order_speed o ON b.ts = o.ts"""
+
+
+def _d9_speed_sql() -> str:
+    parts = [f"""SELECT '{m}' AS x, 'speed' AS y, count(speed + {m}) AS n,
+       CASE WHEN var_pop({m}) > 0 AND var_pop(speed) > 0 THEN corr({m}, speed) END AS r,
+       CASE WHEN var_pop({m}) > 0 THEN regr_slope(speed, {m}) END AS slope FROM bs""" for m in _D9_METRICS]
+    return f"""SELECT *, {band_sql('round(r2, 9)', R2_BANDS)} AS r2_band, coalesce(p < 0.05 AND round(r2, 9) >= 0.2, false) AS kept
+FROM (SELECT *, pow(r, 2) AS r2, {p_value_duck('r', 'n')} AS p FROM ({' UNION ALL '.join(parts)}) a) b"""
+
+
+@register("report_buffer_cache_speed", "D9", with_bindings(_d9_speed_sql(), "buffer_series", "order_speed", extra={"bs": _D9_JOIN}))
+def q_report_buffer_cache_speed(spark, sf):
+    """Block counters and hit ratio per month against the speed of the month."""
+    return R.buffer_cache_speed(B.buffer_series(spark, sf), B.order_speed(spark, sf))
+
+
 @register("report_sql_list", "D13", with_bindings("""
 SELECT d.queryid, d.query FROM (SELECT queryid, arg_max(query, ts) AS query FROM query_texts GROUP BY 1) d
 WHERE d.queryid IN (SELECT queryid FROM wait_samples)""",
@@ -243,22 +263,23 @@ def q_report_sql_list(spark, sf):
     return T.query_text_dim(B.query_texts(spark, sf)).join(seen, "queryid", "left_semi")
 
 
-_D14_SQL = """SELECT date_trunc('hour', ts) AS ts, queryid, wait_event_type, count(*) AS calls,
-       sum(cents) // 100 AS nrows, count(wait_event) AS waits
-FROM wait_samples GROUP BY 1, 2, 3"""
+_D14_SQL = f"""SELECT p.ts, p.queryid, k.wait_event_type, p.calls, p.nrows, coalesce(c.waits, 0) AS waits,
+       quantile_cont(p.calls, 0.5) OVER w AS med_calls, quantile_cont(p.nrows, 0.5) OVER w AS med_nrows,
+       quantile_cont(coalesce(c.waits, 0), 0.5) OVER w AS med_waits
+FROM (SELECT date_trunc('hour', ts) AS ts, queryid, count(*) AS calls, sum(cents) // 100 AS nrows FROM wait_samples GROUP BY 1, 2) p
+JOIN (SELECT DISTINCT queryid, wait_event_type FROM wait_samples) k ON k.queryid = p.queryid
+LEFT JOIN (SELECT date_trunc('hour', ts) AS ts, queryid, wait_event_type, count(*) AS waits FROM wait_samples GROUP BY 1, 2, 3) c
+  ON c.ts = p.ts AND c.queryid = p.queryid AND c.wait_event_type = k.wait_event_type
+WINDOW w AS (PARTITION BY p.queryid, k.wait_event_type ORDER BY p.ts RANGE BETWEEN INTERVAL {ROLL_MINUTES} MINUTE PRECEDING AND CURRENT ROW)"""
 
 
 def _d14(spark, sf):
-    ws = B.wait_samples(spark, sf)
-    per = ws.groupBy(B.bucket("ts", GRAIN).alias("ts"), "queryid", "wait_event_type").agg(
-        F.count(F.lit(1)).alias("calls"), F.expr("sum(cents) div 100").alias("nrows"),
-        F.count("wait_event").alias("waits"))
-    return R.query_history(per)
+    return R.query_history(B.wait_samples(spark, sf), B.WAIT_TYPES, GRAIN, ROLL_MINUTES)
 
 
 @register("report_query_history", "D14", with_bindings(_D14_SQL, "wait_samples"))
 def q_report_query_history(spark, sf):
-    """History of calls / rows / sampled waits per statement and wait type."""
+    """History of calls, rows and waits of each statement against each wait type it met, with rolling medians."""
     return _d14(spark, sf)
 
 

@@ -78,7 +78,7 @@ def q_wait_analysis_3stage(spark, sf):
 # ---------------------------------------------------------------- pair statistics over aligned series
 VM = B.VMSTAT_METRICS
 CL = ["speed", "waits"]
-ALIGNED_SQL = """SELECT c.*, v.r, v.b, v.us, v.sy, v.id, v.wa, v.cs, v.bi, v.bo
+ALIGNED_SQL = f"""SELECT c.*, {", ".join("v." + m for m in VM)}
 FROM cluster_series c JOIN vmstat_series v ON c.cluster = v.cluster AND c.ts = v.ts"""
 
 
@@ -213,25 +213,31 @@ WT_VM_PAIRS = [(f"waits_{t}", m) for t in B.WAIT_TYPES for m in VM]
 CPU_CORES = 8
 
 
+RAM_MB = 16384
+
+
 @register("report_waits_vs_vmstat", "D3", with_bindings(
-    f"SELECT {_C10_SEL}, slope / {CPU_CORES}.0 AS slope_per_cpu FROM (SELECT *, {p_value_duck('r', 'n')} AS p "
-    f"FROM ({_pairs_sql('aligned', 'cluster', WT_VM_PAIRS)}) a) b",
+    f"SELECT {_C10_SEL}, slope / {CPU_CORES}.0 AS slope_per_cpu, m.mean / {RAM_MB}.0 AS ram_share "
+    f"FROM (SELECT *, {p_value_duck('r', 'n')} AS p FROM ({_pairs_sql('aligned', 'cluster', WT_VM_PAIRS)}) a) b "
+    f"LEFT JOIN (SELECT cluster AS c, metric, avg(value) AS mean FROM (SELECT cluster, {', '.join(B.MEMORY_METRICS)} FROM aligned) "
+    f"UNPIVOT (value FOR metric IN ({', '.join(B.MEMORY_METRICS)})) GROUP BY 1, 2) m ON m.c = b.cluster AND m.metric = b.y",
     "cluster_series", "vmstat_series", extra={"aligned": ALIGNED_SQL}))
 def q_report_waits_vs_vmstat(spark, sf):
-    """Wait type × vmstat metric analysis, slope also per CPU core."""
-    out = stats.metric_analysis_2stage(_aligned(spark, sf), KEY, WT_VM_PAIRS)
-    return out.withColumn("slope_per_cpu", F.col("slope") / F.lit(float(CPU_CORES)))
+    """Wait type × vmstat metric analysis, slope also per CPU core, memory columns also as a share of RAM."""
+    return stats.waits_vs_host(_aligned(spark, sf), KEY, WT_VM_PAIRS, B.MEMORY_METRICS, CPU_CORES, RAM_MB)
 
 
-IO_PAIRS = [(m, d) for m in B.VMSTAT_METRICS for d in B.IOSTAT_METRICS]
-IOALIGNED_SQL = f"""SELECT i.cluster, i.device, i.ts, i.r_s, i.w_s, i.await_ms, i.util,
+IO_PAIRS = [(m, d) for m in [*B.VMSTAT_METRICS, "speed"] for d in B.IOSTAT_METRICS]
+IOALIGNED_SQL = f"""SELECT i.cluster, i.device, i.ts, i.r_s, i.w_s, i.await_ms, i.util, c.speed,
        {", ".join("v." + m for m in B.VMSTAT_METRICS)}
-FROM iostat_series i JOIN vmstat_series v ON i.cluster = v.cluster AND i.ts = v.ts"""
+FROM iostat_series i JOIN vmstat_series v ON i.cluster = v.cluster AND i.ts = v.ts
+JOIN cluster_series c ON i.cluster = c.cluster AND i.ts = c.ts"""
 _CRIT_SQL = "abs(r) AS abs_r, r2, 1 - p AS one_minus_p"
 
 
 def _io_aligned(spark, sf):
-    return B.iostat_series(spark, sf, GRAIN).join(B.vmstat_series(spark, sf, GRAIN), ["cluster", "ts"])
+    host = _aligned(spark, sf).select("cluster", "ts", "speed", *B.VMSTAT_METRICS)
+    return B.iostat_series(spark, sf, GRAIN).join(host, ["cluster", "ts"])
 
 
 def _io_pairs_sql() -> str:
@@ -258,7 +264,7 @@ WINDOW g AS (PARTITION BY cluster, device, criterion)"""
 
 
 @register("criteria_normalise", "C12", with_bindings(
-    f"SELECT * FROM ({_NORM_SQL}) n", "iostat_series", "vmstat_series", extra={"ioaligned": IOALIGNED_SQL}))
+    f"SELECT * FROM ({_NORM_SQL}) n", "iostat_series", "vmstat_series", "cluster_series", extra={"ioaligned": IOALIGNED_SQL}))
 def q_criteria_normalise(spark, sf):
     """Min-max scaled criteria (|r|, R², 1-p) of each vmstat × device pair."""
     return stats.criteria_normalise(_crit_df(_io_analysis(spark, sf)), ["cluster", "device"], ["x", "y"],
@@ -277,7 +283,7 @@ FROM (SELECT cluster, device, x, y, sum(z / 3.0) AS cpi FROM ({_NORM_SQL}) n GRO
 
 
 @register("priority_index", "C13", with_bindings(
-    _CPI_SQL, "iostat_series", "vmstat_series", extra={"ioaligned": IOALIGNED_SQL}))
+    _CPI_SQL, "iostat_series", "vmstat_series", "cluster_series", extra={"ioaligned": IOALIGNED_SQL}))
 def q_priority_index(spark, sf):
     """Correlation priority index of each vmstat × device pair, ranked per device."""
     norm = stats.criteria_normalise(_crit_df(_io_analysis(spark, sf)), ["cluster", "device"], ["x", "y"],
@@ -288,15 +294,15 @@ def q_priority_index(spark, sf):
 
 @register("report_vmstat_vs_iostat", "D4", with_bindings(f"""
 SELECT q.cluster, q.device, q.x, q.y, q.n, q.r, q.slope, q.p, q.r2,
+       CASE q.x WHEN 'buff' THEN 'buffering' WHEN 'cache' THEN 'caching' WHEN 'speed' THEN 'speed' ELSE 'vmstat' END AS section,
        {band_sql('round(q.r2, 9)', R2_BANDS)} AS r2_band, coalesce(q.p < 0.05 AND round(q.r2, 9) >= 0.2, false) AS kept,
        c.cpi, c.ord
 FROM ({_io_pairs_sql()}) q JOIN ({_CPI_SQL}) c USING (cluster, device, x, y)""",
-    "iostat_series", "vmstat_series", extra={"ioaligned": IOALIGNED_SQL}))
+    "iostat_series", "vmstat_series", "cluster_series", extra={"ioaligned": IOALIGNED_SQL}))
 def q_report_vmstat_vs_iostat(spark, sf):
-    """vmstat × device metric analysis for all devices in one job, with the CPI ranking."""
-    a = _io_analysis(spark, sf)
-    crit = {"abs_r": F.abs("r"), "r2": F.col("r2"), "one_minus_p": 1 - F.col("p")}
-    return stats.priority_index_wide(a, ["cluster", "device"], ["x", "y"], crit)
+    """Host metric × device metric analysis for all devices in one job, in sections (vmstat, buffering, caching,
+    speed), with the CPI ranking."""
+    return stats.host_vs_device(_io_aligned(spark, sf), ["cluster", "device"], IO_PAIRS)
 
 
 @register("criteria_weights", "C11", with_bindings("""
@@ -320,16 +326,14 @@ def q_sum_artifact_check(spark, sf):
     return stats.sum_artifact_check(B.wait_samples(spark, sf), KEY, F.col("cents") / F.lit(100.0), 60)
 
 
-PART_WHOLE = [("calls", "speed"), ("nrows", "speed"), ("waits_IO", "waits"), ("waits_IPC", "waits"),
-              ("waits_Lock", "waits"), ("waits_LWLock", "waits"), ("waits_Timeout", "waits")]
+PART_WHOLE = [("calls", "speed"), ("nrows", "speed"), *[(f"waits_{t}", "waits") for t in B.WAIT_TYPES]]
 PW_METRICS = ["calls", "nrows", "speed", "waits", *[f"waits_{t}" for t in B.WAIT_TYPES]]
 PW_PAIRS = stats.all_pairs(PW_METRICS)
 
 
 @register("part_of_whole_flag", "C15", with_bindings(f"""
 SELECT ps.cluster, ps.x, ps.y, ps.r, ps.n,
-       EXISTS (SELECT 1 FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in PART_WHOLE)}) d(part, whole)
-               WHERE (d.part = ps.x AND d.whole = ps.y) OR (d.part = ps.y AND d.whole = ps.x)) AS is_part
+       (x IN ('calls', 'nrows') AND y = 'speed') OR (x = 'waits' AND starts_with(y, 'waits_')) OR (y = 'waits' AND starts_with(x, 'waits_')) AS is_part
 FROM ({_pairs_sql('cluster_series', 'cluster', PW_PAIRS)}) ps""", "cluster_series"))
 def q_part_of_whole_flag(spark, sf):
     """Cluster-metric correlations with pairs where one metric is part of the other flagged."""

@@ -12,13 +12,16 @@ that both engines add them exactly.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the fixtures (the wait types are the reference's seven classes).
 WAIT_TYPES = ["BufferPin", "Extension", "IO", "IPC", "Lock", "LWLock", "Timeout"]
 EVENT_TO_WAIT = [("click", "IO"), ("view", "LWLock"), ("purchase", "Lock"), ("signup", "IPC")]
-VMSTAT_METRICS = ["r", "b", "us", "sy", "id", "wa", "cs", "bi", "bo"]
+#: vmstat columns; memory in MB, ``intr`` is vmstat's column ``in`` (interrupts a second).
+MEMORY_METRICS = ["swpd", "free", "buff", "cache"]
+VMSTAT_METRICS = ["r", "b", *MEMORY_METRICS, "si", "so", "bi", "bo", "intr", "cs", "us", "sy", "id", "wa"]
+RESOURCE_METRICS = ["numbackends", "temp_bytes", "rss_mb", "prepared"]
 IOSTAT_METRICS = ["r_s", "w_s", "await_ms", "util"]
 CLUSTER_METRICS = ["calls", "nrows", "speed", "waits"]
 
@@ -89,6 +92,14 @@ def cluster_series(spark: SparkSession, sf_dir: str, grain: str = "hour") -> Dat
     return agg.withColumn("speed", F.col("calls") + F.col("nrows"))
 
 
+def _memory_aggs() -> list[Column]:
+    """Memory, swap and interrupt columns of a vmstat interval."""
+    return [F.expr(e).alias(c) for c, e in (
+        ("swpd", "sum(queryid) % 4096"), ("free", "16384 - sum(event_id) % 8192"), ("buff", "64 + max(cents) % 512"),
+        ("cache", "4096 + (sum(cents) div 100) % 4096"), ("si", "count(CASE WHEN event_type = 'error' THEN 1 END) * (1 + max(queryid) % 5)"),
+        ("so", "count(CASE WHEN event_type IN ('error', 'purchase') THEN 1 END)"), ("intr", "100 * count(1) + min(queryid) % 100"))]
+
+
 def vmstat_series(spark: SparkSession, sf_dir: str, grain: str = "hour") -> DataFrame:
     """Per (cluster, interval) vmstat-like integer columns."""
     ws = wait_samples(spark, sf_dir)
@@ -101,12 +112,13 @@ def vmstat_series(spark: SparkSession, sf_dir: str, grain: str = "hour") -> Data
         (F.countDistinct("queryid") * 100000).alias("cs"),
         F.expr("coalesce(sum(CASE WHEN event_type = 'view' THEN cents END) div 100, 0)").alias("bi"),
         F.expr("coalesce(sum(CASE WHEN event_type = 'purchase' THEN cents END) div 100, 0)").alias("bo"),
+        *_memory_aggs(),
     )
     return agg.select(
         "cluster", "ts", "r", "b", "us", "sy",
         F.greatest(F.lit(0).cast("bigint"), 100 - F.col("us") - F.col("sy")).alias("id"),
         F.expr("100 * b div r").alias("wa"),
-        "cs", "bi", "bo",
+        "cs", "bi", "bo", *MEMORY_METRICS, "si", "so", "intr",
     )
 
 
@@ -133,6 +145,7 @@ def aligned_from_samples(ws: DataFrame, grain: str = "hour") -> DataFrame:
         F.expr("least(100, 5 * count(CASE WHEN event_type = 'click' THEN 1 END))").alias("sy"),
         F.expr("coalesce(sum(CASE WHEN event_type = 'view' THEN cents END) div 100, 0)").alias("bi"),
         F.expr("coalesce(sum(CASE WHEN event_type = 'purchase' THEN cents END) div 100, 0)").alias("bo"),
+        *_memory_aggs(),
     )
     return agg.select(
         "cluster", "ts", "calls", "nrows", "waits", *[f"waits_{t}" for t in WAIT_TYPES],
@@ -140,7 +153,7 @@ def aligned_from_samples(ws: DataFrame, grain: str = "hour") -> DataFrame:
         F.col("waits").alias("r"), "b", "us", "sy",
         F.greatest(F.lit(0).cast("bigint"), 100 - F.col("us") - F.col("sy")).alias("id"),
         F.expr("100 * b div waits").alias("wa"),
-        (F.col("calls") * 100000).alias("cs"), "bi", "bo")
+        (F.col("calls") * 100000).alias("cs"), "bi", "bo", *MEMORY_METRICS, "si", "so", "intr")
 
 
 def iostat_series(spark: SparkSession, sf_dir: str, grain: str = "hour") -> DataFrame:
@@ -160,6 +173,32 @@ def iostat_from_samples(ws: DataFrame, grain: str = "hour") -> DataFrame:
     )
 
 
+def resource_series(spark: SparkSession, sf_dir: str, grain: str = "hour") -> DataFrame:
+    """Per (cluster, interval) what can leak: backends, temporary bytes so far, resident memory, prepared transactions."""
+    per = wait_samples(spark, sf_dir).groupBy("cluster", bucket("ts", grain).alias("ts")).agg(
+        F.countDistinct("queryid").alias("numbackends"),
+        F.expr("coalesce(sum(CASE WHEN event_type = 'view' THEN cents END), 0) * 1024").alias("_temp"),
+        F.count(F.when(F.col("event_type") == "purchase", 1)).alias("_rss"),
+        F.count(F.when(F.col("event_type") == "signup", 1)).alias("prepared"))
+    so_far = Window.partitionBy("cluster").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)   # one row an interval
+    return per.select("cluster", "ts", "numbackends", F.sum("_temp").over(so_far).alias("temp_bytes"),
+                      (F.lit(512) + F.sum("_rss").over(so_far)).alias("rss_mb"), "prepared")
+
+
+def host_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of each host with their size: (host, table_name, size_mb)."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.groupBy(F.col("l_suppkey").alias("host"), _tag("t", F.col("l_partkey") % 10).alias("table_name")).agg(
+        (F.sum(F.col("l_quantity").cast("bigint")) * 8).alias("size_mb"))
+
+
+def order_speed(spark: SparkSession, sf_dir: str, grain: str = "month") -> DataFrame:
+    """Speed on the clock of ``buffer_series``: (ts, calls, nrows, speed) of the orders of each month."""
+    o = table(spark, sf_dir, "orders")
+    per = o.groupBy(bucket("o_orderdate", grain).alias("ts")).agg(F.count(F.lit(1)).alias("calls"), F.countDistinct("o_custkey").alias("nrows"))
+    return per.withColumn("speed", F.col("calls") + F.col("nrows"))
+
+
 def dirty_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-second dirty-page inputs per event (kernel counters and settings)."""
     ev = table(spark, sf_dir, "events")
