@@ -3,6 +3,7 @@ hashes, and a fixed-size Bloom filter that keeps joins on documents from moving
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -33,7 +34,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def free(*frames: DataFrame) -> None:
+    """Delete the files of ``stored`` frames that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_stored_at", None)
+        if path is not None:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let shuffle files and checkpoints of finished steps go: Spark removes them once the driver's garbage is
+    collected, which a driver with little to do may put off for the whole of a long operator."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def ascii_lower(c: Column) -> Column:
@@ -98,6 +117,53 @@ class SubstringHash:
         return mix((self._s[end] - self._s[start]) * self._q[start])
 
 
+_P31 = np.uint64(2**31 - 1)
+_LANES = [(int(_RNG.integers(2**20, 2**31 - 2)), _RNG.integers(1, 2**31 - 1, 256, dtype=np.uint64)) for _ in range(2)]
+_PRIME_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _fold31(x: np.ndarray) -> np.ndarray:
+    """Congruent modulo 2**31 - 1, and smaller: below 2**32 for anything below 2**62."""
+    return (x & _P31) + (x >> np.uint64(31))
+
+
+def _modular_powers(base: int, size: int) -> np.ndarray:
+    out = np.ones(size, np.uint64)
+    done = 1
+    while done < size:
+        k = min(done, size - done)
+        out[done:done + k] = _fold31(_fold31(out[:k] * np.uint64(pow(base, done, int(_P31)))))
+        done += k
+    return out
+
+
+def _prime_powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    if not _PRIME_POWERS or len(_PRIME_POWERS[0][0]) < n:
+        size = max(n, BLOCK_BYTES + 4096)
+        _PRIME_POWERS[:] = [(_modular_powers(b, size), _modular_powers(pow(b, -1, int(_P31)), size)) for b, _ in _LANES]
+    return _PRIME_POWERS
+
+
+class PrimeHash:
+    """Hashes of any substrings of a byte block, from one pass of prefix sums.
+
+    Two independent polynomials modulo the prime 2**31 - 1: modulo a power of two, some long strings of two
+    letters collide for every base. Texts of less than 4 GB.
+    """
+
+    def __init__(self, buf: np.ndarray):
+        self._lanes = []
+        for (power, inverse), (_, symbol) in zip(_prime_powers(len(buf) + 1), _LANES):
+            sums = np.zeros(len(buf) + 1, np.uint64)
+            np.cumsum(_fold31(symbol[buf] * power[:len(buf)]), out=sums[1:])
+            self._lanes.append((sums, inverse))
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        a, b = (_fold31(_fold31(_fold31(_fold31(_fold31(s[end] - s[start])) * inverse[start]))) for s, inverse in self._lanes)
+        a, b = (np.where(x >= _P31, x - _P31, x) for x in (a, b))
+        return mix((a << np.uint64(31)) | b)
+
+
 # --------------------------------------------------------------------------- bounded Bloom filter
 
 BLOOM_BITS = 1 << 22

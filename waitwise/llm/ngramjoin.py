@@ -5,8 +5,8 @@ share at least k of the first ``n - ceil(0.8 n) + k`` of each, so each node send
 a node that shares fewer of them with others than its smallest possible partner's k has no partner and leaves.
 The rest is compared in two steps, exact as a whole:
 
-* every node of a shingle with the shingle's ``STARS`` smallest nodes (stars: a group of g copies makes
-  STARS * g pairs, and a shingle of few nodes is done with);
+* every node of a shingle with the smallest node of each of ``STARS`` hash classes of the shingle's nodes (stars: a
+  group of g copies makes STARS * g pairs, and a shingle of few nodes is done with);
 * the others of a shingle, where they lie in different components, in tiles of nodes of neighbouring size
   bands, split into blocks of bounded size.
 
@@ -32,13 +32,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from waitwise.llm.common import SubstringHash, maybe_in, mix, stored, text_blocks, union_all, without_ids
+from waitwise.llm.common import PrimeHash, free, maybe_in, mix, release, stored, text_blocks
 
 WORDS, PERCENT = 5, 80
 #: A shingle in more than 1 / FREQUENT of the documents is ordered last (at most FREQUENT * mean set size of them).
 FREQUENT = 400
-#: Smallest nodes of each shingle that all its nodes are compared with first.
+#: Nodes of each shingle that all its nodes are compared with first.
 STARS = 4
 #: Nodes of one tile block; a hot tile is split into pairs of blocks.
 BLOCK_NODES = 512
@@ -68,7 +69,7 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, words: int = WORDS) -> list[
     out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(count)
     if not len(stop):
         return out
-    hashed = SubstringHash(kept)
+    hashed = PrimeHash(kept)
     n = len(stop)
     whole = hashed(begin[:max(0, n - words + 1)], stop[words - 1:]) if n >= words else np.zeros(0, np.uint64)
     short = np.flatnonzero((count > 0) & (count < words))
@@ -133,6 +134,11 @@ def _node(h: np.ndarray) -> int:
     return int(mix(h ^ np.uint64(0xA5A5)).sum(dtype=np.uint64).view(np.int64))
 
 
+def _check(h: np.ndarray) -> int:
+    """A second hash of a set."""
+    return int(mix(h ^ np.uint64(0x5A5A5A)).sum(dtype=np.uint64).view(np.int64))
+
+
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
     for i, _, buf, offs in text_blocks(batch.column("text")):
         yield i, shingle_sets(buf, offs)
@@ -178,7 +184,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                             x.append(None)
                         continue
                     node.append(_node(h))
-                    check.append(int(mix(h ^ np.uint64(0x5A5A5A)).sum(dtype=np.uint64).view(np.int64)))
+                    check.append(_check(h))
                     size = min(len(h), len(h) - need(len(h)) + prefix_extra(len(h)))
                     if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
@@ -331,7 +337,8 @@ def _block_links(docs: DataFrame, members: DataFrame, block: int) -> DataFrame:
     blocks = F.ceil(F.col("total") / F.lit(float(block))).cast("int")
     sizes = members.groupBy("label").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     placed = (members.join(sizes, "label").withColumn("s", blocks).withColumn("k", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
-              .select("node", "label", "min_doc", "copies", "s", "k")).checkpoint()
+              .select("node", "label", "min_doc", "copies", "s", "k"))
+    placed = stored(placed, "ngram-placed")
     some = docs.select("doc_id", "text").filter(maybe_in(placed, "min_doc", F.col("doc_id")) | F.col("doc_id").isNull())
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,7 +412,8 @@ def _count_block(held: list[tuple[int, int, int, np.ndarray]], same: bool) -> tu
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node each linked node reaches. Alternating large and small stars: each round is
     an aggregation and a join on a node, and the number of links never grows beyond the input's."""
-    edges = links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+    spark = links.sparkSession
+    edges = stored(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star-edges")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -415,11 +423,16 @@ def components(links: DataFrame) -> DataFrame:
         star = large.join(low, "b")
         small = (star.select(F.col("m").alias("a"), F.col("a").alias("b"))
                  .unionByName(star.select(F.col("m").alias("a"), "b")).filter("a <> b").distinct())
-        edges = small.checkpoint()
+        last, edges = edges, stored(small, "star-edges")
+        free(last)
+        del both, low, large, star, small, last
+        release(spark)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(
-                edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
+            out = stored(edges.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(
+                edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()), "star-labels")
+            free(edges)
+            return out
         before = now
 
 
@@ -429,48 +442,83 @@ def _with_enough_shared(shared: DataFrame, info: DataFrame, rounds: int = 2) ->
     smallest = F.ceil(F.col("n") * PERCENT / F.lit(100.0)).cast("long")       # size of the smallest partner
     least = F.lit(1) + F.floor(smallest / 25)
     for _ in range(rounds):
-        nodes = shared.groupBy("node").agg(F.count(F.lit(1)).alias("c")).join(info.select("node", "n"), "node").filter(F.col("c") >= least)
-        shared = shared.join(nodes.select("node"), "node", "left_semi")
-        tokens = shared.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
-        shared = shared.join(tokens.select("token"), "token", "left_semi").checkpoint()
+        nodes = stored(shared.groupBy("node").agg(F.count(F.lit(1)).alias("c")).join(info.select("node", "n"), "node")
+                       .filter(F.col("c") >= least).select("node"), "ngram-nodes")
+        some = shared.join(nodes, "node", "left_semi")
+        tokens = stored(some.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token"), "ngram-tokens")
+        last, shared = shared, stored(some.join(tokens, "token", "left_semi"), "ngram-shared")
+        free(last, nodes, tokens)
+        del last, nodes, some, tokens
+        release(shared.sparkSession)
     return shared
 
 
+def _hubs(shared: DataFrame) -> DataFrame:
+    """(token, hubs): the smallest node of each hash class of a shingle's nodes, by one aggregation of ``STARS`` values."""
+    kind = F.pmod(F.xxhash64("node"), F.lit(STARS))
+    low = [F.min(F.when(kind == c, F.col("node"))).alias(f"h{c}") for c in range(STARS)]
+    return stored(shared.groupBy("token").agg(*low).select("token", F.array_compact(F.array(*[f"h{c}" for c in range(STARS)])).alias("hubs")), "ngram-hubs")
+
+
 def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (see ``sketch``), classes (node, check, min_doc, n, copies) and (node, label) of the linked nodes."""
+    """Rows (see ``sketch``), classes (node, check, min_doc, n, copies) and (node, label) of the linked nodes.
+
+    Every step is stored in the shared folder and freed after its last reader.
+    """
+    spark = docs.sparkSession
     rows = stored(sketch(docs), "ngram-sketch")
     classes = stored(rows.filter("n > 0").groupBy("node", "check").agg(
         F.min("doc_id").alias("min_doc"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")), "ngram-classes")
     sent = rows.select("node", F.explode("prefix").alias("token"))
-    several = sent.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token")
+    several = stored(sent.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token"), "ngram-several")
     shared = stored(sent.join(several, "token").select("token", "node").distinct(), "ngram-shared")
+    free(several)
+    del sent, several
     shared = _with_enough_shared(shared, classes)
 
     # bitmaps of the nodes that are left
     left = shared.select("node").distinct()
     bits = rows.select("node", "bits").filter(maybe_in(left, "node", F.col("node"))).groupBy("node").agg(F.first("bits").alias("bits"))
-    nodes = classes.join(left, "node", "left_semi").join(bits, "node").checkpoint()
-
-    pairs, others = [], shared
-    for _ in range(STARS):
-        hubs = others.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("hi")).filter("hub < hi").select("token", "hub")
-        star = others.join(hubs, "token").filter("node <> hub").checkpoint()
-        pairs.append(star.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-        others = star.select("token", "node")
-    first = union_all(pairs).distinct()
-    links = _linked(_may_link(first, nodes).checkpoint(), docs, nodes).checkpoint()
-    label = components(links).checkpoint()
+    nodes = stored(classes.join(left, "node", "left_semi").join(bits, "node"), "ngram-bits")
+    del left, bits
+
+    # both sides of the join are stored, so the rows of a common shingle can be split
+    hubs = _hubs(shared)
+    star = shared.join(hubs, "token")
+    first = stored(star.select("node", F.explode("hubs").alias("hub")).filter("node <> hub")
+                   .select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), "ngram-stars")
+    others = stored(star.filter(~F.array_contains("hubs", F.col("node"))).select("token", "node"), "ngram-others")
+    free(shared, hubs)
+    del shared, hubs, star
+    release(spark)
+    close = stored(_may_link(first, nodes), "ngram-close")
+    links = stored(_linked(close, docs, nodes), "ngram-links")
+    free(first, close)
+    del first, close
+    label = components(links)
+    free(links)
+    del links
+    release(spark)
 
     # nodes not compared yet share enough shingles among those that are left, across components
     named = others.join(label, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
-    mixed = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
-    apart = _with_enough_shared(named.join(mixed, "token", "left_semi").select("token", "node"), nodes)
+    mixed = stored(named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token"), "ngram-mixed")
+    apart = stored(others.join(mixed, "token", "left_semi").select("token", "node"), "ngram-apart")
+    free(others, mixed)
+    del others, named, mixed
+    apart = _with_enough_shared(apart, nodes)
     low = apart.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("token")), 1, LOWEST).alias("low"))
     members = apart.join(nodes.select("node", "n", "bits").join(low, "node"), "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rest = _tile_pairs(members).checkpoint()
+    rest = stored(_tile_pairs(members), "ngram-rest")
+    free(apart)
+    del apart, low, members
     if not rest.isEmpty():
         more = _linked(rest, docs, nodes)
-        label = components(label.filter("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(more)).checkpoint()
+        last, label = label, components(label.filter("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(more))
+        free(last)
+    free(rest, nodes)
+    del rest, nodes
+    release(spark)
     return rows, classes, label
 
 
@@ -499,8 +547,41 @@ def count_links(docs: DataFrame, block: int = BLOCK_SHINGLES) -> DataFrame:
             .select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
 
 
+def _with_sets(docs: DataFrame) -> DataFrame:
+    """``docs`` with __node and __check of their sets (null without words)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, sets in _sets(b):
+                part = b.slice(i, len(sets))
+                hashes = [(_node(h), _check(h)) if len(h) else (None, None) for h in sets]
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array([x[k] for x in hashes], pa.int64()) for k in (0, 1)]],
+                                                 names=[*part.schema.names, "__node", "__check"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__node", LongType()), StructField("__check", LongType())]))
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document (the smallest id) of each component, columns as given; rows without an id stay."""
-    linked = link_documents(docs)
-    drop = linked.filter("doc_id IS NOT NULL AND component_id < doc_id").select("doc_id").distinct()
-    return without_ids(docs, stored(drop, "ngram-drop"))
+    """One row of each component of linked rows, columns as given: the row of the smallest id.
+
+    Decided by row: an id that occurs with two texts keeps the one that no row of a smaller id is linked with, and of
+    rows with one id and one set one stays. Rows without an id are the last choice of their component. Rows without
+    words link with nothing and stay.
+    """
+    rows, classes, label = _labelled(docs)
+    home = classes.select("node", "check").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    keyed = stored(rows.filter("n > 0").groupBy("doc_id", "node", "check").agg(F.count(F.lit(1)).alias("m")).join(home, ["node", "check"]), "ngram-keyed")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "check")
+    first = keyed.groupBy("label").agg(F.min(place).alias("f"), F.min_by("m", place).alias("m"), F.count(F.lit(1)).alias("c"))
+    chosen = stored(first.select(F.col("f.doc_id").alias("__id"), F.col("f.node").alias("__node"), F.col("f.check").alias("__check"), "m", "c", "label"), "ngram-chosen")
+    # ids with a row that may go: in components of several keys, or of several equal rows
+    some = chosen.filter("m > 1 OR c > 1").select("label")
+    touched = stored(keyed.join(some, "label", "left_semi").select("doc_id").filter("doc_id IS NOT NULL").distinct(), "ngram-touched")
+    free(rows, classes, label, keyed)
+    hit = maybe_in(touched, "doc_id", F.col("doc_id")) | F.col("doc_id").isNull()
+    asked = _with_sets(docs.filter(hit))
+    stay = chosen.select("__id", F.col("__node").alias("__n"), F.col("__check").alias("__c"), "m")
+    found = asked.filter("__node IS NOT NULL").join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__n")) & (F.col("__check") == F.col("__c")))
+    single = found.filter("m = 1").select(*docs.columns)
+    equal = found.filter("m > 1").dropDuplicates(["doc_id", "__node", "__check"]).select(*docs.columns)
+    release(docs.sparkSession)
+    return (docs.filter(~hit).unionByName(asked.filter("__node IS NULL").select(*docs.columns)).unionByName(single).unionByName(equal))
