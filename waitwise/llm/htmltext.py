@@ -5,7 +5,9 @@ from labelled pages (pages that mark their main text with an ``article`` or ``ma
 linear scan finds the contiguous region with the largest total. Elements that never are main text
 (scripts, forms, menus, adverts, comment sections, ...) count as one barrier and give no text, also
 inside the region. Forms and names of class and id may also mark a wrapper of the whole page: such an element is
-skipped only where it does not hold the page's main part (see ``_wraps``).
+skipped only where it does not hold the page's main part (see ``_wraps``). On a page that marks its main text, tags
+inside the mark cost nothing and words outside it score negative, as they do on every labelled page; so the region
+is the mark, whatever lists and tables it holds.
 
 Edge cases: a null or empty page, or one without words, gives an empty text; unclosed tags and
 comments end with the page; ties go to the earlier, then the longer region; repeated rows are extracted alike;
@@ -17,17 +19,19 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Weights are learned from at most so many labelled pages (the first in the order of a hash of the id).
 MAX_LABELLED = 400
+#: ... and of so many bytes together.
+MAX_LABELLED_BYTES = 32 << 20
 
 # Element names of the HTML standard.
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas".split())
@@ -45,6 +49,14 @@ sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs cookie cookies
 modal overlay comment comments disqus reply replies respond share sharing social related recommended recommendations
 newsletter subscribe subscription signup login footer header masthead topbar toolbar pagination pager widget widgets
 skip copyright disclaimer tags""".split())
+#: Words that go along with those in a name. Inside an article a name marks furniture only if all its words are of one
+#: of these lists: ``related-posts`` does, ``related-work`` does not.
+COMPANIONS = frozenset("""post posts article articles story stories list lists item items box boxes block blocks wrapper wrap
+container area section sections inner outer left right top bottom link links button buttons bar bars panel column col
+row unit slot zone group feed content form title heading icon icons count more""".split())
+#: Elements of running text: inside an article their class and id names tell nothing.
+TEXT_ELEMENTS = frozenset("""p span h1 h2 h3 h4 h5 h6 a em strong b i u s small mark code pre blockquote q cite li dt dd td th tr
+caption figcaption sub sup time abbr label""".split())
 #: Names that only mark furniture outside an article (inside, they hold its headline).
 OUTSIDE_ONLY = frozenset(["header", "banner", "masthead", "tags"])
 
@@ -76,8 +88,10 @@ def may_be_furniture(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
         return True
     if tag in ("html", "body", "article", "main"):
         return False
-    names = {w.lower() for key in ("class", "id") for w in _NAME.findall(attrs.get(key, ""))} & ASIDE_NAMES
-    return bool(names - OUTSIDE_ONLY if in_article else names)
+    names = [{w.lower() for w in _NAME.findall(name)} for key in ("class", "id") for name in attrs.get(key, "").split()]
+    if in_article:
+        return tag not in TEXT_ELEMENTS and any(x & (ASIDE_NAMES - OUTSIDE_ONLY) and x <= ASIDE_NAMES | COMPANIONS for x in names)
+    return any(x & ASIDE_NAMES for x in names)
 
 
 @dataclass
@@ -106,6 +120,7 @@ class Span:
 def parse(source: str) -> Page:
     page, pos, block, n = Page(), 0, 0, len(source)
     stack: list[str] = []
+    opened: Counter = Counter()          # how often each tag stands on the stack
     furniture: list[int] = []            # stack depths at which skipped elements opened
     doubtful: list[Span] = []            # elements that are furniture unless they wrap the main part
     marks: list[Span] = []               # article and main elements
@@ -118,6 +133,8 @@ def parse(source: str) -> Page:
             span = still.pop()
             span.end = len(page.items)
             ended = ended or span.doubtful
+            if still:
+                still[-1].holds_mark |= span.holds_mark or not span.doubtful
         return ended
 
     while pos < n:
@@ -139,9 +156,12 @@ def parse(source: str) -> Page:
             block += 1
         if closing:
             skipped = False
-            if tag in stack:
-                while stack and stack.pop() != tag:
-                    pass
+            if opened[tag]:
+                while True:
+                    gone = stack.pop()
+                    opened[gone] -= 1
+                    if gone == tag:
+                        break
                 if furniture and len(stack) <= furniture[-1]:
                     while furniture and len(stack) <= furniture[-1]:
                         furniture.pop()
@@ -157,11 +177,11 @@ def parse(source: str) -> Page:
         attrs = _attributes(m[2]) if m[2] else {}
         void = tag in VOID or m[2].endswith("/")
         if tag in ("p", "li", "dt", "dd", "option", "tr", "td", "th") and stack and stack[-1] == tag:
-            stack.pop()                   # these close their own kind
+            opened[stack.pop()] -= 1      # these close their own kind
             if furniture and len(stack) <= furniture[-1]:
                 furniture.pop()
             close()
-        in_article = "article" in stack or "main" in stack
+        in_article = opened["article"] + opened["main"] > 0
         doubt = not furniture and may_be_furniture(tag, attrs, in_article)
         if not furniture and (is_furniture(tag, attrs, in_article) or doubt and void):
             page.items.append((INNER_BARRIER if in_article else BARRIER, "", block))
@@ -169,15 +189,15 @@ def parse(source: str) -> Page:
                 furniture.append(len(stack))
         elif not furniture:
             if not void and (doubt or tag in ("article", "main")):
-                span = Span(len(page.items), len(stack), next((x for x in reversed(still) if not x.doubtful), None),
-                            next((x for x in reversed(still) if x.doubtful), None), doubtful=doubt)
-                for x in still:
-                    x.holds_mark |= not doubt
+                over = still[-1] if still else None
+                scope, parent = (None, None) if over is None else (over.scope, over) if over.doubtful else (over, over.parent)
+                span = Span(len(page.items), len(stack), scope, parent, doubtful=doubt)
                 still.append(span)
                 (doubtful if doubt else marks).append(span)
             page.items.append((tag, "", block))
         if not void:
             stack.append(tag)
+            opened[tag] += 1
     stack.clear()
     close()
     return _without_furniture(page.items, doubtful, marks)
@@ -231,7 +251,7 @@ def _without_furniture(items: list[tuple[str, str, int]], doubtful: list[Span],
         if not (skip and skip[-1].holds(x)) and not _wraps(x, inner, marks, words):
             skip.append(x)
     page = Page()
-    region = next((x for x in marks if not any(y.holds(x) for y in skip)), None)
+    region = _main_mark([x for x in marks if not _inside(x, skip)], words)
     at, moved = 0, {}
     for x in [*skip, Span(len(items), 0, end=len(items))]:
         for i in range(at, x.start):
@@ -249,6 +269,35 @@ def _without_furniture(items: list[tuple[str, str, int]], doubtful: list[Span],
     return page
 
 
+def _inside(mark: Span, skip: list[Span]) -> bool:
+    """Whether one of ``skip`` (apart from each other, in order) holds the mark."""
+    at = bisect_right([x.start for x in skip], mark.start) - 1 if skip else -1
+    return at >= 0 and skip[at].holds(mark)
+
+
+#: An article inside another marked element is the main text if it has this share of its words.
+INNER_SHARE = 0.5
+
+
+def _main_mark(marks: list[Span], words: list[int]) -> Span | None:
+    """Of the marked elements that lie in no other one, that of the most words; then, as long as there is one, the marked
+    element inside it that has ``INNER_SHARE`` of its words."""
+    def size(x: Span) -> int:
+        return words[x.end] - words[x.start]
+    best, until = None, 0
+    for x in marks:                       # in the order of their starts
+        if x.start >= until:
+            until = x.end
+            if best is None or size(x) > size(best):
+                best = x
+    if best is not None:
+        total = size(best)
+        for x in marks:
+            if best.start < x.start and x.end <= best.end and size(x) >= INNER_SHARE * total and size(x) > 0:
+                best, total = x, size(x)
+    return best
+
+
 #: Cost, in words, of a tag that was seen outside the marked text only.
 OUTSIDE_COST = 8.0
 
@@ -304,12 +353,21 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return region
 
 
+def item_scores(page: Page, weights: Weights) -> list[float]:
+    """Scores of the items; on a page that marks its main text, tags inside cost nothing and words outside cost."""
+    scores = [weights.score(t, x) for t, x, _ in page.items]
+    if page.region is None or not any(s > 0 for s in scores[slice(*page.region)]):
+        return scores
+    lo, hi = page.region
+    return [max(s, 0.0) if lo <= i < hi else -abs(s) for i, s in enumerate(scores)]
+
+
 def main_text(source: str | None, weights: Weights) -> str:
     """Main text of a page: blocks in page order joined by a newline, white space in a block as one space."""
     if not source:
         return ""
     page = parse(source)
-    start, end = best_region([weights.score(t, x) for t, x, _ in page.items])
+    start, end = best_region(item_scores(page, weights))
     blocks: list[str] = []
     last = None
     for tag, text, block in page.items[start:end]:
@@ -328,8 +386,10 @@ def labelled_pages(pages: DataFrame, max_rows: int = MAX_LABELLED) -> list[str]:
     marked = pages.filter(F.col("html").rlike("(?i)<(article|main)[\\s>]") & F.col("page_id").isNotNull())
     # ids first, so that only the chosen pages' texts travel
     pick = marked.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(max_rows)
-    rows = pages.select("page_id", "html").join(F.broadcast(pick), "page_id").collect()
-    return [r["html"] for r in sorted(rows, key=lambda r: (r["page_id"], r["html"] or "")) if r["html"]][:max_rows]
+    rows = (pages.select("page_id", "html").join(pick, "page_id").orderBy(F.xxhash64("page_id"), "page_id", "html").limit(max_rows)
+            .withColumn("before", F.sum(F.octet_length("html")).over(Window.orderBy(F.xxhash64("page_id"), "page_id", "html")))
+            .filter(F.col("before") <= MAX_LABELLED_BYTES).collect())       # rows and bytes are bounded before they travel
+    return [r["html"] for r in rows if r["html"]]
 
 
 def text_column(source: Column, weights: Weights) -> Column:
