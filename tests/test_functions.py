@@ -78,3 +78,43 @@ def test_p_value_work_does_not_grow_with_n(spark):
     got = [x[0] for x in df.select(p_value("r", "n")).collect()]
     assert got == pytest.approx([math.erfc(z / math.sqrt(2)) for z in (0.0, 0.5, 1.96, 4.0)], abs=1e-6)
     assert "sequence(" not in p_value_expr("r", "n")
+
+
+class _Conf(dict):
+    def get(self, key, default=None):
+        return dict.get(self, key, default)
+
+
+class _Context:
+    def __init__(self, master, conf):
+        self.master, self.applicationId, self._conf, self.dir = master, f"app-{id(self)}", conf, None
+
+    def getConf(self):
+        return self._conf
+
+    def setCheckpointDir(self, path):
+        self.dir = path
+
+
+class _Session:
+    """A session whose settings cannot be changed, as a running one's."""
+
+    def __init__(self, master, **conf):
+        self.conf, self.sparkContext = _Conf(conf), _Context(master, _Conf())
+
+
+def test_checkpoint_folder_of_the_setting_of_a_local_session_and_of_a_cluster():
+    import os
+
+    import pytest
+
+    from waitwise.session import checkpoint_dir
+    named = _Session("spark://host:7077", **{"spark.checkpoint.dir": "hdfs://shared/ckpt"})
+    assert checkpoint_dir(named) == "hdfs://shared/ckpt" == named.sparkContext.dir
+    local = _Session("local[4]")
+    path = checkpoint_dir(local)
+    assert os.path.isdir(path) and checkpoint_dir(local) == path == local.sparkContext.dir
+    assert checkpoint_dir(_Session("local[4]")) != path
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            checkpoint_dir(_Session(master))

@@ -36,6 +36,14 @@ def test_minute_metrics_stream_equals_batch(spark, tmpdir_path):
         batch.select("cluster", "ts", "calls", "nrows", "waits")).count() == 0
 
 
+def test_minute_metrics_of_statements_equal_batch(spark, tmpdir_path):
+    src = ST.read_events_stream(spark, _events_dir(tmpdir_path))
+    ST.start(ST.stream_minute_metrics(src, key=("queryid",)), os.path.join(tmpdir_path, "ck1q"), name="f1q_out").awaitTermination()
+    got = spark.table("f1q_out").withColumn("ts", F.col("ts").cast("timestamp_ntz")).select("queryid", "ts", "calls", "nrows", "waits")
+    batch = T.statement_interval_stats(B.wait_samples(spark, SF001), "minute").filter(F.col("ts") <= got.agg(F.max("ts")).collect()[0][0])
+    assert got.count() > 0 and sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.select(*got.columns).collect()))
+
+
 def test_rolling_median_stream_equals_batch(spark, tmpdir_path):
     src = ST.read_events_stream(spark, _events_dir(tmpdir_path))
     q = ST.start(ST.stream_rolling_median(src, "60 minutes", "10 minutes"), os.path.join(tmpdir_path, "ck2"),

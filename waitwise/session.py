@@ -40,6 +40,10 @@ def get_spark(app: str = "waitwise", cpus: str | int | None = None,
     return spark
 
 
+#: Scratch folders of local sessions without a setting, by application.
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
@@ -47,14 +51,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     fresh scratch folder (tests, bench); a cluster session without the setting is an
     error, because a machine-local folder does not survive the loss of an executor.
     """
-    conf = spark.sparkContext.getConf()
-    path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder for this cluster")
-        path = tempfile.mkdtemp(prefix="waitwise-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+        # the setting cannot be changed in a running session, so the folder is remembered here
+        path = _LOCAL_DIRS.get(context.applicationId) or _LOCAL_DIRS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="waitwise-ckpt-"))
+    context.setCheckpointDir(path)
     return path
 
 

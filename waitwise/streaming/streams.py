@@ -8,7 +8,7 @@ Event time is cast to TIMESTAMP first: watermarks reject TIMESTAMP_NTZ.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -39,13 +39,15 @@ def _samples(events: DataFrame) -> DataFrame:
                          F.round(F.col("value") * 100).cast("bigint").alias("cents"))
 
 
-def stream_minute_metrics(events: DataFrame, watermark: str = "2 minutes", grain: str = "1 minute") -> DataFrame:
-    """per cluster and tumbling interval: calls, nrows, waits (append after the watermark)."""
+def stream_minute_metrics(events: DataFrame, watermark: str = "2 minutes", grain: str = "1 minute",
+                          key: Sequence[str] = ("cluster",)) -> DataFrame:
+    """per key (``cluster``, or ``queryid`` for statement statistics, or both) and tumbling interval: calls (samples,
+    as in A4), nrows, waits (append after the watermark)."""
     s = _samples(events).withWatermark("ts", watermark)
-    return s.groupBy("cluster", F.window("ts", grain).alias("w")).agg(
+    return s.groupBy(*key, F.window("ts", grain).alias("w")).agg(
         F.count(F.lit(1)).alias("calls"), F.expr("sum(cents) div 100").alias("nrows"),
         F.count(F.when(F.col("event_type") != "error", 1)).alias("waits"),
-    ).select("cluster", F.col("w.start").alias("ts"), "calls", "nrows", "waits")
+    ).select(*key, F.col("w.start").alias("ts"), "calls", "nrows", "waits")
 
 
 def stream_rolling_median(events: DataFrame, length: str = "60 minutes", slide: str = "1 minute",
