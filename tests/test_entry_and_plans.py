@@ -99,3 +99,17 @@ def test_literal_as_of_is_pushed_to_the_orders_scan(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     scan = [ln for ln in plan.splitlines() if "orders.parquet" in ln][0]
     assert "GreaterThan(o_orderdate" in scan.split("PushedFilters:")[1]
+
+
+@pytest.mark.parametrize("name", ["state_id", "transitions", "transition_frequencies", "current_state", "last_incident_time",
+                                  "leak_suspects", "risk_block", "log_records", "autovacuum_summary", "report_query_history"])
+def test_building_a_query_stores_nothing(spark, monkeypatch, name):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from __spark_entry__ import queries
+
+    def refuse(*a, **b):
+        raise AssertionError("a job ran while the query was built")
+    for method in ("checkpoint", "localCheckpoint", "collect", "count"):
+        monkeypatch.setattr(DataFrame, method, refuse)
+    assert queries()[name](spark, SF001).columns

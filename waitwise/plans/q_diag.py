@@ -22,12 +22,6 @@ CORES = 8
 WINDOW_MINUTES = 180
 
 
-def _cs(spark, sf):
-    """Cluster series aggregated once and checkpointed (small: one row per cluster and
-    hour) when a query reads it in several branches (incidents + the series itself)."""
-    return cut_lineage(B.cluster_series(spark, sf, GRAIN))
-
-
 def _incidents(spark, sf, cs=None):
     cs = cs if cs is not None else B.cluster_series(spark, sf, GRAIN)
     tri = T.performance_triplet(cs, minutes=TRIPLET_MINUTES)
@@ -83,7 +77,8 @@ JOIN (SELECT cluster, ts, metric, CAST(value AS DOUBLE) AS value
 GROUP BY 1, 2, 3"""))
 def q_interval_compare(spark, sf):
     """Per incident and metric: baseline vs incident medians, absolute and relative change."""
-    cs = _cs(spark, sf)
+    # read whole in one branch and for the incidents in another: aggregated once and stored (a row a cluster and hour)
+    cs = cut_lineage(B.cluster_series(spark, sf, GRAIN))
     win = T.incident_windows(_incidents(spark, sf, cs), WINDOW_MINUTES)
     long = T.to_long(cs, ["cluster"], B.CLUSTER_METRICS)
     return G.interval_compare(long, win)
@@ -95,7 +90,7 @@ FROM (SELECT c.cluster, c.ts, (SELECT max(i.f) FROM incidents i WHERE i.cluster
              AS last_finish FROM cluster_series c) q"""))
 def q_last_incident_time(spark, sf):
     """Time since the last finished incident for every cluster-hour."""
-    cs = _cs(spark, sf)
+    cs = B.cluster_series(spark, sf, GRAIN)          # the second reader needs the keys only
     return G.last_incident_time(cs, _incidents(spark, sf, cs))
 
 
