@@ -485,7 +485,9 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # both sides of the join are stored, so the rows of a common shingle can be split
     hubs = _hubs(shared)
     star = shared.join(hubs, "token")
-    first = stored(star.select("node", F.explode("hubs").alias("hub")).filter("node <> hub")
+    # two hubs of a shingle are paired once, at the smaller one
+    partners = F.when(F.array_contains("hubs", F.col("node")), F.filter("hubs", lambda h: h < F.col("node"))).otherwise(F.col("hubs"))
+    first = stored(star.select("node", F.explode(partners).alias("hub"))
                    .select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), "ngram-stars")
     others = stored(star.filter(~F.array_contains("hubs", F.col("node"))).select("token", "node"), "ngram-others")
     free(shared, hubs)
