@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from waitwise.llm.common import PrimeHash, free, maybe_in, mix, release, stored, text_blocks
+from waitwise.session import cut_lineage
 
 WORDS, PERCENT = 5, 80
 #: A shingle in more than 1 / FREQUENT of the documents is ordered last (at most FREQUENT * mean set size of them).
@@ -338,7 +339,7 @@ def _block_links(docs: DataFrame, members: DataFrame, block: int) -> DataFrame:
     sizes = members.groupBy("label").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     placed = (members.join(sizes, "label").withColumn("s", blocks).withColumn("k", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
               .select("node", "label", "min_doc", "copies", "s", "k"))
-    placed = stored(placed, "ngram-placed")
+    placed = cut_lineage(placed)
     some = docs.select("doc_id", "text").filter(maybe_in(placed, "min_doc", F.col("doc_id")) | F.col("doc_id").isNull())
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,7 +414,7 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node each linked node reaches. Alternating large and small stars: each round is
     an aggregation and a join on a node, and the number of links never grows beyond the input's."""
     spark = links.sparkSession
-    edges = stored(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star-edges")
+    edges = cut_lineage(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -423,15 +424,13 @@ def components(links: DataFrame) -> DataFrame:
         star = large.join(low, "b")
         small = (star.select(F.col("m").alias("a"), F.col("a").alias("b"))
                  .unionByName(star.select(F.col("m").alias("a"), "b")).filter("a <> b").distinct())
-        last, edges = edges, stored(small, "star-edges")
-        free(last)
+        last, edges = edges, cut_lineage(small)
         del both, low, large, star, small, last
         release(spark)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
-            out = stored(edges.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(
-                edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()), "star-labels")
-            free(edges)
+            out = cut_lineage(edges.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(
+                edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()))
             return out
         before = now
 
@@ -442,12 +441,11 @@ def _with_enough_shared(shared: DataFrame, info: DataFrame, rounds: int = 2) ->
     smallest = F.ceil(F.col("n") * PERCENT / F.lit(100.0)).cast("long")       # size of the smallest partner
     least = F.lit(1) + F.floor(smallest / 25)
     for _ in range(rounds):
-        nodes = stored(shared.groupBy("node").agg(F.count(F.lit(1)).alias("c")).join(info.select("node", "n"), "node")
-                       .filter(F.col("c") >= least).select("node"), "ngram-nodes")
+        nodes = cut_lineage(shared.groupBy("node").agg(F.count(F.lit(1)).alias("c")).join(info.select("node", "n"), "node")
+                       .filter(F.col("c") >= least).select("node"))
         some = shared.join(nodes, "node", "left_semi")
-        tokens = stored(some.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token"), "ngram-tokens")
-        last, shared = shared, stored(some.join(tokens, "token", "left_semi"), "ngram-shared")
-        free(last, nodes, tokens)
+        tokens = cut_lineage(some.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token"))
+        last, shared = shared, cut_lineage(some.join(tokens, "token", "left_semi"))
         del last, nodes, some, tokens
         release(shared.sparkSession)
     return shared
@@ -457,68 +455,61 @@ def _hubs(shared: DataFrame) -> DataFrame:
     """(token, hubs): the smallest node of each hash class of a shingle's nodes, by one aggregation of ``STARS`` values."""
     kind = F.pmod(F.xxhash64("node"), F.lit(STARS))
     low = [F.min(F.when(kind == c, F.col("node"))).alias(f"h{c}") for c in range(STARS)]
-    return stored(shared.groupBy("token").agg(*low).select("token", F.array_compact(F.array(*[f"h{c}" for c in range(STARS)])).alias("hubs")), "ngram-hubs")
+    return cut_lineage(shared.groupBy("token").agg(*low).select("token", F.array_compact(F.array(*[f"h{c}" for c in range(STARS)])).alias("hubs")))
 
 
 def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (see ``sketch``), classes (node, check, min_doc, n, copies) and (node, label) of the linked nodes.
 
-    Every step is stored in the shared folder and freed after its last reader.
+    Every step is checkpointed in the shared folder and let go after its last reader (Spark deletes the files of
+    checkpoints that nothing refers to where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set).
     """
     spark = docs.sparkSession
     rows = stored(sketch(docs), "ngram-sketch")
     classes = stored(rows.filter("n > 0").groupBy("node", "check").agg(
         F.min("doc_id").alias("min_doc"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")), "ngram-classes")
     sent = rows.select("node", F.explode("prefix").alias("token"))
-    several = stored(sent.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token"), "ngram-several")
-    shared = stored(sent.join(several, "token").select("token", "node").distinct(), "ngram-shared")
-    free(several)
+    several = cut_lineage(sent.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token"))
+    shared = cut_lineage(sent.join(several, "token").select("token", "node").distinct())
     del sent, several
     shared = _with_enough_shared(shared, classes)
 
     # bitmaps of the nodes that are left
     left = shared.select("node").distinct()
     bits = rows.select("node", "bits").filter(maybe_in(left, "node", F.col("node"))).groupBy("node").agg(F.first("bits").alias("bits"))
-    nodes = stored(classes.join(left, "node", "left_semi").join(bits, "node"), "ngram-bits")
+    nodes = cut_lineage(classes.join(left, "node", "left_semi").join(bits, "node"))
     del left, bits
 
-    # both sides of the join are stored, so the rows of a common shingle can be split
+    # both sides of the join are plain exchanges, so the rows of a common shingle can be split
     hubs = _hubs(shared)
     star = shared.join(hubs, "token")
     # two hubs of a shingle are paired once, at the smaller one
     partners = F.when(F.array_contains("hubs", F.col("node")), F.filter("hubs", lambda h: h < F.col("node"))).otherwise(F.col("hubs"))
-    first = stored(star.select("node", F.explode(partners).alias("hub"))
-                   .select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), "ngram-stars")
-    others = stored(star.filter(~F.array_contains("hubs", F.col("node"))).select("token", "node"), "ngram-others")
-    free(shared, hubs)
+    first = cut_lineage(star.select("node", F.explode(partners).alias("hub"))
+                   .select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
+    others = cut_lineage(star.filter(~F.array_contains("hubs", F.col("node"))).select("token", "node"))
     del shared, hubs, star
     release(spark)
-    close = stored(_may_link(first, nodes), "ngram-close")
-    links = stored(_linked(close, docs, nodes), "ngram-links")
-    free(first, close)
+    close = cut_lineage(_may_link(first, nodes))
+    links = cut_lineage(_linked(close, docs, nodes))
     del first, close
     label = components(links)
-    free(links)
     del links
     release(spark)
 
     # nodes not compared yet share enough shingles among those that are left, across components
     named = others.join(label, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
-    mixed = stored(named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token"), "ngram-mixed")
-    apart = stored(others.join(mixed, "token", "left_semi").select("token", "node"), "ngram-apart")
-    free(others, mixed)
+    mixed = cut_lineage(named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token"))
+    apart = cut_lineage(others.join(mixed, "token", "left_semi").select("token", "node"))
     del others, named, mixed
     apart = _with_enough_shared(apart, nodes)
     low = apart.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("token")), 1, LOWEST).alias("low"))
     members = apart.join(nodes.select("node", "n", "bits").join(low, "node"), "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rest = stored(_tile_pairs(members), "ngram-rest")
-    free(apart)
+    rest = cut_lineage(_tile_pairs(members))
     del apart, low, members
     if not rest.isEmpty():
         more = _linked(rest, docs, nodes)
         last, label = label, components(label.filter("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(more))
-        free(last)
-    free(rest, nodes)
     del rest, nodes
     release(spark)
     return rows, classes, label
