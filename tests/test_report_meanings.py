@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tests.conftest import SF001
 from waitwise.operators import diagnostics as G
 from waitwise.operators import reports as R
 from waitwise.operators import stats
@@ -33,6 +34,13 @@ def test_query_history_by_hand(spark):
     assert sorted((r["ts"].hour, r["waits"]) for r in one.collect()) == [(0, 1), (1, 2), (5, 0)]
 
 
+def test_query_history_sorts_one_row_an_interval(spark):
+    # types are dealt out after the windows: neither the sort nor a window sees a row once for each type
+    plan = R.query_history(B.wait_samples(spark, SF001), B.WAIT_TYPES, "hour", 180)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.count("Sort [") == 1
+    assert plan.index("Generate explode(knownnotcontainsnull") < plan.index("Window [") < plan.index("Sort [")
+
+
 def test_every_wait_type_is_part_of_waits():
     parts = {p for p, w in PART_WHOLE if w == "waits"}
     assert parts == {f"waits_{t}" for t in B.WAIT_TYPES} and {"waits_BufferPin", "waits_Extension"} <= parts

@@ -126,24 +126,32 @@ def buffer_cache_speed(series: DataFrame, speed: DataFrame, key: Sequence[str] =
 
 
 def query_history(samples: DataFrame, wait_types: Sequence[str], grain: str = "hour", minutes: int = 180,
-                  queryids: Sequence[int] | None = None) -> DataFrame:
+                  queryids: Sequence[int] | None = None, statements: DataFrame | None = None) -> DataFrame:
     """The history of each query against each wait type that it has met: per interval the calls and rows of
     the query and its waits of the type (0 in intervals without any), and their trailing medians over ``minutes``.
 
-    ``queryids`` and ``wait_types`` choose what is reported; the loop over types is a group key.
+    ``queryids`` (or a frame ``statements`` with a queryid) and ``wait_types`` choose what is reported. Windows run
+    over one row an interval and query, with a column a type; rows are dealt out to types afterwards, so sorts hold
+    no row twice for its types.
     """
     if queryids is not None:
         samples = samples.filter(F.col("queryid").isin(list(queryids)))
+    types = [f"_n{i}" for i in range(len(wait_types))]
     per = samples.groupBy(bucket("ts", grain).alias("ts"), "queryid").agg(
         F.count(F.lit(1)).alias("calls"), F.expr("sum(cents) div 100").alias("nrows"),
-        *[F.count(F.when(F.col("wait_event_type") == t, 1)).alias(t) for t in wait_types])
-    long = per.unpivot(["ts", "queryid", "calls", "nrows"], list(wait_types), "wait_event_type", "waits")
-    met = F.max("waits").over(Window.partitionBy("queryid", "wait_event_type"))   # one row an interval
-    long = long.withColumn("_met", met).filter("_met > 0").drop("_met")
-    dealt, w = in_chunks(long, ["queryid", "wait_event_type"], minutes)
-    for c in ("calls", "nrows", "waits"):
-        dealt = dealt.withColumn(f"med_{c}", F.percentile(F.col(c), 0.5).over(w))
-    return without_halo(dealt)
+        *[F.count(F.when(F.col("wait_event_type") == t, 1)).alias(c) for t, c in zip(wait_types, types)])
+    if statements is not None:
+        per = per.join(statements.select("queryid"), "queryid", "left_semi")
+    # one exchange and one sort serve the window in chunks and the one over a query's intervals
+    dealt, w = in_chunks(per.repartition("queryid"), ["queryid"], minutes)
+    meds = dealt.select("*", *[F.percentile(F.col(c), 0.5).over(w).alias(f"_med_{c}") for c in ("calls", "nrows", *types)])
+    of_query = Window.partitionBy("queryid")                                    # one row an interval
+    met = without_halo(meds).select("*", *[(F.max(c).over(of_query) > 0).alias(f"_met{c}") for c in types])
+    by_type = F.array(*[F.when(F.col(f"_met{c}"), F.struct(F.lit(t).alias("t"), F.col(c).alias("n"), F.col(f"_med_{c}").alias("m")))
+                        for t, c in zip(wait_types, types)])
+    out = met.withColumn("_of", F.explode(F.array_compact(by_type)))
+    return out.select("ts", "queryid", "calls", "nrows", F.col("_of.t").alias("wait_event_type"), F.col("_of.n").alias("waits"),
+                      F.col("_med_calls").alias("med_calls"), F.col("_med_nrows").alias("med_nrows"), F.col("_of.m").alias("med_waits"))
 
 
 def load_curve(samples_in_pass: DataFrame) -> DataFrame:
