@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from tests.conftest import SF001
 from waitwise.operators import diagnostics as G
 from waitwise.operators import reports as R
@@ -41,6 +42,17 @@ def test_query_history_sorts_one_row_an_interval(spark):
     assert plan.index("Generate explode(knownnotcontainsnull") < plan.index("Window [") < plan.index("Sort [")
 
 
+def test_scenario_history_is_of_scenario_statements_only(spark):
+    # statements of no scenario leave before the windows, not after them
+    plan = queries()["report_scenarios"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Window [") < plan.index("LeftSemi")
+    samples = B.wait_samples(spark, SF001)
+    ids = samples.select("queryid").distinct().filter("queryid % 10 = 0")
+    history = R.query_history(samples, B.WAIT_TYPES, "hour", 180)
+    some = R.query_history(samples, B.WAIT_TYPES, "hour", 180, statements=ids)
+    assert some.count() and sorted(some.collect()) == sorted(history.filter("queryid % 10 = 0").collect())
+
+
 def test_every_wait_type_is_part_of_waits():
     parts = {p for p, w in PART_WHOLE if w == "waits"}
     assert parts == {f"waits_{t}" for t in B.WAIT_TYPES} and {"waits_BufferPin", "waits_Extension"} <= parts

@@ -273,8 +273,8 @@ LEFT JOIN (SELECT date_trunc('hour', ts) AS ts, queryid, wait_event_type, count(
 WINDOW w AS (PARTITION BY p.queryid, k.wait_event_type ORDER BY p.ts RANGE BETWEEN INTERVAL {ROLL_MINUTES} MINUTE PRECEDING AND CURRENT ROW)"""
 
 
-def _d14(spark, sf):
-    return R.query_history(B.wait_samples(spark, sf), B.WAIT_TYPES, GRAIN, ROLL_MINUTES)
+def _d14(spark, sf, statements=None):
+    return R.query_history(B.wait_samples(spark, sf), B.WAIT_TYPES, GRAIN, ROLL_MINUTES, statements=statements)
 
 
 @register("report_query_history", "D14", with_bindings(_D14_SQL, "wait_samples"))
@@ -288,7 +288,8 @@ def q_report_query_history(spark, sf):
     "query_texts", "wait_samples"))
 def q_report_scenarios(spark, sf):
     """Query history for every statement of every load-test scenario."""
-    return _j8(spark, sf).select("scenario", "queryid").join(_d14(spark, sf), "queryid")
+    of = _j8(spark, sf).select("scenario", "queryid")
+    return of.join(_d14(spark, sf, of), "queryid")
 
 
 @register("report_load_curve", "D15", with_bindings("""
