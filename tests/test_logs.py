@@ -1,7 +1,10 @@
 """Server-log reader and parsers on literal English and Russian lines."""
 
+import datetime as dt
 import os
 
+from pyspark.sql import functions as F
+
 from waitwise.operators import logs as L
 from waitwise.sources import serverlog as S
 
@@ -274,3 +277,28 @@ def test_errors_of_the_whole_appendix_are_counted(spark, tmpdir_path):
     assert {r["code"]: r["n"] for r in L.error_counts(lines, S.sqlstate_dim(spark)).collect()} == dict.fromkeys(codes, 1)
     fields = S.log_prefix_fields(S.assemble_records(lines))
     assert sorted(r["sqlstate"] for r in L.known_errors(fields, S.sqlstate_dim(spark)).collect()) == sorted(codes)
+
+
+def test_generated_code_of_logs_is_compiled(spark):
+    # the JVM interprets methods of more than 8000 bytes: every line of a log then takes several times as long
+    from tests.conftest import SF001
+    lines = S.log_lines(spark, SF001)
+    events = L.autovacuum_events(S.assemble_records(lines, L.is_autovacuum(F.col("line"))))
+    newer = L.newer_than(events, F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in (lines, S.assemble_records(lines), newer):
+            parts = df._jdf.queryExecution().debug().codegenToSeq().iterator()
+            while parts.hasNext():
+                assert parts.next()._3().maxMethodCodeSize() <= 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_autovacuum_fields_take_the_first_form_that_matches(spark):
+    # a Russian text that does not match leaves the field to the English one; a missing field is null
+    rec = 'автоматическая очистка таблицы "a.s.t": прошло: ? elapsed: 1.5 s, elapsed: 2 s, сканирований индекса: 3, index scans: 4'
+    rows = [("f", dt.datetime(2024, 3, 1, 1, 2, 3, 900000), rec), ("f", None, 'automatic vacuum of table "d.t"'), ("f", None, "automatic vacuum of table x")]
+    got = L.autovacuum_events(spark.createDataFrame(rows, "file string, ts timestamp_ntz, record string")).collect()
+    assert sorted([tuple(r) for r in got], key=str) == sorted(
+        [(dt.datetime(2024, 3, 1, 1, 2, 3), "a", "s", "t", 1500, 3, None, None), (None, "d", "public", "t", None, None, None, None)], key=str)

@@ -7,6 +7,8 @@ Russian and English message forms are alternatives of the same expression.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ AV_ELAPSED = [r"прошло:\s*([0-9.]+)\s*с", r"elapsed:\s*([0-9.]+)\s*s"]
 AV_SCANS = [r"сканирований индекса:\s*([0-9]+)", r"index scans:\s*([0-9]+)"]
 AV_REMOVED = [r"страниц удалено:\s*([0-9]+)", r"pages:\s*([0-9]+)\s+removed"]
 AV_REMAIN = [r"осталось:\s*([0-9]+)", r"removed,\s*([0-9]+)\s+remain"]
-AV_MARK = r"автоматическая очистка таблицы|automatic vacuum of table"
+AV_MARK = r"автоматическая очистка таблицы|automatic vacuum of table"      # plain texts, no other regex signs
 
 CK_MARK_RU, CK_MARK_EN = "контрольная точка завершена", "checkpoint complete:"
 CK_RU = {"buffers": r"записано буферов: ([0-9]+)", "wal_added": r"добавлено файлов WAL ([0-9]+)",
@@ -40,9 +42,19 @@ WARNING_CLASSES = [("cannot write log", r"could not write"),
                    ("temp file limit exceeded", r"temp_file_limit|temporary file size exceeds")]
 
 
+def is_autovacuum(text: Column) -> Column:
+    """Whether ``AV_MARK`` occurs: its texts are sought in the bytes, no regex runs on every line of a log."""
+    ru, en = AV_MARK.split("|")
+    return text.contains(ru) | text.contains(en)
+
+
 def _first(text: Column, patterns: list[str]) -> Column:
-    """First non-empty capture of the alternatives, else NULL."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns])
+    """First capture of the alternatives (none captures an empty text), else NULL. A regex runs, once, only where
+    the plain text that it begins with occurs."""
+    def capture(p: str) -> Column:
+        begins = re.split(r"[\\(\[]", p)[0]
+        return F.when(text.contains(begins), F.get(F.regexp_extract_all(text, F.lit(p), F.lit(1)), F.lit(0)))
+    return F.coalesce(*[capture(p) for p in patterns])
 
 
 def autovacuum_events(records: DataFrame) -> DataFrame:
@@ -52,13 +64,14 @@ def autovacuum_events(records: DataFrame) -> DataFrame:
     A two-part name ``a.b`` is read as database ``a``, schema ``public``, table ``b``.
     """
     r = F.col("record")
-    av = records.filter(r.rlike(AV_MARK))
-    name = _first(r, AV_TABLE)
-    parts = F.split(name, r"\.")
+    found = records.filter(is_autovacuum(r)).select("ts", F.split(_first(r, AV_TABLE), r"\.").alias("parts"), "record")
+    parts = F.col("parts")
     three = F.size(parts) >= 3
     secs = _first(r, AV_ELAPSED)
-    return av.filter(name.isNotNull()).select(
-        bucket("ts", "second").alias("curr_timestamp"),
+    # whole seconds from the text form: filters on it reach the records, where each mention of ``ts`` is parsed anew
+    second = F.substring_index(F.col("ts").cast("string"), ".", 1).cast("timestamp_ntz")
+    return found.filter(parts.isNotNull()).select(
+        second.alias("curr_timestamp"),
         F.get(parts, 0).alias("database_name"),
         F.when(three, F.get(parts, 1)).otherwise(F.lit("public")).alias("schema_name"),
         F.when(three, F.get(parts, 2)).otherwise(F.get(parts, 1)).alias("table_name"),

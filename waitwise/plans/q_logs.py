@@ -88,7 +88,7 @@ WHERE name IS NOT NULL"""
 @register("autovacuum_events", "L1", with_bindings(_AV_SQL, "log_records"))
 def q_autovacuum_events(spark, sf):
     """Autovacuum records (English and Russian) parsed into event rows."""
-    return L.autovacuum_events(_records(spark, sf, L.AV_MARK))
+    return L.autovacuum_events(_records(spark, sf, L.is_autovacuum(F.col("line"))))
 
 
 @register("autovacuum_summary", "L2", with_bindings(f"""
@@ -99,7 +99,7 @@ SELECT count(*) AS n, CAST(coalesce(sum(coalesce(duration_ms, 0)), 0) AS BIGINT)
 FROM ({_AV_SQL}) e""", "log_records"))
 def q_autovacuum_summary(spark, sf):
     """Autovacuum totals: operations, duration, index scans, pages removed / remaining."""
-    return L.autovacuum_summary(L.autovacuum_events(_records(spark, sf, L.AV_MARK)))
+    return L.autovacuum_summary(L.autovacuum_events(_records(spark, sf, L.is_autovacuum(F.col("line")))))
 
 
 def _ck_field(k: str, dec: bool) -> str:
@@ -173,6 +173,6 @@ def q_incremental_import(spark, sf):
     old = [r["file"] for r in S.log_files_for_date(lines).filter(F.col("first_ts") < cut).collect()]
     schema = L.autovacuum_events(S.assemble_records(lines)).schema
     store = EventStore(spark, f"{checkpoint_dir(spark)}/autovacuum-{uuid.uuid4().hex}", schema)
-    store.import_batch(1, L.autovacuum_events(S.assemble_records(lines.filter(F.col("file").isin(old)), L.AV_MARK)), old)
+    store.import_batch(1, L.autovacuum_events(S.assemble_records(lines.filter(F.col("file").isin(old)), L.is_autovacuum(F.col("line")))), old)
     rest = lines.filter(~F.col("file").isin(store.imported_files()))
-    return L.newer_than(L.autovacuum_events(S.assemble_records(rest, L.AV_MARK)), store.mark())
+    return L.newer_than(L.autovacuum_events(S.assemble_records(rest, L.is_autovacuum(F.col("line")))), store.mark())

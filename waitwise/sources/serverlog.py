@@ -323,8 +323,8 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def line_ts(line: Column | str) -> Column:
     """The timestamp (to the second) that a line begins with, else NULL."""
-    raw = F.regexp_extract(line, TS_RE, 1)
-    return F.when(raw != "", F.to_timestamp_ntz(F.regexp_replace(raw, r"\s+", " ")))
+    raw = F.nullif(F.regexp_extract(line, TS_RE, 1), F.lit(""))
+    return F.to_timestamp_ntz(F.regexp_replace(raw, r"\s+", " "))
 
 
 def assemble_records(lines: DataFrame, start_filter: str | Column | None = None) -> DataFrame:
@@ -426,53 +426,57 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(":", F.col("_metadata.file_name"), F.col("_metadata.file_block_start").cast("string")).alias("chunk"),
         "event_id", "ts", "user_id", F.round(F.col("value") * 100).cast("bigint").alias("cents"))
     u, e = F.col("user_id"), F.col("event_id")
-    kind = e % 6
-    v = _value_text(F.col("cents"))
-    sub = u % 6
+    # numbers and day that several messages hold are made once, in a step of their own: in one step with the messages
+    # the generated method is too long for the JVM to compile, and each line is interpreted
+    texts = {"u": u, "u1000": u + 1000, "u3": u * 3, "u5x": u * 5, "mb": u * 1048576,
+             **{f"m{k}": u % k for k in (2, 3, 4, 5, 7, 8, 9, 20, 250)}}
+    ev = ev.select("*", (e % 6).alias("kind"), (u % 6).alias("sub"), _value_text(F.col("cents")).alias("v"),
+                   F.lpad(_num(u % 1000), 3, "0").alias("ms3"), F.date_format("ts", "yyyy-MM-dd").alias("day"),
+                   F.date_format("ts", "HH:mm:ss").alias("time"), *[_num(c).alias(f"t_{n}") for n, c in texts.items()])
+    kind, sub, v, ms3 = F.col("kind"), F.col("sub"), F.col("v"), F.col("ms3")
     sqlstate = (F.when(kind != 5, F.lit("00000"))
                 .when(sub == 0, "40P01").when(sub == 1, "23505").when(sub == 2, "42P01")
                 .when(sub == 3, "57P01").when(sub == 4, "01000")
                 .when(e % 12 == 5, "53100").otherwise("53400"))
     prefix = F.concat(
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("."), F.lpad(_num(e % 1000), 3, "0"), F.lit(" UTC| "),
-        F.lit("db"), _num(u % 5), F.lit("| psql| role"), _num(u % 2), F.lit("| 10.0."), _num(u % 8), F.lit("."),
-        _num(u % 250), F.lit("| "), _num(u + 1000), F.lit("| "), sqlstate, F.lit("| "))
-    name = F.when(u % 4 == 0, F.concat(F.lit("public.t"), _num(u % 20))).otherwise(
-        F.concat(F.lit("db"), _num(u % 5), F.lit(".public.t"), _num(u % 20)))
-    ms3 = F.lpad(_num(u % 1000), 3, "0")
+        F.col("day"), F.lit(" "), F.col("time"), F.lit("."), F.lpad(_num(e % 1000), 3, "0"), F.lit(" UTC| "),
+        F.lit("db"), F.col("t_m5"), F.lit("| psql| role"), F.col("t_m2"), F.lit("| 10.0."), F.col("t_m8"), F.lit("."),
+        F.col("t_m250"), F.lit("| "), F.col("t_u1000"), F.lit("| "), sqlstate, F.lit("| "))
+    name = F.when(u % 4 == 0, F.concat(F.lit("public.t"), F.col("t_m20"))).otherwise(
+        F.concat(F.lit("db"), F.col("t_m5"), F.lit(".public.t"), F.col("t_m20")))
     ck_en = F.concat(
-        F.lit("LOG:  checkpoint complete: wrote "), _num(u * 3), F.lit(" buffers (0.1%); "), _num(u % 2),
-        F.lit(" WAL file(s) added, "), _num(u % 4), F.lit(" removed, "), _num(u % 5), F.lit(" recycled; write="), v,
-        F.lit(" s, sync=0."), ms3, F.lit(" s, total="), v, F.lit(" s; sync files="), _num(u % 9),
-        F.lit(", longest=0.001 s, average=0.001 s; distance="), _num(u), F.lit(" kB, estimate="), _num(u),
+        F.lit("LOG:  checkpoint complete: wrote "), F.col("t_u3"), F.lit(" buffers (0.1%); "), F.col("t_m2"),
+        F.lit(" WAL file(s) added, "), F.col("t_m4"), F.lit(" removed, "), F.col("t_m5"), F.lit(" recycled; write="), v,
+        F.lit(" s, sync=0."), ms3, F.lit(" s, total="), v, F.lit(" s; sync files="), F.col("t_m9"),
+        F.lit(", longest=0.001 s, average=0.001 s; distance="), F.col("t_u"), F.lit(" kB, estimate="), F.col("t_u"),
         F.lit(" kB"))
     ck_ru = F.concat(
-        F.lit("СООБЩЕНИЕ:  контрольная точка завершена: записано буферов: "), _num(u * 3),
-        F.lit(" (0.1%); добавлено файлов WAL "), _num(u % 2), F.lit(", удалено: "), _num(u % 4),
-        F.lit(", переработано: "), _num(u % 5), F.lit("; запись="), v, F.lit(" сек., синхр.=0."), ms3,
-        F.lit(" сек., всего="), v, F.lit(" сек.; синхронизировано_файлов="), _num(u % 9),
-        F.lit(", самая_долгая_синхр.=0.001 сек., средняя=0.001 сек.; расстояние="), _num(u),
-        F.lit(" kB, ожидалось="), _num(u), F.lit(" kB"))
+        F.lit("СООБЩЕНИЕ:  контрольная точка завершена: записано буферов: "), F.col("t_u3"),
+        F.lit(" (0.1%); добавлено файлов WAL "), F.col("t_m2"), F.lit(", удалено: "), F.col("t_m4"),
+        F.lit(", переработано: "), F.col("t_m5"), F.lit("; запись="), v, F.lit(" сек., синхр.=0."), ms3,
+        F.lit(" сек., всего="), v, F.lit(" сек.; синхронизировано_файлов="), F.col("t_m9"),
+        F.lit(", самая_долгая_синхр.=0.001 сек., средняя=0.001 сек.; расстояние="), F.col("t_u"),
+        F.lit(" kB, ожидалось="), F.col("t_u"), F.lit(" kB"))
     av_en = F.array(
-        F.concat(prefix, F.lit('LOG:  automatic vacuum of table "'), name, F.lit('": index scans: '), _num(u % 3)),
-        F.concat(F.lit("\tpages: "), _num(u % 7), F.lit(" removed, "), _num(u * 5),
+        F.concat(prefix, F.lit('LOG:  automatic vacuum of table "'), name, F.lit('": index scans: '), F.col("t_m3")),
+        F.concat(F.lit("\tpages: "), F.col("t_m7"), F.lit(" removed, "), F.col("t_u5x"),
                  F.lit(" remain, 0 skipped due to pins, 0 skipped frozen")),
         F.concat(F.lit("\tsystem usage: CPU: user: 0.01 s, system: 0.00 s, elapsed: "), v, F.lit(" s")))
     av_ru = F.array(
         F.concat(prefix, F.lit('СООБЩЕНИЕ:  автоматическая очистка таблицы "'), name,
-                 F.lit('": сканирований индекса: '), _num(u % 3)),
-        F.concat(F.lit("\tстраниц удалено: "), _num(u % 7), F.lit(", осталось: "), _num(u * 5),
+                 F.lit('": сканирований индекса: '), F.col("t_m3")),
+        F.concat(F.lit("\tстраниц удалено: "), F.col("t_m7"), F.lit(", осталось: "), F.col("t_u5x"),
                  F.lit(", пропущено закреплённых: 0, пропущено замороженных: 0")),
         F.concat(F.lit("\tиспользование системы: ЦП: пользов.: 0.01 с, система: 0.00 с, прошло: "), v, F.lit(" с")))
-    size = _num(u * 1048576)
-    tmp = F.when(u % 2 == 0, F.concat(F.lit('LOG:  temporary file: path "base/pgsql_tmp/pgsql_tmp'), _num(u + 1000),
+    size = F.col("t_mb")
+    tmp = F.when(u % 2 == 0, F.concat(F.lit('LOG:  temporary file: path "base/pgsql_tmp/pgsql_tmp'), F.col("t_u1000"),
                                       F.lit('.0", size '), size)).otherwise(
-        F.concat(F.lit('СООБЩЕНИЕ:  временный файл: путь "base/pgsql_tmp/pgsql_tmp'), _num(u + 1000),
+        F.concat(F.lit('СООБЩЕНИЕ:  временный файл: путь "base/pgsql_tmp/pgsql_tmp'), F.col("t_u1000"),
                  F.lit('.0", размер '), size))
     err = (F.when(sub == 0, F.lit("ERROR:  deadlock detected"))
-           .when(sub == 1, F.concat(F.lit('ERROR:  duplicate key value violates unique constraint "t'), _num(u),
+           .when(sub == 1, F.concat(F.lit('ERROR:  duplicate key value violates unique constraint "t'), F.col("t_u"),
                                     F.lit('_pkey"')))
-           .when(sub == 2, F.concat(F.lit('ОШИБКА:  отношение "t'), _num(u), F.lit('" не существует')))
+           .when(sub == 2, F.concat(F.lit('ОШИБКА:  отношение "t'), F.col("t_u"), F.lit('" не существует')))
            .when(sub == 3, F.lit("FATAL:  terminating connection due to administrator command"))
            .when(sub == 4, F.concat(F.lit("WARNING:  checkpoints are occurring too frequently ("), _num(u % 30 + 1),
                                     F.lit(" seconds apart)")))
@@ -480,8 +484,8 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
            .otherwise(F.lit("WARNING:  temporary file size exceeds temp_file_limit (1024kB)")))
     one = (F.when(kind == 0, ck_en).when(kind == 1, ck_ru).when(kind == 4, tmp).otherwise(err))
     lines = (F.when(kind == 2, av_en).when(kind == 3, av_ru).otherwise(F.array(F.concat(prefix, one))))
-    out = ev.select("chunk", "ts", "event_id", F.posexplode(lines).alias("k", "line"))
+    out = ev.select("chunk", "day", "event_id", F.posexplode(lines).alias("k", "line"))
     line_no = F.col("event_id") * 4 + F.col("k")
     return out.select(
-        F.concat(F.lit("postgresql-"), F.date_format("ts", "yyyy-MM-dd"), F.lit(".log")).alias("file"),
+        F.concat(F.lit("postgresql-"), F.col("day"), F.lit(".log")).alias("file"),
         "chunk", line_no.alias("pos"), line_no.alias("line_no"), "line")
