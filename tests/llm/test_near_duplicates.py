@@ -103,3 +103,27 @@ def test_pipeline_equals_a_plain_version(spark):
         assert slots == list(range(len(slots)))
     full = corpus_pipeline.run(spark, SF).collect()
     assert sorted((r["doc_id"], r["shard"], r["slot"]) for r in full) == sorted((r["doc_id"], r["shard"], r["slot"]) for r in last)
+
+
+def test_shuffled_shingles_go_before_the_next_step(spark, monkeypatch):
+    # the shuffle of every sent shingle is let go before the next one is written, not after both
+    steps = []
+    cut, release = ngramjoin.cut_lineage, ngramjoin.release
+    monkeypatch.setattr(ngramjoin, "cut_lineage", lambda df: steps.append("cut") or cut(df))
+    monkeypatch.setattr(ngramjoin, "release", lambda s: steps.append("release") or release(s))
+    rng = np.random.default_rng(3)
+    a = text(rng, 60)
+    docs = spark.createDataFrame([(1, a), (2, a + " more"), (3, text(rng, 60))], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngramjoin.link_documents(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+    assert steps[:4] == ["cut", "release", "cut", "release"]
+
+
+def test_bitmaps_are_shuffled_once_a_dealt_row(spark):
+    members = spark.createDataFrame([(5, 1, 100), (5, 2, 100)], "token long, node long, n long")
+    nodes = spark.createDataFrame([(1, 1, bytearray(512), [5]), (2, 2, bytearray(512), [5])], "node long, label long, bits binary, low array<long>")
+    pairs = ngramjoin._tile_pairs(members, nodes)
+    assert [tuple(r) for r in pairs.collect()] == [(1, 2)]
+    order = pairs._jdf.queryExecution().optimizedPlan().toString()
+    by_tile = [x for x in order.splitlines() if "Join Inner" in x]
+    assert len(by_tile) == 2 and "node" in by_tile[0] and "token" in by_tile[1]

@@ -256,11 +256,12 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
             .join(sets.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b").mapInArrow(compare, "a long, b long"))
 
 
-def _tile_pairs(members: DataFrame) -> DataFrame:
+def _tile_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) across components among the nodes of a shingle, that sizes and bitmaps allow.
 
-    ``members``: token, node, label, n, bits, low (smallest shingles of the node among those compared here). Tile = shingle and size band (a ratio of 1.25, so a similar pair lies in
-    one band or in two neighbours: the smaller set is sent up one band too).
+    ``members``: token, node, n; ``nodes``: node, label, bits, low (smallest shingles of the node among those compared
+    here). Tile = shingle and size band (a ratio of 1.25, so a similar pair lies in one band or in two neighbours: the
+    smaller set is sent up one band too). Bitmaps join the rows that are dealt already, so they are shuffled once a row.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / PERCENT))).cast("int")
     placed = (members.withColumn("__band", band)
@@ -272,7 +273,8 @@ def _tile_pairs(members: DataFrame) -> DataFrame:
     dealt = (placed.join(sizes, ["token", "tile"]).withColumn("s", blocks)
              .withColumn("k", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
              .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-             .select("token", "tile", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "own", "node", "label", "n", "bits", "low"))
+             .select("token", "tile", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "own", "node", "n")
+             .join(nodes, "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -470,8 +472,10 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.min("doc_id").alias("min_doc"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")), "ngram-classes")
     sent = rows.select("node", F.explode("prefix").alias("token"))
     several = cut_lineage(sent.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token"))
+    release(spark)                              # every sent shingle was shuffled: these files go before the next ones come
     shared = cut_lineage(sent.join(several, "token").select("token", "node").distinct())
     del sent, several
+    release(spark)
     shared = _with_enough_shared(shared, classes)
 
     # bitmaps of the nodes that are left
@@ -504,9 +508,10 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     del others, named, mixed
     apart = _with_enough_shared(apart, nodes)
     low = apart.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("token")), 1, LOWEST).alias("low"))
-    members = apart.join(nodes.select("node", "n", "bits").join(low, "node"), "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rest = cut_lineage(_tile_pairs(members))
-    del apart, low, members
+    about = nodes.select("node", "bits").join(low, "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = cut_lineage(_tile_pairs(apart.join(nodes.select("node", "n"), "node"), about))
+    del apart, low, about
+    release(spark)
     if not rest.isEmpty():
         more = _linked(rest, docs, nodes)
         last, label = label, components(label.filter("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(more))
