@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from waitwise.llm.common import bound_batches
+
 WINDOW = 10
 #: Benchmark text held by a task at once; a larger benchmark is searched for in several such parts.
 MAX_PART_BYTES = 8 << 20
@@ -141,6 +143,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     so only one part's tables are alive at a time.
     """
     names = [n for n, _, _ in _OUT]
+    bound_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     found = docs.drop(*names)
     parts = _benchmark_parts(benchmark, max_part_bytes)

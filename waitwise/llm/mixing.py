@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from waitwise.llm.common import bound_batches
+
 #: Steps of the posterior grid by number of domains: at most about 25,000 cells each, so a table of
 #: cells is below 2 MB and safe to broadcast.
 GRID = {1: 1, 2: 1000, 3: 200, 4: 50, 5: 25, 6: 15}
@@ -152,6 +154,7 @@ def classify(docs: DataFrame, model: DomainModel, carry: list[str]) -> DataFrame
     schema = T.StructType([f for f in docs.schema.fields if f.name in carry]
                           + [T.StructField("tokens", T.LongType()), T.StructField("cell", T.ArrayType(T.IntegerType()))])
     carry = [f.name for f in schema.fields[:-2]]
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

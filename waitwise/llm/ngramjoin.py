@@ -34,12 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from waitwise.llm.common import PrimeHash, free, maybe_in, mix, release, stored, text_blocks
+from waitwise.llm.common import PrimeHash, bound_batches, free, maybe_in, mix, release, stored, text_blocks
 from waitwise.session import cut_lineage
 
 WORDS, PERCENT = 5, 80
 #: A shingle in more than 1 / FREQUENT of the documents is ordered last (at most FREQUENT * mean set size of them).
 FREQUENT = 400
+#: Rows whose shingles are counted together when frequent ones are sought.
+SLICE_ROWS = 2500
 #: Nodes of each shingle that all its nodes are compared with first.
 STARS = 4
 #: Nodes of one tile block; a hot tile is split into pairs of blocks.
@@ -148,19 +150,31 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
 def frequent_shingles(docs: DataFrame, share: int = FREQUENT) -> np.ndarray:
     """Hashes of the shingles that (about) more than 1 / share of the documents hold.
 
-    Every slice of a batch counts its shingles, those in more than 1 / (2 share) of its documents are summed. The list
-    only orders shingles: results do not depend on it. It holds at most 2 * share * (mean set size) entries.
+    Every ``SLICE_ROWS`` rows of a task count their shingles, those in more than 1 / (2 share) of the documents are
+    summed; the size of batches does not matter. The list only orders shingles: results do not depend on it. It holds
+    at most 2 * share * (mean set size) entries.
     """
+    def often(held: list[np.ndarray], rows: int) -> pa.RecordBatch:
+        every = np.concatenate(held or [np.zeros(0, np.uint64)])
+        every.sort()
+        at = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+        times = np.diff(np.append(at, len(every)))
+        some = times > max(2, rows // (2 * share))
+        return pa.RecordBatch.from_arrays([pa.array(every[at][some].view(np.int64)), pa.array(times[some].astype(np.int64))], names=["h", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 2500):       # a slice's shingles are held at once
-                b = whole.slice(i, 2500)
-                every = np.concatenate([h for _, s in _sets(b) for h in s] or [np.zeros(0, np.uint64)])
-                every.sort()
-                at = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
-                times = np.diff(np.append(at, len(every)))
-                often = times > max(2, b.num_rows // (2 * share))
-                yield pa.RecordBatch.from_arrays([pa.array(every[at][often].view(np.int64)), pa.array(times[often].astype(np.int64))], names=["h", "n"])
+        held, rows = [], 0                                 # a slice's shingles are held at once
+        for b in batches:
+            done = 0
+            while done < b.num_rows:
+                part = b.slice(done, SLICE_ROWS - rows)
+                done, rows = done + part.num_rows, rows + part.num_rows
+                held += [h for _, s in _sets(part) for h in s]
+                if rows == SLICE_ROWS:
+                    yield often(held, rows)
+                    held, rows = [], 0
+        if rows:
+            yield often(held, rows)
 
     total = docs.count()
     least = max(16, total // share)
@@ -170,6 +184,7 @@ def frequent_shingles(docs: DataFrame, share: int = FREQUENT) -> np.ndarray:
 
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, n (set size), node (hash of the set; null if empty), check (a second one), prefix, bits."""
+    bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waitwise.llm.common import text_blocks
+from waitwise.llm.common import bound_batches, text_blocks
 
 WIDTH, FILTERS, CHUNK = 5, 16, 256
 #: The classifier is fitted on at most so many labelled rows a class, and so many bytes of text in all.
@@ -209,9 +209,11 @@ def score_column(text: Column, model: ByteCnn) -> Column:
 
 
 def score_documents(docs: DataFrame, model: ByteCnn, out: str = "score") -> DataFrame:
+    bound_batches(docs.sparkSession)
     return docs.withColumn(out, score_column(F.col("text"), model))
 
 
 def keep_good(docs: DataFrame, model: ByteCnn, least: float = 0.5) -> DataFrame:
     """The documents that score at least ``least``, columns as given."""
+    bound_batches(docs.sparkSession)
     return docs.filter(score_column(F.col("text"), model) >= least)
